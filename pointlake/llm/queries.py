@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pointlake.llm import chat, decontaminate, digest, langid, licenses, linededup, neardup, pieces, quality
+from pointlake.llm import chat, decontaminate, digest, langid, licenses, linededup, neardup, pieces, pii, quality
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_pii_surrogates": pii.op3_pii_surrogates,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_language_id": langid.op6_language_id,
