@@ -1,4 +1,684 @@
-"""Every registered query with its SQL."""
+"""Every registered query over the driver's tables, with the SQL that must give the same rows.
+
+Stand-ins: embeddings are points (x, y, z = the first three dimensions times 10, frame = label) and 8 x 8 descriptors;
+events are a sensor stream for each user, ordered by (ts, event_id); lineitem is a wide point table.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointlake.functions import descriptor, geometry, nmea, polygon, voxels
+from pointlake.operators import aggregates as agg
+from pointlake.operators import cluster, filters, joins, models, sets, windows
+from pointlake.session import descriptors, points, read, rounded, sensor
 
 QUERIES: dict = {}
 SQL: dict = {}
+PTS = "(SELECT label::BIGINT AS frame, vec_id AS pos, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y, embedding[3]::DOUBLE * 10 AS z FROM embeddings)"
+EV = "(SELECT *, epoch_us(ts) / 1e6 AS t FROM events)"
+KEY, ORDER = ["user_id"], ["ts", "event_id"]
+OVER = "PARTITION BY user_id ORDER BY ts, event_id"
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# ---- windows ----
+
+
+@query(f"""SELECT user_id, event_id, round(d * d, 4) AS curvature FROM (SELECT *, sum(value) OVER w - value * 11 AS d, count(*) OVER w AS n FROM events
+WINDOW w AS ({OVER} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE n = 11""")
+def curvature_rows(spark: SparkSession, d: str) -> DataFrame:
+    """W1"""
+    return windows.curvature(sensor(spark, d), "value", KEY, ORDER).select("user_id", "event_id", rounded(F.col("curvature"), 4).alias("curvature"))
+
+
+@query(f"""WITH c AS (SELECT *, d * d AS curvature FROM (SELECT *, sum(value) OVER w - value * 11 AS d, count(*) OVER w AS n FROM events
+WINDOW w AS ({OVER} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE n = 11),
+r AS (SELECT user_id, event_type, event_id, round(curvature, 4) AS curvature FROM c)
+SELECT *, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY curvature DESC, event_id))::INTEGER AS rank FROM r
+QUALIFY rank <= 2""")
+def topk_per_sector(spark: SparkSession, d: str) -> DataFrame:
+    """W1 + W4 without suppression, O1"""
+    c = windows.curvature(sensor(spark, d), "value", KEY, ORDER).withColumn("curvature", rounded(F.col("curvature"), 4))
+    return windows.top_k(c, "curvature", 2, ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", "event_id", "curvature", "rank")
+
+
+@query(f"""WITH f AS (SELECT user_id, event_id, ts, value AS v, lead(value) OVER w AS nx, lag(value) OVER w AS pv,
+abs(lead(event_id) OVER w - event_id) < 5000 AS near FROM events WINDOW w AS ({OVER})),
+g AS (SELECT *, coalesce((near AND v - nx > 5)::INT, 0) AS dn, coalesce((near AND nx - v > 5)::INT, 0) AS up,
+coalesce((abs(pv - v) > 0.02 * v AND abs(nx - v) > 0.02 * v)::INT, 0) AS al FROM f)
+SELECT user_id, event_id, (max(dn) OVER (w ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) = 1
+ OR coalesce(max(up) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) = 1 OR al = 1) AS masked FROM g WINDOW w AS ({OVER})""")
+def occlusion_mask(spark: SparkSession, d: str) -> DataFrame:
+    """W3"""
+    return windows.occlusion(sensor(spark, d), "value", "event_id", KEY, ORDER, jump=5.0, gap=5000).select("user_id", "event_id", "masked")
+
+
+@query(f"SELECT user_id, event_id, round(value - coalesce(lag(value) OVER ({OVER}), 0), 6) AS delta FROM events")
+def lag_relative(spark: SparkSession, d: str) -> DataFrame:
+    """W7, W8"""
+    return windows.differences(sensor(spark, d), "value", KEY, ORDER).select("user_id", "event_id", rounded(F.col("delta")).alias("delta"))
+
+
+@query(f"SELECT user_id, event_id, round(value - first_value(value) OVER ({OVER}), 6) AS rebased FROM events")
+def first_rebase(spark: SparkSession, d: str) -> DataFrame:
+    """W10"""
+    return windows.rebased(sensor(spark, d), "value", KEY, ORDER).select("user_id", "event_id", rounded(F.col("rebased")).alias("rebased"))
+
+
+@query(f"""WITH a AS (SELECT user_id, event_id, ts, value, t - lag(t) OVER ({OVER}) AS dt0 FROM {EV}),
+b AS (SELECT *, CASE WHEN dt0 IS NULL OR dt0 >= 7200 THEN 1 ELSE 0 END AS cut FROM a),
+c AS (SELECT *, sum(cut) OVER ({OVER} ROWS UNBOUNDED PRECEDING) AS segment, CASE WHEN cut = 1 THEN 0 ELSE dt0 END AS dt FROM b),
+s AS (SELECT *, sum(value * dt) OVER (PARTITION BY user_id, segment ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS speed FROM c),
+h AS (SELECT *, coalesce(lag(speed) OVER (PARTITION BY user_id, segment ORDER BY ts, event_id), 0) * dt + value * dt * dt / 2 AS st FROM s)
+SELECT user_id, event_id, segment::BIGINT AS segment, round(speed, 2) AS speed,
+round(sum(st) OVER (PARTITION BY user_id, segment ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / 1e6, 3) AS shift FROM h""")
+def cumulative_shift(spark: SparkSession, d: str) -> DataFrame:
+    """W11"""
+    r = windows.dead_reckoning(sensor(spark, d), "value", "t", KEY, ORDER, 7200.0)
+    return r.select("user_id", "event_id", F.col("segment").cast("long").alias("segment"), rounded(F.col("speed"), 2).alias("speed"), rounded(F.col("shift") / 1e6, 3).alias("shift"))
+
+
+@query(f"""SELECT user_id, event_id, coalesce(f = 1 AND n = 7 AND s >= 0.7 * 7, false) AS voted FROM (SELECT *, (value > 20)::INT AS f, count(*) OVER w AS n,
+sum((value > 20)::INT) OVER w AS s FROM events WINDOW w AS ({OVER} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))""")
+def majority7(spark: SparkSession, d: str) -> DataFrame:
+    """W17, stateless part"""
+    return windows.majority(sensor(spark, d), F.col("value") > 20, KEY, ORDER).select("user_id", "event_id", "voted")
+
+
+@query(f"""SELECT user_id, island::BIGINT AS island, min(event_id) AS first_id, count(*) AS n FROM (SELECT *, sum(b) OVER ({OVER} ROWS UNBOUNDED PRECEDING) AS island FROM
+(SELECT *, CASE WHEN lag(value > 20) OVER ({OVER}) = (value > 20) THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, island""")
+def gaps_and_islands(spark: SparkSession, d: str) -> DataFrame:
+    """W24"""
+    r = windows.islands(sensor(spark, d), F.col("value") > 20, KEY, ORDER)
+    return r.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.min("event_id").alias("first_id"), F.count("*").alias("n"))
+
+
+@query(f"""SELECT user_id, event_id, frames FROM (SELECT user_id, event_id, list(event_id) OVER ({OVER} ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS frames FROM events) WHERE len(frames) = 13""")
+def frame_window13(spark: SparkSession, d: str) -> DataFrame:
+    """W15, W16, T7"""
+    return windows.frame_window(sensor(spark, d), ORDER, KEY, 6, "event_id").select("user_id", "event_id", "frames")
+
+
+# ---- aggregations ----
+
+
+@query(f"SELECT frame, floor(x / 2)::BIGINT AS vx, floor(y / 2)::BIGINT AS vy, floor(z / 2)::BIGINT AS vz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM {PTS} GROUP BY 1, 2, 3, 4")
+def voxel_centroid(spark: SparkSession, d: str) -> DataFrame:
+    """A1, M3, U_7"""
+    r = agg.voxel_centroid(points(spark, d), 2.0, ["frame"])
+    return r.select("frame", "vx", "vy", "vz", *[rounded(F.col(c)).alias(c) for c in "xyz"], "n")
+
+
+@query(f"SELECT DISTINCT frame, (floor(x / 2) + 0.5) * 2.0 AS x, (floor(y / 2) + 0.5) * 2.0 AS y, (floor(z / 2) + 0.5) * 2.0 AS z FROM {PTS}")
+def voxel_occupancy(spark: SparkSession, d: str) -> DataFrame:
+    """A2, A36"""
+    return agg.voxel_centres(points(spark, d), 2.0, ["frame"]).select("frame", *"xyz")
+
+
+@query("""WITH h AS (SELECT floor(l_quantity / 5)::BIGINT AS vx, floor(l_discount / 0.02)::BIGINT AS vy, floor(l_extendedprice / 5000)::BIGINT AS vz, l_linenumber FROM lineitem),
+hit AS (SELECT vx, vy, vz, count(*) AS hit FROM h WHERE l_linenumber <= 2 GROUP BY ALL), crs AS (SELECT vx, vy, vz, count(*) AS crs FROM h WHERE l_linenumber > 2 GROUP BY ALL)
+SELECT vx, vy, vz, hit, coalesce(crs, 0)::BIGINT AS "cross" FROM hit LEFT JOIN crs USING (vx, vy, vz) WHERE hit >= (hit + coalesce(crs, 0)) * 0.3""")
+def voxel_ratio_having(spark: SparkSession, d: str) -> DataFrame:
+    """A11-A13"""
+    li = read(spark, d, "lineitem")
+    cells = li.select("l_linenumber", F.floor(F.col("l_quantity") / 5).cast("long").alias("vx"), F.floor(F.col("l_discount") / 0.02).cast("long").alias("vy"), F.floor(F.col("l_extendedprice") / 5000).cast("long").alias("vz"))
+    hit = cells.where("l_linenumber <= 2").groupBy("vx", "vy", "vz").agg(F.count("*").alias("hit"))
+    return agg.ratio_having(hit, agg.crosses(cells.where("l_linenumber > 2"), hit), 0.3).select("vx", "vy", "vz", "hit", "cross")
+
+
+@query()
+def ray_ratio_filter(spark: SparkSession, d: str) -> DataFrame:
+    """A11-A13, U1, U_3: rays from the origin through every point; voxels that rays mostly pass go"""
+    p = points(spark, d)
+    hit = agg.hits(p, 2.0)
+    zero = F.lit(0.0)
+    steps = p.select(F.explode(voxels.walk_voxels(2.0, 5)(zero, zero, zero, "x", "y", "z")).alias("v")).select("v.*")
+    return agg.ratio_having(hit, agg.crosses(steps, hit), 0.05).select("vx", "vy", "vz", "hit", "cross")
+
+
+@query("SELECT l_suppkey % 20 AS row, l_partkey % 50 AS col, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS l_quantity FROM lineitem GROUP BY 1, 2")
+def range_image_last(spark: SparkSession, d: str) -> DataFrame:
+    """A3"""
+    li = read(spark, d, "lineitem").withColumns({"row": F.col("l_suppkey") % 20, "col": F.col("l_partkey") % 50})
+    return agg.last_per_cell(li, ["row", "col"], F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_quantity")
+
+
+@query("SELECT user_id % 10 AS py, least(floor(value / 10), 30)::BIGINT AS px, min(value) AS value FROM events GROUP BY 1, 2")
+def depth_min(spark: SparkSession, d: str) -> DataFrame:
+    """A4"""
+    e = sensor(spark, d).withColumns({"py": F.col("user_id") % 10, "px": F.least(F.floor(F.col("value") / 10), F.lit(30)).cast("long")})
+    return agg.nearest_per_cell(e, ["py", "px"], "value").select("py", "px", "value")
+
+
+POLAR = f"""b AS (SELECT frame, greatest(least(ceil(sqrt(x * x + y * y) / 80 * 20), 20), 1)::INTEGER - 1 AS ring,
+greatest(least(ceil(((degrees(atan2(CASE WHEN y = 0 THEN 0.001 ELSE y END, CASE WHEN x = 0 THEN 0.001 ELSE x END)) + 360) % 360) / 360 * 60), 60), 1)::INTEGER - 1 AS sector, z + 2 AS h
+FROM {PTS} WHERE sqrt(x * x + y * y) <= 80), p AS (SELECT frame, ring, sector, max(h) AS h FROM b GROUP BY ALL)"""
+
+
+def _polar(spark: SparkSession, d: str) -> DataFrame:
+    return agg.polar_max(points(spark, d), 20, 60, 80.0)
+
+
+@query(f"WITH {POLAR} SELECT * FROM p")
+def polar_max_descriptor(spark: SparkSession, d: str) -> DataFrame:
+    """A5-A7, M1, M2, U4"""
+    return _polar(spark, d)
+
+
+@query(f"WITH {POLAR} SELECT frame, ring, round(sum(h) / 60, 6) AS ring_key FROM p GROUP BY ALL")
+def ring_key(spark: SparkSession, d: str) -> DataFrame:
+    """A8"""
+    return agg.ring_mean(_polar(spark, d), 60).withColumn("ring_key", rounded(F.col("ring_key")))
+
+
+@query(f"WITH {POLAR} SELECT frame, ring, round(count(*) FILTER (WHERE h <> 0) / 60, 6) AS occupancy FROM p GROUP BY ALL")
+def ring_occupancy(spark: SparkSession, d: str) -> DataFrame:
+    """A9"""
+    return agg.ring_share(_polar(spark, d), 60).withColumn("occupancy", rounded(F.col("occupancy")))
+
+
+@query(f"WITH {POLAR} SELECT frame, sector, round(sum(h) / 20, 6) AS sector_key FROM p GROUP BY ALL")
+def sector_key(spark: SparkSession, d: str) -> DataFrame:
+    """A10"""
+    return agg.sector_mean(_polar(spark, d), 20).withColumn("sector_key", rounded(F.col("sector_key")))
+
+
+@query(f"SELECT frame, " + ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}, round(sum({c}), 4) AS sum_{c}, round(sum({c} * {c}), 4) AS sq_{c}" for c in "xyz") + f" FROM {PTS} GROUP BY frame")
+def bounding_box(spark: SparkSession, d: str) -> DataFrame:
+    """A14, A15"""
+    b = agg.bounds(points(spark, d), ["frame"])
+    return b.withColumns({f"{s}_{c}": rounded(F.col(f"{s}_{c}"), 4) for s in ("sum", "sq") for c in "xyz"})
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 10 ORDER BY n DESC, l_suppkey LIMIT 5")
+def group_having_topk(spark: SparkSession, d: str) -> DataFrame:
+    """A16-A19"""
+    return agg.frequency(read(spark, d, "lineitem"), "l_suppkey", 10, 5)
+
+
+@query(f"SELECT round(degrees(atan2(y, x)) + 180)::INTEGER AS deg, round(avg(z), 6) AS mean, round(var_pop(z), 6) AS var, count(*) AS n FROM {PTS} GROUP BY 1 HAVING var_pop(z) <= 50 AND count(*) >= 2")
+def azimuth_mean_var(spark: SparkSession, d: str) -> DataFrame:
+    """A20"""
+    return agg.azimuth_stats(points(spark, d), "z", 50.0, 2).select("deg", rounded(F.col("mean")).alias("mean"), rounded(F.col("var")).alias("var"), "n")
+
+
+@query(f"WITH c AS (SELECT frame, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, count(*) AS n FROM {PTS} GROUP BY frame) SELECT p.frame, round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy, round(any_value(cz), 6) AS cz, any_value(n) AS n, round(sqrt(max((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)), 6) AS reach FROM {PTS} p JOIN c USING (frame) GROUP BY p.frame")
+def centroid_reach(spark: SparkSession, d: str) -> DataFrame:
+    """A22, A23"""
+    p = points(spark, d)
+    both = agg.centroid(p, ["frame"]).join(agg.max_distance(p, ["frame"]), "frame")
+    return both.select("frame", *[rounded(F.col(c)).alias(c) for c in ("cx", "cy", "cz")], "n", rounded(F.col("reach")).alias("reach"))
+
+
+@query(f"""SELECT frame, round((a + b) / 2 - sqrt((a - b) ** 2 / 4 + c ** 2), 6) AS low, round((a + b) / 2 + sqrt((a - b) ** 2 / 4 + c ** 2), 6) AS high
+FROM (SELECT frame, var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM {PTS} GROUP BY frame)""")
+def pca_2d(spark: SparkSession, d: str) -> DataFrame:
+    """A25"""
+    return agg.pca2d(points(spark, d), ["frame"]).select("frame", rounded(F.col("low")).alias("low"), rounded(F.col("high")).alias("high"))
+
+
+@query("SELECT user_id, list(event_id ORDER BY event_id) AS rows FROM events GROUP BY user_id")
+def nested_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A21, A38"""
+    return agg.nested(sensor(spark, d), KEY, ["event_id"]).select("user_id", F.col("rows.event_id").alias("rows"))
+
+
+@query()
+def hull_area(spark: SparkSession, d: str) -> DataFrame:
+    """A26, M16"""
+    return models.hulls(points(spark, d), ["frame"]).select("frame", F.size("hull").alias("corners"), rounded(F.col("area"), 4).alias("area"))
+
+
+# ---- filters, sets, sorts ----
+
+
+@query(f"SELECT frame, pos FROM {PTS} WHERE x * x + y * y + z * z >= 4 AND z <= 5 AND NOT (x = 0 AND y = 0 AND z = 0) AND pos % 5 = 0")
+def filtered_points(spark: SparkSession, d: str) -> DataFrame:
+    """P1, P2, P4, P5, P6"""
+    p = filters.without_origin(filters.below_height(filters.beyond(filters.without_nan(points(spark, d), *"xyz"), 2.0), 5.0))
+    return filters.every_nth(p).select("frame", "pos")
+
+
+@query(f"SELECT frame, pos, x, -z AS y, y AS z FROM {PTS} WHERE z <= 0.6")
+def ground_cut(spark: SparkSession, d: str) -> DataFrame:
+    """P11, P15"""
+    return filters.ground_cut_swapped(points(spark, d))
+
+
+@query(f"""SELECT user_id, event_id, round(last_value(CASE WHEN event_type <> 'view' THEN value END IGNORE NULLS) OVER ({OVER} ROWS UNBOUNDED PRECEDING), 6) AS value FROM events""")
+def last_valid_value(spark: SparkSession, d: str) -> DataFrame:
+    """P12"""
+    e = sensor(spark, d).withColumn("value", F.when(F.col("event_type") == "view", 0.0).otherwise(F.col("value")))
+    return filters.last_valid(e, "value", ORDER, KEY).select("user_id", "event_id", rounded(F.col("value")).alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10)")
+def semi_class(spark: SparkSession, d: str) -> DataFrame:
+    """P7, P8, J27"""
+    wanted = read(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("l_partkey"))
+    return filters.of_classes(read(spark, d, "lineitem"), wanted, "l_partkey").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
+def anti_unassigned(spark: SparkSession, d: str) -> DataFrame:
+    """J26"""
+    return joins.unassigned(read(spark, d, "customer"), read(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+
+
+CELL = "SELECT DISTINCT floor(l_quantity)::BIGINT AS vx, floor(l_extendedprice / 100)::BIGINT AS vy FROM lineitem WHERE l_returnflag = "
+
+
+def _cells(spark: SparkSession, d: str, flag: str) -> DataFrame:
+    li = read(spark, d, "lineitem").where(F.col("l_returnflag") == flag)
+    return li.select(F.floor("l_quantity").cast("long").alias("vx"), F.floor(F.col("l_extendedprice") / 100).cast("long").alias("vy")).distinct()
+
+
+@query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 40")
+def union_all(spark: SparkSession, d: str) -> DataFrame:
+    """U_1, U_5"""
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
+    return sets.union(li.where("l_returnflag = 'R'"), li.where("l_quantity > 40")).select("l_orderkey", "l_quantity")
+
+
+@query(f"{CELL}'A' EXCEPT {CELL}'R'")
+def voxel_except(spark: SparkSession, d: str) -> DataFrame:
+    """U_3"""
+    return sets.less(_cells(spark, d, "A"), _cells(spark, d, "R"), ["vx", "vy"])
+
+
+@query(f"{CELL}'A' INTERSECT {CELL}'R'")
+def voxel_intersect(spark: SparkSession, d: str) -> DataFrame:
+    """U_4"""
+    return sets.common(_cells(spark, d, "A"), _cells(spark, d, "R"), ["vx", "vy"])
+
+
+@query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'add' ELSE 'erase' END AS action FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a
+FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+def cache_difference(spark: SparkSession, d: str) -> DataFrame:
+    """U_6"""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
+    return sets.cache_difference(o.where("o_orderstatus = 'F'").select("k").distinct(), o.where("o_orderstatus = 'O'").select("k").distinct(), "k")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id >= 475 AND event_id < 525")
+def history_window(spark: SparkSession, d: str) -> DataFrame:
+    """U_2"""
+    return sets.history(sensor(spark, d), 500, by="event_id").select("event_id", "user_id")
+
+
+@query(f"SELECT user_id, event_id FROM (SELECT *, row_number() OVER ({OVER}) - 1 AS r FROM events) WHERE r % 10 = 0")
+def stride_limit(spark: SparkSession, d: str) -> DataFrame:
+    """O8"""
+    return sets.stride(sensor(spark, d), ORDER, KEY).select("user_id", "event_id")
+
+
+# ---- joins ----
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = sensor(spark, d)
+    left = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), "user_id", "t")
+    return left, e.where("event_type = 'view'").select(F.col("event_id").alias("rid"), "user_id", F.col("t").alias("rt"))
+
+
+SIDES = f"l AS (SELECT event_id AS id, user_id, t FROM {EV} WHERE event_type = 'purchase'), r AS (SELECT event_id AS rid, user_id, t AS rt FROM {EV} WHERE event_type = 'view')"
+
+
+@query(f"WITH {SIDES} SELECT id, user_id, rid, round(abs(t - rt), 3) AS gap FROM l JOIN r USING (user_id) WHERE abs(t - rt) < 40000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(t - rt), rid) = 1")
+def time_asof_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """J1, J3, J34, O6"""
+    left, right = _sides(spark, d)
+    return joins.nearest_time(left, right, 40000.0, KEY).select("id", "user_id", "rid", rounded(F.col("gap"), 3).alias("gap"))
+
+
+@query(f"WITH {SIDES}, n AS (SELECT id, user_id, t, rid FROM l JOIN r USING (user_id) WHERE abs(t - rt) < 40000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(t - rt), rid) = 1) SELECT id, user_id, rid FROM n QUALIFY row_number() OVER (PARTITION BY rid ORDER BY t, id) = 1")
+def time_asof_once(spark: SparkSession, d: str) -> DataFrame:
+    """J2"""
+    left, right = _sides(spark, d)
+    return joins.nearest_time(left, right, 40000.0, KEY, once=True).select("id", "user_id", "rid")
+
+
+@query(f"WITH {SIDES} SELECT id, rid FROM l JOIN r USING (user_id) WHERE rt - t >= -3000 AND rt - t < 3000")
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    """J4, J5, J8, J9"""
+    left, right = _sides(spark, d)
+    return joins.interval_join(left, right, -3000.0, 3000.0, KEY).select("id", "rid")
+
+
+@query(f"WITH {SIDES}, b AS (SELECT min(t) AS lo, max(t) AS hi FROM l) SELECT rid FROM r, b WHERE rt > lo AND rt < hi")
+def range_slice(spark: SparkSession, d: str) -> DataFrame:
+    """J31"""
+    left, right = _sides(spark, d)
+    return joins.range_slice(right.withColumnRenamed("rt", "t"), left).select("rid")
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return points(spark, d).select(F.col("pos").alias("id"), F.col("pos").cast("double").alias("t"), *"xyz")
+
+
+NODES = f"n AS (SELECT pos AS id, pos::DOUBLE AS t, x, y, z FROM {PTS})"
+D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+@query(f"WITH {NODES} SELECT a.id, b.id AS id_r, round({D2}, 6) AS d2 FROM n a, n b WHERE {D2} <= 4 AND a.t - b.t >= 30")
+def radius_join_age(spark: SparkSession, d: str) -> DataFrame:
+    """J15, J16, J21, J22, J33"""
+    return joins.loop_candidates(_nodes(spark, d), 2.0, 30.0).select("id", "id_r", rounded(F.col("d2")).alias("d2"))
+
+
+@query(f"WITH {NODES} SELECT a.id, b.id AS id_r FROM n a, n b WHERE {D2} <= 4 AND a.t - b.t >= 30 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) = 1")
+def loop_first(spark: SparkSession, d: str) -> DataFrame:
+    """J15, J17, J32"""
+    return joins.loop_first(_nodes(spark, d), 2.0, 30.0).select("id", "id_r")
+
+
+@query(f"WITH p AS (SELECT * FROM {PTS}), k AS (SELECT a.pos, {D2} AS d2 FROM p a JOIN p b ON a.frame = b.frame AND a.pos <> b.pos WHERE {D2} <= 9 QUALIFY row_number() OVER (PARTITION BY a.pos ORDER BY {D2}, b.pos) <= 5) SELECT pos, count(*) AS n, round(max(d2), 6) AS worst FROM k GROUP BY pos HAVING count(*) = 5 AND max(d2) < 9")
+def knn5_gate(spark: SparkSession, d: str) -> DataFrame:
+    """J10-J12"""
+    p = points(spark, d)
+    return joins.knn_gated(p, p, 5, 9.0, ["frame"]).select("pos", "n", rounded(F.col("worst")).alias("worst"))
+
+
+@query(f"WITH {NODES} SELECT a.id, count(*) / 10 AS density FROM n a, n b WHERE {D2} <= 4 GROUP BY a.id")
+def node_density(spark: SparkSession, d: str) -> DataFrame:
+    """A37"""
+    n = _nodes(spark, d)
+    return agg.density(joins.radius_join(n, n, 2.0))
+
+
+def _cosine(a, b):
+    return descriptor.dot(a, b) / (F.sqrt(descriptor.dot(a, a)) * F.sqrt(descriptor.dot(b, b)))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS d FROM embeddings WHERE label = 0)
+SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.d, b.d), 6) AS sim FROM e a JOIN e b ON a.id < b.id""")
+def pairwise_cosine_upper(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of one frame's descriptors (a frame is the unit that is compared)"""
+    e = descriptors(spark, d).where("label = 0")
+    return joins.upper_triangle(e, rounded(_cosine(F.col("d_a"), F.col("d_b"))))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS d FROM embeddings WHERE label = 1),
+p AS (SELECT a.id AS i, b.id AS j, a.d AS x, b.d AS y FROM e a JOIN e b ON a.id < b.id)
+SELECT i, j, round(list_avg([list_cosine_similarity([x[c + 8 * r + 1] FOR r IN range(8)], [y[c + 8 * r + 1] FOR r IN range(8)]) FOR c IN range(8)]), 6) AS sim FROM p""")
+def descriptor_column_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """M24, V2"""
+    e = descriptors(spark, d).where("label = 1")
+    return joins.upper_triangle(e, rounded(descriptor.column_cosine(F.col("d_a"), F.col("d_b"), 8, 8)))
+
+
+@query()
+def descriptor_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Ring-key radius candidates, then the exact distance over shifts"""
+    e = descriptors(spark, d).where("label = 2").withColumn("key", descriptor.ring_key(F.col("d"), 8, 8))
+    k = e.select("id", "d", *[F.get("key", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
+    near = joins.radius_join(k, k, 0.5).where("id < id_r")
+    dist = near.select("id", "id_r", descriptor.distance(8, 8)("d", "d_r").alias("m"), descriptor.similarity(8, 8)("d", "d_r").alias("sim"))
+    return dist.select("id", "id_r", rounded(F.col("m.dist")).alias("dist"), F.col("m.shift").alias("shift"), rounded(F.col("sim")).alias("sim"))
+
+
+@query("SELECT vec_id AS id, round(list_avg([embedding[i]::DOUBLE FOR i IN range(1, 9)]), 6) AS ring0, round(list_avg([embedding[1 + 8 * i]::DOUBLE FOR i IN range(8)]), 6) AS sector0, list_count([1 FOR i IN range(1, 9) IF embedding[i] <> 0]) / 8 AS occ0 FROM embeddings")
+def descriptor_keys(spark: SparkSession, d: str) -> DataFrame:
+    """A8-A10 on dense descriptors"""
+    e, c = descriptors(spark, d), F.col("d")
+    return e.select("id", rounded(descriptor.ring_key(c, 8, 8)[0]).alias("ring0"), rounded(descriptor.sector_key(c, 8, 8)[0]).alias("sector0"), descriptor.ring_occupancy(c, 8, 8)[0].alias("occ0"))
+
+
+@query("WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view'), b AS (SELECT user_id, event_id AS other, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase') SELECT a.user_id, event_id, other FROM a JOIN b USING (user_id, n)")
+def positional_zip(spark: SparkSession, d: str) -> DataFrame:
+    """J35, S2"""
+    e = sensor(spark, d)
+    b = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("other"), F.col("ts").alias("ts2"))
+    return joins.positional(e.where("event_type = 'view'").select("user_id", "event_id", "ts"), b, ORDER, ["ts2", "other"], KEY).select("user_id", "event_id", "other")
+
+
+@query("SELECT c_custkey, coalesce(m.v, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders GROUP BY 1) m ON c_custkey = o_custkey")
+def update_join(spark: SparkSession, d: str) -> DataFrame:
+    """J37, J23"""
+    fresh = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    return joins.updated(read(spark, d, "customer").select("c_custkey", "c_acctbal"), fresh, "c_custkey", ["c_acctbal"])
+
+
+# ---- evaluation ----
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest earlier node of each node: claimed below a threshold, right if the labels agree."""
+    e = points(spark, d).select(F.col("pos").alias("id"), F.col("pos").cast("double").alias("t"), *"xyz", "frame")
+    near = joins.radius_join(e, e, 3.0).where("id_r < id")
+    best = near.groupBy("id").agg(F.min(F.struct("d2", "id_r", "frame_r")).alias("m"), F.max((F.col("frame") == F.col("frame_r")).cast("int")).alias("any"))
+    return e.join(best, "id", "left").select("id", (F.col("m.frame_r") == F.col("frame")).alias("same"), F.col("m.d2").alias("d2"), (F.coalesce("any", F.lit(0)) == 1).alias("exists"))
+
+
+JUDGED = f"""n AS (SELECT pos AS id, frame, x, y, z FROM {PTS}), c AS (SELECT a.id, b.id AS id_r, a.frame = b.frame AS same, {D2} AS d2 FROM n a JOIN n b ON b.id < a.id WHERE {D2} <= 9),
+j AS (SELECT n.id, m.same, m.d2, coalesce(m.ex, false) AS ex FROM n LEFT JOIN (SELECT id, arg_min(same, (d2, id_r)) AS same, min(d2) AS d2, bool_or(same) AS ex FROM c GROUP BY id) m USING (id)),
+g AS (SELECT *, t.thr, coalesce(d2 < t.thr, false) AS pos, coalesce(same, false) AS ok FROM j, (SELECT unnest([1.0, 2.0, 4.0, 8.0])::DOUBLE AS thr) t),
+m AS (SELECT thr, count(*) FILTER (WHERE pos AND ok) AS tp, count(*) FILTER (WHERE pos AND NOT ok) AS fp, count(*) FILTER (WHERE NOT pos AND ex) AS fn, count(*) FILTER (WHERE NOT pos AND NOT ex) AS tn FROM g GROUP BY thr)"""
+
+
+def _confusion(spark: SparkSession, d: str) -> DataFrame:
+    thr = F.explode(F.array(*[F.lit(v) for v in (1.0, 2.0, 4.0, 8.0)]))
+    j = _judged(spark, d).withColumn("thr", thr)
+    return agg.confusion(j, F.coalesce(F.col("d2") < F.col("thr"), F.lit(False)), F.coalesce("same", F.lit(False)), F.col("exists"), ["thr"])
+
+
+@query(f"WITH {JUDGED} SELECT thr, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM m")
+def confusion_topn(spark: SparkSession, d: str) -> DataFrame:
+    """All thresholds share one candidate join"""
+    return _confusion(spark, d).withColumns({c: rounded(F.col(c)) for c in ("precision", "recall")})
+
+
+@query(f"""WITH {JUDGED}, q AS (SELECT round(tp / nullif(tp + fn, 0), 6) AS r, round(tp / nullif(tp + fp, 0), 6) AS p FROM m), z AS (SELECT DISTINCT r, p FROM (SELECT * FROM q WHERE r > 0 OR p > 0 UNION ALL VALUES (0.0, 1.0), (1.0, 0.0)))
+SELECT round(sum(s), 6) AS auc FROM (SELECT (r - lag(r) OVER (ORDER BY r, p DESC)) * (p + lag(p) OVER (ORDER BY r, p DESC)) / 2 AS s FROM z)""")
+def pr_curve_auc(spark: SparkSession, d: str) -> DataFrame:
+    """A33"""
+    return agg.auc(confusion_topn(spark, d)).select(rounded(F.col("auc")).alias("auc"))
+
+
+# ---- functions ----
+
+
+@query("""WITH s AS (SELECT unnest(['$GPGGA,092725.00,3937.3032,N,11627.1200,E,1,08,1.03,61.7,M,55.2,M,,*75', '$GPGGA,092725.00,4717.11399,N,00833.91590,E,1,08,1.01,499.6,M,48.0,M,,*5B', '$GPGGA,1,2*00']) AS s),
+b AS (SELECT s, regexp_extract(s, '\\$([^*]*)\\*', 1) AS body, ('0x' || regexp_extract(s, '\\*([0-9A-Fa-f]{2})', 1))::INT AS told FROM s)
+SELECT s AS sentence, list_reduce([ascii(body[i]) FOR i IN range(1, length(body) + 1)], lambda a, c: xor(a, c))::INTEGER AS checksum,
+list_reduce([ascii(body[i]) FOR i IN range(1, length(body) + 1)], lambda a, c: xor(a, c)) = told AS valid FROM b""".replace("\\\\", "\\"))
+def nmea_checksum(spark: SparkSession, d: str) -> DataFrame:
+    """D2, U12"""
+    s = ["$GPGGA,092725.00,3937.3032,N,11627.1200,E,1,08,1.03,61.7,M,55.2,M,,*75", "$GPGGA,092725.00,4717.11399,N,00833.91590,E,1,08,1.01,499.6,M,48.0,M,,*5B", "$GPGGA,1,2*00"]
+    df = spark.createDataFrame([(x,) for x in s], "sentence string")
+    return df.select("sentence", nmea.checksum(F.col("sentence")).alias("checksum"), nmea.valid(F.col("sentence")).alias("valid"))
+
+
+@query("SELECT 39.62172::DOUBLE AS latitude, -116.452::DOUBLE AS longitude, 34045.0::DOUBLE AS time_of_day, 8::INTEGER AS satellites")
+def nmea_fields(spark: SparkSession, d: str) -> DataFrame:
+    """D1, D3"""
+    df = spark.createDataFrame([("noise$GPGGA,092725.00,3937.3032,N,11627.1200,W,1,08,1.03,61.7,M,55.2,M,,*75\r\n",)], "buffer string")
+    s = df.select(F.explode(nmea.sentences(F.col("buffer"))).alias("s"))
+    return s.select(*nmea.gga(F.col("s"))).select(F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "time_of_day", "satellites")
+
+
+def _enu_sql() -> str:
+    return """WITH g AS (SELECT n_nationkey AS k, radians(n_nationkey * 2.0 + 1) AS p, radians(n_nationkey * 3.0 - 20) AS l, n_nationkey * 10.0 AS h FROM nation),
+o AS (SELECT radians(25.0) AS p0, radians(10.0) AS l0, 6378137.0 AS a, (1 / 298.257223563) * (2 - 1 / 298.257223563) AS e2),
+n AS (SELECT *, a / sqrt(1 - e2 * sin(p) ** 2) AS n, a / sqrt(1 - e2 * sin(p0) ** 2) AS n0 FROM g, o),
+x AS (SELECT *, (n + h) * cos(p) * cos(l) - n0 * cos(p0) * cos(l0) AS dx, (n + h) * cos(p) * sin(l) - n0 * cos(p0) * sin(l0) AS dy, (n * (1 - e2) + h) * sin(p) - n0 * (1 - e2) * sin(p0) AS dz FROM n)
+SELECT k, round(-sin(l0) * dx + cos(l0) * dy, 3) AS east, round(-sin(p0) * cos(l0) * dx - sin(p0) * sin(l0) * dy + cos(p0) * dz, 3) AS north, round(cos(p0) * cos(l0) * dx + cos(p0) * sin(l0) * dy + sin(p0) * dz, 3) AS up FROM x"""
+
+
+@query(_enu_sql())
+def enu_projection(spark: SparkSession, d: str) -> DataFrame:
+    """D4"""
+    k = F.col("n_nationkey")
+    e, n, u = geometry.enu(k * 2.0 + 1, k * 3.0 - 20, k * 10.0, 25.0, 10.0, 0.0)
+    return read(spark, d, "nation").select(k.alias("k"), rounded(e, 3).alias("east"), rounded(n, 3).alias("north"), rounded(u, 3).alias("up"))
+
+
+@query("SELECT event_id, lpad(epoch_us(ts)::VARCHAR, 16, '0') AS stamp FROM events")
+def stamp_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """D6, D7"""
+    s = nmea.stamp_text(F.unix_micros(F.col("ts").cast("timestamp")))
+    return sensor(spark, d).select("event_id", nmea.stamp_text(F.unix_micros(nmea.stamp_seconds(s))).alias("stamp"))
+
+
+@query(f"SELECT pos, round(x * cos(0.5) - y * sin(0.5) + 1, 6) AS x, round(x * sin(0.5) + y * cos(0.5) + 2, 6) AS y, round(z + 3, 6) AS z FROM {PTS}")
+def rigid_transform(spark: SparkSession, d: str) -> DataFrame:
+    """M4-M7, M11"""
+    t = geometry.from_euler(1.0, 2.0, 3.0, 0.0, 0.0, 0.5)
+    x, y, z = geometry.transformed(*[F.col(c) for c in "xyz"], t)
+    return points(spark, d).select("pos", *[rounded(v).alias(c) for v, c in zip((x, y, z), "xyz")])
+
+
+@query(f"SELECT pos, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM {PTS}")
+def transform_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A transform and its inverse give the points back"""
+    t = geometry.from_euler(1.0, -2.0, 0.5, 0.1, 0.2, 0.3)
+    there = geometry.transformed(*[F.col(c) for c in "xyz"], t)
+    moved = points(spark, d).select("pos", *[v.alias(c) for v, c in zip(there, "xyz")])
+    return moved.select("pos", *[rounded(v).alias(c) for v, c in zip(geometry.inverse_transformed(*[F.col(c) for c in "xyz"], t), "xyz")])
+
+
+@query(f"SELECT pos, round((degrees(atan2(CASE WHEN y = 0 THEN 0.001 ELSE y END, CASE WHEN x = 0 THEN 0.001 ELSE x END)) + 360) % 360, 6) AS theta, round(CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END, 6) AS azimuth, round(atan2(z, sqrt(x * x + y * y)), 6) AS elevation, round(sqrt(x * x + y * y + z * z), 6) AS rng FROM {PTS}")
+def angles(spark: SparkSession, d: str) -> DataFrame:
+    """M1, M12, M13"""
+    x, y, z = (F.col(c) for c in "xyz")
+    az, el, rng = geometry.azimuth_polar_range(x, y, z)
+    return points(spark, d).select("pos", rounded(geometry.quadrant_angle(x, y)).alias("theta"), rounded(az).alias("azimuth"), rounded(el).alias("elevation"), rounded(rng).alias("rng"))
+
+
+@query("SELECT 0::BIGINT AS id, 0.5::DOUBLE AS inter, 0.5::DOUBLE AS share_a, 0.5::DOUBLE AS share_b, 0.333333::DOUBLE AS iou UNION ALL SELECT 1, 0, 0, 0, 0")
+def polygon_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Unit squares moved by a half and by two"""
+    square = lambda m: [(0.0 + m, 0.0), (1.0 + m, 0.0), (1.0 + m, 1.0), (0.0 + m, 1.0)]
+    kind = "array<struct<x: double, y: double>>"
+    df = spark.createDataFrame([(0, square(0.0), square(0.5)), (1, square(0.0), square(2.0))], f"id long, a {kind}, b {kind}")
+    o = df.select("id", polygon.convex_overlap("a", "b").alias("o"))
+    return o.select("id", *[rounded(F.col(f"o.{c}")).alias(c) for c in ("inter", "share_a", "share_b", "iou")])
+
+
+# ---- clustering, models, stateful ----
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT * FROM {PTS}), e AS (SELECT a.frame, a.pos AS a, b.pos AS b FROM p a JOIN p b ON a.frame = b.frame WHERE {D2} <= 4),
+core AS (SELECT a AS pos FROM e GROUP BY a HAVING count(*) >= 3), l AS (SELECT a, b FROM e WHERE a IN (SELECT pos FROM core) AND b IN (SELECT pos FROM core)),
+r AS (SELECT pos AS node, pos AS seen FROM core UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a), c AS (SELECT node AS pos, min(seen) AS cluster FROM r GROUP BY node),
+bd AS (SELECT e.a AS pos, min(c.cluster) AS cluster FROM e JOIN c ON e.b = c.pos WHERE e.a NOT IN (SELECT pos FROM core) GROUP BY e.a)
+SELECT p.pos, coalesce(c.cluster, bd.cluster) AS cluster, c.pos IS NOT NULL AS core FROM p LEFT JOIN c USING (pos) LEFT JOIN bd USING (pos)""")
+def dbscan(spark: SparkSession, d: str) -> DataFrame:
+    """G6-G8, G10, G11"""
+    return cluster.dbscan(points(spark, d), 2.0, 3, ["frame"]).select("pos", "cluster", "core")
+
+
+@query()
+def euclidean_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """G9"""
+    return cluster.euclidean_clusters(points(spark, d), 2.0, ["frame"], 3).groupBy("frame", "cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def curved_voxel_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """G4, G5"""
+    return cluster.curved_voxels(points(spark, d), 1.0, 0.2, 0.2, ["frame"]).groupBy("frame", "cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def segment(spark: SparkSession, d: str) -> DataFrame:
+    """Range images of lineitem cells"""
+    li = read(spark, d, "lineitem").select((F.col("l_suppkey") % 4).cast("long").alias("frame"), (F.col("l_partkey") % 16).cast("int").alias("row"), (F.col("l_orderkey") % 60).cast("int").alias("col"), F.col("l_quantity").alias("range"), F.col("l_orderkey").alias("o"))
+    image = li.groupBy("frame", "row", "col").agg(F.max_by("range", F.struct("o", "range")).alias("range"))
+    return cluster.segments(image, 16, 60, least=5, small=3, lines=2)
+
+
+@query()
+def assign(spark: SparkSession, d: str) -> DataFrame:
+    """Points of even and odd ids matched one to one in each frame"""
+    p = points(spark, d)
+    near = joins.radius_join(p.where("pos % 2 = 0"), p.where("pos % 2 = 1"), 3.0, ["frame"])
+    return cluster.assigned(near.select("frame", F.col("pos").alias("i"), F.col("pos_r").alias("j"), F.sqrt("d2").alias("cost")), ["frame"])
+
+
+@query()
+def sparsify(spark: SparkSession, d: str) -> DataFrame:
+    """W18-W23, U9"""
+    p = points(spark, d)
+    return windows.sparsified(p, ["frame"], ["pos"], "frame long, pos long, x double, y double, z double", windows.away_from_kept(4.0)).select("frame", "pos")
+
+
+@query()
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """W4, W25 with suppression"""
+    c = windows.curvature(sensor(spark, d), "value", KEY, ORDER).select("user_id", F.col("event_id").alias("pos"), "curvature")
+    return windows.features(c, "user_id long, pos long, curvature double", KEY).where("feature <> 0").select("user_id", "pos", "feature")
+
+
+@query()
+def kmeans(spark: SparkSession, d: str) -> DataFrame:
+    """G15"""
+    p = points(spark, d)
+    start = np.array([[r[c] for c in "xyz"] for r in p.orderBy("pos").limit(4).collect()])
+    centres, _ = models.kmeans(p, list("xyz"), start)
+    return p.select("pos", models.nearest_centre(list("xyz"), centres).alias("k"))
+
+
+@query()
+def gmm_density(spark: SparkSession, d: str) -> DataFrame:
+    """G16, G17"""
+    p = points(spark, d)
+    start = np.array([[r[c] for c in "xyz"] for r in p.orderBy("pos").limit(2).collect()])
+    _, mean, var = models.gmm(p, list("xyz"), start, 5)
+    return p.select("pos", rounded(models.gaussian(list("xyz"), mean[0], var[0]), 4).alias("log_density"))
+
+
+@query()
+def hmm(spark: SparkSession, d: str) -> DataFrame:
+    """G18"""
+    e = sensor(spark, d).select("user_id", "event_id", "ts", (F.col("value") > 20).cast("int").alias("s"))
+    r = models.decoded(e, KEY, ORDER, "s", [0.5, 0.5], [[0.8, 0.2], [0.2, 0.8]], [[0.7, 0.3], [0.2, 0.8]], "user_id long, event_id long, ts timestamp_ntz, s int")
+    return r.select("user_id", "event_id", "state")
+
+
+@query()
+def kalman(spark: SparkSession, d: str) -> DataFrame:
+    """G27, U11"""
+    e = sensor(spark, d).select("user_id", "event_id", (F.col("t") / 3600).alias("t"), F.col("value").alias("x"), (F.col("value") / 2).alias("y"), F.col("event_type").alias("status"))
+    r = models.kalman(e, KEY, ["t", "event_id"], "user_id long, event_id long, t double, x double, y double, status string", {"view": 1.0, "purchase": 0.5})
+    return r.select("user_id", "event_id", rounded(F.col("fx"), 4).alias("fx"), rounded(F.col("vx"), 4).alias("vx"))
+
+
+@query()
+def carry_forward(spark: SparkSession, d: str) -> DataFrame:
+    """W5"""
+    e = sensor(spark, d).select("user_id", "event_id", "ts", "value")
+    return windows.carry_forward(e, "value", KEY, ORDER, 30.0, "user_id long, event_id long, ts timestamp_ntz, value double").select("user_id", "event_id", "value")
+
+
+@query()
+def pose_product(spark: SparkSession, d: str) -> DataFrame:
+    """W6, W9, W26, M5"""
+    t = geometry.from_euler(*[F.col("value") / 100 if i in (0, 5) else F.lit(0.0) for i in range(6)], lib=F)
+    names = [f"t{i}{j}" for i in range(3) for j in range(4)]
+    e = sensor(spark, d).select("user_id", "event_id", "ts", *[v.alias(n) for v, n in zip(t, names)])
+    schema = "user_id long, event_id long, ts timestamp_ntz, " + ", ".join(f"{n} double" for n in names)
+    r = windows.pose_product(e, KEY, ORDER, schema)
+    return r.select("user_id", "event_id", rounded(F.col("t03"), 4).alias("x"), rounded(F.col("t13"), 4).alias("y"))
+
+
+@query()
+def normal_equations(spark: SparkSession, d: str) -> DataFrame:
+    """Plane residuals z - (a x + b y + c) of all points, one aggregate and a 3 x 3 solve"""
+    a, b, _ = models.normal_equations(points(spark, d), [F.col("x"), F.col("y"), F.lit(1.0)], -F.col("z"))
+    s = models.damped_step(a, b, 0.0)
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(s)], "k long, value double")
+
+
