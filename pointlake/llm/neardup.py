@@ -14,9 +14,10 @@ null text, the set is empty and linked with nothing). Two documents are linked w
    paired with the bucket's smallest one (a star: linear in the bucket's size). A likelihood-ratio test on the
    registers (counts of larger, smaller, equal; set sizes known) drops pairs that are far below the threshold.
 4. Verify. Full shingle sets of both sides are intersected. Links found so far give components.
-5. Rest. In buckets that still hold more than one component, each class outside the bucket's largest component
-   is paired with all classes of other components, tested and verified likewise. Pairs inside a component can't
-   change the result. So every pair of classes that shares a bucket is decided: linked, or known to be connected.
+5. Rest. In buckets that still hold more than one component, classes outside the bucket's largest component
+   are compared with all classes of other components, block against block in numpy (rows are pairs of blocks, never all pairs of a bucket), and what is plausible is verified likewise.
+   Pairs inside a component can't change the result. So every pair of classes that shares a bucket is decided:
+   linked, or known to be connected, or tested and found apart.
 
 Chance to miss a pair: at similarity 0.75 no band of 24 agrees with probability (1 - 0.75**4)**24 = 1e-4, at 0.85
 2e-8. A null doc_id can't be named: such a row takes part in nothing and gets a null component.
@@ -35,10 +36,13 @@ from pointlake.llm.components import components
 
 SHINGLE, PER_CENT = 5, 75
 BANDS, ROWS = 24, 4
-M = BANDS * ROWS
+BLOCK, LEAST_EQUAL = 256, 130  # of 256 registers 192 are equal at similarity 0.75: fewer than 130 with probability 1e-15
+M = 256  # the first BANDS * ROWS make the bands, all of them the estimate
 BASE, Q, RATE = 1.02, 2046, 1 / 64.0
-#: A pair goes if its best likelihood at or above the threshold is this many nats below its best overall (5 sigma).
-NATS = 12.5
+#: A pair goes if its best likelihood at or above the threshold is this many nats below its best overall (3.7 sigma).
+NATS = 7.0
+#: Ids that may be broadcast to pick texts; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(7)
 _A, _B = (_rng.integers(0, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in "ab")
@@ -128,13 +132,64 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     """pairs (a, b) of class ids -> the links among them."""
     side = lambda c: classes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
     with_regs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    left = written(arrow(with_regs, _plausible, "a long, b long"))
+    return _sure(arrow(with_regs, _plausible, "a long, b long"), docs)
+
+
+def _sure(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Plausible pairs -> the links among them, by full shingle sets."""
+    left = written(pairs)
     ids = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
-    sets = written(arrow(docs.join(ids, "doc_id", "left_semi"), _sets, "doc_id long, items binary"))
+    ids = written(ids)
+    picked = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    sets = written(arrow(picked, _sets, "doc_id long, items binary"))
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"items_{c}"))
     return written(arrow(left.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b"), _linked, "a long, b long"))
 
 
+def _block_pairs(batch: pa.RecordBatch):
+    """Plausible pairs between two blocks of classes of one bucket, other than within a component."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for left, right in zip(batch.column(0), batch.column(1)):
+        (ids_a, comp_a, n_a, regs_a), (ids_b, comp_b, n_b, regs_b) = (
+            (*(side.values.field(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "comp", "n")), np.frombuffer(b"".join(side.values.field("regs").to_pylist()), "<u2").reshape(-1, M))
+            for side in (left, right)
+        )
+        for at in range(0, len(ids_a), 64):
+            part = slice(at, at + 64)
+            small, large = np.minimum(n_a[part, None], n_b[None, :]), np.maximum(n_a[part, None], n_b[None, :])
+            ok = (comp_a[part, None] != comp_b[None, :]) & (100 * small >= PER_CENT * large)
+            ok &= (regs_a[part, None, :] == regs_b[None, :, :]).sum(2) >= LEAST_EQUAL
+            i, j = np.nonzero(ok)
+            if len(i):
+                level = likelihoods(regs_a[part][i], regs_b[j], n_a[part][i].astype(float), n_b[j].astype(float), _GRID)
+                keep = level[:, _GRID * 100 >= PER_CENT - 1e-6].max(1) >= level.max(1) - NATS
+                x, y = ids_a[part][i[keep]], ids_b[j[keep]]
+                found.append((np.minimum(x, y), np.maximum(x, y)))
+    return {"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])} if found else None
+
+
+def _in_blocks(open_rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Plausible pairs of each bucket's classes outside its main component with all others.
+
+    A bucket's classes are dealt into blocks of about BLOCK by hash; pairs of blocks, not pairs of classes, are rows, and
+    numpy compares the registers of two blocks. So a passage that very many documents share makes few rows.
+    """
+    counts = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    dealt = open_rows.join(classes.select("doc_id", "n", "regs"), "doc_id").join(counts, "key")
+    dealt = written(dealt.select("key", F.pmod(F.xxhash64("doc_id"), "_blocks").alias("block"), "main", F.struct("doc_id", "comp", "n", "regs").alias("row")))
+    side = lambda df, name: df.groupBy("key", "block").agg(F.collect_list("row").alias(name)).drop("block")
+    both = side(dealt.where("row.comp <> main"), "left").join(side(dealt, "right"), "key")
+    return arrow(both.select("left", "right"), _block_pairs, "a long, b long").distinct()
+
+
+def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc_id, hub, comp, main) of the buckets that still hold more than one component; main is the largest."""
+    named = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("_n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.count("*").alias("_k")).where("_k > 1").drop("_k")
+    return written(named.join(mixed, "key").select("key", "doc_id", "hub", "comp", "main"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_shingles, component_id), a row for every row of docs."""
     docs = docs.select("doc_id", "text")
@@ -151,14 +206,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _verified(stars, classes, docs)
     found = components(links)
 
-    named = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("_n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.count("*").alias("_k")).where("_k > 1").drop("_k")
-    open_rows = written(named.join(mixed, "key").select("key", "doc_id", "hub", "comp", "main"))
-    x = open_rows.where("comp <> main AND doc_id <> hub").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
-    y = open_rows.where("doc_id <> hub").select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"))
-    rest = x.join(y, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _verified(rest.join(stars, ["a", "b"], "left_anti"), classes, docs)
+    open_rows = _open(shared, found)
+    more = _sure(_in_blocks(open_rows.where("doc_id <> hub"), classes), docs)
 
     # several sets under one doc_id tie their classes together
     same = sketch.join(firsts, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
