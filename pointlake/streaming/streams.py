@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def interval_stream_join(left: DataFrame, right: DataFrame, tolerance: str, delay: str, keys: list[str] = ()) -> DataFrame:
-    """Rows with |ts - ts_r| below the tolerance ([-, +) as batch); both sides carry watermarks, so state ends."""
-    a = left.withWatermark("ts", delay).alias("a")
-    b = right.withWatermark("ts_r", delay).alias("b")
-    on = F.expr(f"b.ts_r >= a.ts - interval {tolerance} and b.ts_r < a.ts + interval {tolerance}")
+def interval_stream_join(left: DataFrame, right: DataFrame, tolerance: float, delay: str, keys: list[str] = ()) -> DataFrame:
+    """ts_r within [ts - tolerance, ts + tolerance) seconds; both sides carry watermarks, so state ends.
+
+    A stream join needs an equality: time is cut into buckets of twice the tolerance, and left rows are listed in two.
+    """
+    width, micros = int(2e6 * tolerance), int(1e6 * tolerance)
+    low = F.floor((F.unix_micros("ts") - micros) / width)
+    a = left.withWatermark("ts", delay).withColumn("_slot", F.explode(F.array(low, low + 1))).alias("a")
+    b = right.withWatermark("ts_r", delay).withColumn("_slot", F.floor(F.unix_micros("ts_r") / width)).alias("b")
+    on = F.expr(f"a._slot = b._slot and b.ts_r >= a.ts - interval {micros} microseconds and b.ts_r < a.ts + interval {micros} microseconds")
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(b, on)
+    return a.join(b, on).drop("_slot")
 
 
 def equi_stream_join(streams: list[DataFrame], stamp: str = "stamp", delay: str = "1 second") -> DataFrame:

@@ -73,5 +73,5 @@ def test_stream_join_equals_batch(spark, tmp_path):
     base.select(F.col("id").alias("rid"), F.col("ts").alias("ts_r")).coalesce(1).write.parquet(str(tmp_path / "b"))
     a = spark.readStream.schema("id long, ts timestamp").parquet(str(tmp_path / "a"))
     b = spark.readStream.schema("rid long, ts_r timestamp").parquet(str(tmp_path / "b"))
-    run(streams.interval_stream_join(a, b, "1 second", "5 seconds").select("id", "rid"), "sj")
+    run(streams.interval_stream_join(a, b, 1.0, "5 seconds").select("id", "rid"), "sj")
     assert {(r["id"], r["rid"]) for r in spark.table("sj").collect()} == {(i, j) for i in range(20) for j in (i - 1, i) if j >= 0}
