@@ -10,9 +10,10 @@ null text, the set is empty and linked with nothing). Two documents are linked w
    follows the similarity.
 2. Classes. Documents with the same set are one class, known by a 128-bit hash of the sorted set; its smallest
    doc_id stands for it, so copies never pair up.
-3. Candidates. Bands of ROWS registers; classes that agree in a band share a bucket. Every class in a bucket is
-   paired with the bucket's smallest one (a star: linear in the bucket's size). A likelihood-ratio test on the
-   registers (counts of larger, smaller, equal; set sizes known) drops pairs that are far below the threshold.
+3. Candidates. Bands of ROWS registers; classes that agree in a band share a bucket, whose hub is its smallest
+   class. Every class is paired with the hub it meets in most bands: one pair a class, however large the buckets are.
+   A likelihood-ratio test on the registers (counts of larger, smaller, equal; set sizes known) drops pairs that are
+   far below the threshold.
 4. Verify. Full shingle sets of both sides are intersected. Links found so far give components.
 5. Rest. In buckets that still hold more than one component, classes outside the bucket's largest component
    are compared with all classes of other components, block against block in numpy (rows are pairs of blocks, never all pairs of a bucket), and what is plausible is verified likewise.
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = classes.select("doc_id", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
     hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_top")).where("hub < _top").select("key", "hub")
     shared = written(rows.join(hubs, "key"))
-    stars = shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = shared.where("doc_id <> hub").groupBy("doc_id").agg(F.mode("hub", True).alias("a")).select("a", F.col("doc_id").alias("b"))
     links = _verified(stars, classes, docs)
     found = components(links)
 
