@@ -15,6 +15,7 @@ null text, the set is empty and linked with nothing). Two documents are linked w
    A likelihood-ratio test on the registers (counts of larger, smaller, equal; set sizes known) drops pairs that are
    far below the threshold.
 4. Verify. Full shingle sets of both sides are intersected. Links found so far give components.
+   Then each component is paired once with the hub of another one that it meets in most buckets, and verified likewise.
 5. Rest. In buckets that still hold more than one component, classes outside the bucket's largest component
    are compared with all classes of other components, block against block in numpy (rows are pairs of blocks, never all pairs of a bucket), and what is plausible is verified likewise.
    Pairs inside a component can't change the result. So every pair of classes that shares a bucket is decided:
@@ -191,6 +192,15 @@ def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
     return written(named.join(mixed, "key").select("key", "doc_id", "hub", "comp", "main"))
 
 
+def _best_hubs(open_rows: DataFrame) -> DataFrame:
+    """One pair (a, b) for each component that meets a hub of another: the hub and the class that share most buckets."""
+    met = open_rows.groupBy("comp", "hub", "doc_id").agg(F.count("*").alias("_n"))
+    by_hub = met.groupBy("comp", "hub").agg(F.min("doc_id").alias("_low"), F.max("_n").alias("_n"), F.max_by("doc_id", F.struct("_n", "doc_id")).alias("b"))
+    other = by_hub.where("_low <> hub")  # a component's own hub is its smallest class in the hub's buckets
+    best = other.groupBy("comp").agg(F.max_by(F.struct(F.col("hub").alias("a"), "b"), F.struct("_n", "hub")).alias("_p"))
+    return best.select("_p.a", "_p.b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_shingles, component_id), a row for every row of docs."""
     docs = docs.select("doc_id", "text")
@@ -207,6 +217,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _verified(stars, classes, docs)
     found = components(links)
 
+    open_rows = _open(shared, found)
+    bridges = _verified(_best_hubs(open_rows), classes, docs)
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges))
     open_rows = _open(shared, found)
     more = _sure(_in_blocks(open_rows.where("doc_id <> hub"), classes), docs)
 
