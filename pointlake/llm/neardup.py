@@ -11,9 +11,11 @@ null text, the set is empty and linked with nothing). Two documents are linked w
 2. Classes. Documents with the same set are one class, known by a 128-bit hash of the sorted set; its smallest
    doc_id stands for it, so copies never pair up.
 3. Candidates. Bands of ROWS registers; classes that agree in a band share a bucket. Every class in a bucket is
-   paired with the bucket's smallest one (a star: linear in the bucket's size). A likelihood-ratio test on the
-   registers (counts of larger, smaller, equal; set sizes known) drops pairs that are far below the threshold.
-4. Verify. Full shingle sets of both sides are intersected. Links found so far give components.
+   paired with the bucket's smallest one (a star: linear in the bucket's size) unless both are known to be connected.
+   A likelihood-ratio test on the registers (counts of larger, smaller, equal; set sizes known) drops pairs that are
+   far below the threshold.
+4. Verify. Full shingle sets of both sides are intersected. Links found so far give components. Steps 3 and 4 run
+   in two rounds: the first FIRST_BANDS bands connect most of a large group, so the other bands pair only the rest.
 5. Rest. In buckets that still hold more than one component, classes outside the bucket's largest component
    are compared with all classes of other components, block against block in numpy (rows are pairs of blocks, never all pairs of a bucket), and what is plausible is verified likewise.
    Pairs inside a component can't change the result. So every pair of classes that shares a bucket is decided:
@@ -35,7 +37,7 @@ from pointlake.llm.common import arrow, table, written
 from pointlake.llm.components import components
 
 SHINGLE, PER_CENT = 5, 75
-BANDS, ROWS = 24, 4
+BANDS, ROWS, FIRST_BANDS = 24, 4, 6
 BLOCK, LEAST_EQUAL = 256, 130  # of 256 registers 192 are equal at similarity 0.75: fewer than 130 with probability 1e-15
 M = 256  # the first BANDS * ROWS make the bands, all of them the estimate
 BASE, Q, RATE = 1.02, 2046, 1 / 64.0
@@ -182,12 +184,32 @@ def _in_blocks(open_rows: DataFrame, classes: DataFrame) -> DataFrame:
     return arrow(both.select("left", "right"), _block_pairs, "a long, b long").distinct()
 
 
-def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, doc_id, hub, comp, main) of the buckets that still hold more than one component; main is the largest."""
-    named = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("_n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.count("*").alias("_k")).where("_k > 1").drop("_k")
-    return written(named.join(mixed, "key").select("key", "doc_id", "hub", "comp", "main"))
+def _buckets(classes: DataFrame, found: DataFrame | None, bands: range) -> DataFrame:
+    """(key, doc_id, comp): the bucket of every class in each of the bands, with the component known so far."""
+    if found is None:
+        named = classes.select("doc_id", "regs", F.col("doc_id").alias("comp"))
+    else:
+        names = found.select(F.col("node").alias("doc_id"), "component")
+        named = classes.select("doc_id", "regs").join(names, "doc_id", "left").select("doc_id", "regs", F.coalesce("component", "doc_id").alias("comp"))
+    band = lambda i: F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + 2 * ROWS * i}, {2 * ROWS})"))
+    return named.select("doc_id", "comp", F.explode(F.array(*[band(i) for i in bands])).alias("key"))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's smallest class with the classes that are not known to be connected with it."""
+    hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "comp")).alias("hub"), F.min("comp").alias("_low"), F.max("comp").alias("_high"))
+    hubs = hubs.where("_low < _high").select(F.col("key").alias("_key"), F.col("hub.doc_id").alias("a"), F.col("hub.comp").alias("_comp"))
+    apart = rows.join(hubs, (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")))
+    return apart.select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """(key, doc_id, comp, main) of the buckets that still hold more than one component, without each bucket's
+    smallest class, which the stars have decided; main is the largest component."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.min("_first").alias("hub"), F.count("*").alias("_k"))
+    mixed = mixed.where("_k > 1").select(F.col("key").alias("_key"), "main", "hub")
+    return written(rows.join(mixed, (F.col("key") == F.col("_key")) & (F.col("doc_id") != F.col("hub"))).select("key", "doc_id", "comp", "main"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -196,18 +218,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = written(arrow(docs, _sketch, "doc_id long, n long, set_id binary, regs binary"))
     firsts = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     firsts = written(firsts)
-    classes = sketch.join(firsts.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"])
+    classes = written(sketch.join(firsts.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"]))
     # several texts under one doc_id are one node; their sets are tested one by one
-    band = lambda i: F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + 2 * ROWS * i}, {2 * ROWS})"))
-    rows = classes.select("doc_id", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_top")).where("hub < _top").select("key", "hub")
-    shared = written(rows.join(hubs, "key"))
-    stars = shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(stars, classes, docs)
-    found = components(links)
-
-    open_rows = _open(shared, found)
-    more = _sure(_in_blocks(open_rows.where("doc_id <> hub"), classes), docs)
+    links, found = None, None
+    for bands in (range(FIRST_BANDS), range(FIRST_BANDS, BANDS)):
+        fresh = _verified(_stars(_buckets(classes, found, bands)), classes, docs)
+        links = fresh if links is None else links.unionByName(fresh)
+        found = components(links)
+
+    more = _sure(_in_blocks(_open(_buckets(classes, found, range(BANDS))), classes), docs)
 
     # several sets under one doc_id tie their classes together
     same = sketch.join(firsts, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
