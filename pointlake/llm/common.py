@@ -35,8 +35,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of an Arrow batch between JVM and Python; both sides hold it once or twice for each running task.
+ARROW_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to ARROW_BYTES; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with a function from one non-empty record batch to rows (a dict of columns) or None."""
+    bounded(df.sparkSession)
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -61,7 +74,7 @@ def record(cols: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 #: Bytes of text handled at once by the numpy kernels; a longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def sliced(batch: pa.RecordBatch, limit: int = SLICE_BYTES):
