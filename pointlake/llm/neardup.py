@@ -16,8 +16,9 @@ null text, the set is empty and linked with nothing). Two documents are linked w
    far below the threshold.
 4. Verify. Full shingle sets of both sides are intersected. Links found so far give components. Steps 3 and 4 run
    in two rounds: the first FIRST_BANDS bands connect most of a large group, so the other bands pair only the rest.
-5. Rest. In buckets that still hold more than one component, classes outside the bucket's largest component
-   are compared with all classes of other components, block against block in numpy (rows are pairs of blocks, never all pairs of a bucket), and what is plausible is verified likewise.
+5. Rest. In buckets that still hold more than one component, classes outside the bucket's largest component are
+   compared with all classes of other components, block against block in numpy: rows are pairs of blocks, never pairs
+   of classes. A pair is looked at in the first band in which it agrees; what is plausible is verified in place.
    Pairs inside a component can't change the result. So every pair of classes that shares a bucket is decided:
    linked, or known to be connected, or tested and found apart.
 
@@ -38,7 +39,8 @@ from pointlake.llm.components import components
 
 SHINGLE, PER_CENT = 5, 75
 BANDS, ROWS, FIRST_BANDS = 24, 4, 6
-BLOCK, LEAST_EQUAL = 256, 130  # of 256 registers 192 are equal at similarity 0.75: fewer than 130 with probability 1e-15
+BLOCK, BLOCK_BYTES = 256, 2 << 20  # classes of a block and bytes of their sets, about
+LEAST_EQUAL = 130  # of 256 registers 192 are equal at similarity 0.75: fewer than 130 with probability 1e-15
 M = 256  # the first BANDS * ROWS make the bands, all of them the estimate
 BASE, Q, RATE = 1.02, 2046, 1 / 64.0
 #: A pair goes if its best likelihood at or above the threshold is this many nats below its best overall (3.7 sigma).
@@ -90,7 +92,8 @@ def _sketch(batch: pa.RecordBatch):
 
 def _sets(batch: pa.RecordBatch):
     sh, to = wordhash.shingles(*wordhash.words(batch.column(1)), SHINGLE)
-    return {"doc_id": batch.column(0), "items": [np.unique(sh[to[i] : to[i + 1]]).tobytes() for i in range(batch.num_rows)]}
+    items = [np.unique(sh[to[i] : to[i + 1]]) for i in range(batch.num_rows)]
+    return {"doc_id": batch.column(0), "set_id": [wordhash.digest16(x) for x in items], "items": [x.tobytes() for x in items]}
 
 
 def _log_p(share: np.ndarray) -> np.ndarray:
@@ -120,79 +123,85 @@ def _plausible(batch: pa.RecordBatch):
     return {"a": batch.column(0).take(pa.array(keep)), "b": batch.column(1).take(pa.array(keep))} if len(keep) else None
 
 
+def _is_link(x: bytes, y: bytes) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= PER_CENT * (len(a) + len(b) - common)
+
+
 def _linked(batch: pa.RecordBatch):
-    keep = []
-    for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        common = len(np.intersect1d(a, b, assume_unique=True))
-        if 100 * common >= PER_CENT * (len(a) + len(b) - common):
-            keep.append(i)
+    keep = [i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if _is_link(x, y)]
     return {"a": batch.column(0).take(pa.array(keep)), "b": batch.column(1).take(pa.array(keep))} if keep else None
 
 
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, set_id, items): the full shingle sets of the documents of ids (doc_id)."""
+    ids = written(ids.distinct())
+    picked = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return written(arrow(picked, _sets, "doc_id long, set_id binary, items binary"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs (a, b) of class ids -> the links among them."""
     side = lambda c: classes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
     with_regs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    return _sure(arrow(with_regs, _plausible, "a long, b long"), docs)
-
-
-def _sure(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Plausible pairs -> the links among them, by full shingle sets."""
-    left = written(pairs)
-    ids = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
-    ids = written(ids)
-    picked = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = written(arrow(picked, _sets, "doc_id long, items binary"))
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"items_{c}"))
-    return written(arrow(left.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b"), _linked, "a long, b long"))
-
-
-def _block_pairs(batch: pa.RecordBatch):
-    """Plausible pairs between two blocks of classes of one bucket, other than within a component."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for left, right in zip(batch.column(0), batch.column(1)):
-        (ids_a, comp_a, n_a, regs_a), (ids_b, comp_b, n_b, regs_b) = (
-            (*(side.values.field(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "comp", "n")), np.frombuffer(b"".join(side.values.field("regs").to_pylist()), "<u2").reshape(-1, M))
-            for side in (left, right)
-        )
+    left = written(arrow(with_regs, _plausible, "a long, b long"))
+    sets = _texts(left.select(F.col("a").alias("doc_id")).union(left.select("b")), docs)
+    full = lambda c: sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"items_{c}"))
+    return written(arrow(left.join(full("a"), "a").join(full("b"), "b").select("a", "b", "items_a", "items_b"), _linked, "a long, b long"))
+
+
+def _block_links(batch: pa.RecordBatch):
+    """Links between two blocks of classes of one bucket, other than within a component."""
+    found: list[tuple[int, int]] = []
+    for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+        (ids_a, comp_a, n_a, _), (ids_b, comp_b, n_b, main_b) = ([side.values.field(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "comp", "n", "in_main")] for side in (left, right))
+        (regs_a, sets_a), (regs_b, sets_b) = ((np.frombuffer(b"".join(side.values.field("regs").to_pylist()), "<u2").reshape(-1, M), side.values.field("items").to_pylist()) for side in (left, right))
         for at in range(0, len(ids_a), 64):
             part = slice(at, at + 64)
             small, large = np.minimum(n_a[part, None], n_b[None, :]), np.maximum(n_a[part, None], n_b[None, :])
             ok = (comp_a[part, None] != comp_b[None, :]) & (100 * small >= PER_CENT * large)
-            ok &= (regs_a[part, None, :] == regs_b[None, :, :]).sum(2) >= LEAST_EQUAL
+            ok &= main_b[None, :] | (ids_a[part, None] < ids_b[None, :])  # two classes outside the main component meet twice
             i, j = np.nonzero(ok)
-            if len(i):
-                level = likelihoods(regs_a[part][i], regs_b[j], n_a[part][i].astype(float), n_b[j].astype(float), _GRID)
-                keep = level[:, _GRID * 100 >= PER_CENT - 1e-6].max(1) >= level.max(1) - NATS
-                x, y = ids_a[part][i[keep]], ids_b[j[keep]]
-                found.append((np.minimum(x, y), np.maximum(x, y)))
-    return {"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])} if found else None
-
-
-def _in_blocks(open_rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Plausible pairs of each bucket's classes outside its main component with all others.
-
-    A bucket's classes are dealt into blocks of about BLOCK by hash; pairs of blocks, not pairs of classes, are rows, and
-    numpy compares the registers of two blocks. So a passage that very many documents share makes few rows.
+            equal = regs_a[part][i] == regs_b[j]
+            first = equal[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            sure = np.flatnonzero((equal.sum(1) >= LEAST_EQUAL) & (first == band))
+            if not len(sure):
+                continue
+            i, j = i[sure] + at, j[sure]
+            level = likelihoods(regs_a[i], regs_b[j], n_a[i].astype(float), n_b[j].astype(float), _GRID)
+            keep = level[:, _GRID * 100 >= PER_CENT - 1e-6].max(1) >= level.max(1) - NATS
+            found += [(ids_a[x], ids_b[y]) for x, y in zip(i[keep], j[keep]) if _is_link(sets_a[x], sets_b[y])]
+    return {"a": [x for x, _ in found], "b": [y for _, y in found]} if found else None
+
+
+def _in_blocks(open_rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links of each bucket's classes outside its main component with all others.
+
+    A bucket's classes are dealt by hash into blocks of about BLOCK classes or BLOCK_BYTES of sets; pairs of blocks are
+    rows, and numpy compares them. So a passage that very many documents share makes few rows.
     """
-    counts = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-    dealt = open_rows.join(classes.select("doc_id", "n", "regs"), "doc_id").join(counts, "key")
-    dealt = written(dealt.select("key", F.pmod(F.xxhash64("doc_id"), "_blocks").alias("block"), "main", F.struct("doc_id", "comp", "n", "regs").alias("row")))
-    side = lambda df, name: df.groupBy("key", "block").agg(F.collect_list("row").alias(name)).drop("block")
-    both = side(dealt.where("row.comp <> main"), "left").join(side(dealt, "right"), "key")
-    return arrow(both.select("left", "right"), _block_pairs, "a long, b long").distinct()
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("_blocks")
+    counts = open_rows.groupBy("key").agg(blocks)
+    full = classes.select("doc_id", "set_id", "regs").join(_texts(open_rows.select("doc_id"), docs), ["doc_id", "set_id"])
+    dealt = open_rows.join(counts, "key").join(full, "doc_id")
+    row = F.struct("doc_id", "comp", "n", "regs", "items", (F.col("comp") == F.col("main")).alias("in_main")).alias("row")
+    dealt = dealt.select("key", "band", F.pmod(F.xxhash64("doc_id"), "_blocks").alias("block"), row)
+    side = lambda df, name: df.groupBy("key", "band", "block").agg(F.collect_list("row").alias(name)).drop("block")
+    both = side(dealt.where("NOT row.in_main"), "left").join(side(dealt, "right").drop("band"), "key")
+    return written(arrow(both.select("band", "left", "right"), _block_links, "a long, b long").distinct())
 
 
 def _buckets(classes: DataFrame, found: DataFrame | None, bands: range) -> DataFrame:
-    """(key, doc_id, comp): the bucket of every class in each of the bands, with the component known so far."""
+    """(band, key, doc_id, n, comp): the bucket of every class in each of the bands (counted from the first of them), with
+    the component known so far."""
     if found is None:
-        named = classes.select("doc_id", "regs", F.col("doc_id").alias("comp"))
+        named = classes.select("doc_id", "n", "regs", F.col("doc_id").alias("comp"))
     else:
         names = found.select(F.col("node").alias("doc_id"), "component")
-        named = classes.select("doc_id", "regs").join(names, "doc_id", "left").select("doc_id", "regs", F.coalesce("component", "doc_id").alias("comp"))
+        named = classes.select("doc_id", "n", "regs").join(names, "doc_id", "left").select("doc_id", "n", "regs", F.coalesce("component", "doc_id").alias("comp"))
     band = lambda i: F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + 2 * ROWS * i}, {2 * ROWS})"))
-    return named.select("doc_id", "comp", F.explode(F.array(*[band(i) for i in bands])).alias("key"))
+    return named.select("doc_id", "n", "comp", F.posexplode(F.array(*[band(i) for i in bands])).alias("band", "key"))
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -204,12 +213,12 @@ def _stars(rows: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """(key, doc_id, comp, main) of the buckets that still hold more than one component, without each bucket's
+    """(key, band, doc_id, n, comp, main) of the buckets that still hold more than one component, without each bucket's
     smallest class, which the stars have decided; main is the largest component."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"))
     mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.min("_first").alias("hub"), F.count("*").alias("_k"))
     mixed = mixed.where("_k > 1").select(F.col("key").alias("_key"), "main", "hub")
-    return written(rows.join(mixed, (F.col("key") == F.col("_key")) & (F.col("doc_id") != F.col("hub"))).select("key", "doc_id", "comp", "main"))
+    return written(rows.join(mixed, (F.col("key") == F.col("_key")) & (F.col("doc_id") != F.col("hub"))).select("key", "band", "doc_id", "n", "comp", "main"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -226,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = fresh if links is None else links.unionByName(fresh)
         found = components(links)
 
-    more = _sure(_in_blocks(_open(_buckets(classes, found, range(BANDS))), classes), docs)
+    more = _in_blocks(_open(_buckets(classes, found, range(BANDS))), classes, docs)
 
     # several sets under one doc_id tie their classes together
     same = sketch.join(firsts, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
