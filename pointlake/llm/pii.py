@@ -40,9 +40,10 @@ GIVEN = {
 #: Titles of address and the gender they give (n: none).
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Dr": "n", "Prof": "n", "Господин": "m", "Госпожа": "f"}
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]{1,30}"
+#: (kind, what every match holds, pattern); None stands for a digit, "" for nothing.
 _PATTERNS = [
     ("email", "@", re.compile(r"(?<![\w.%+\-])[\w.%+\-]{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63}){1,8}(?<![\-_])")),
-    ("secret", None, re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_\-+/]{12,200}={0,2})|\b((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,60}|sk-[A-Za-z0-9\-_]{20,80}|xox[bap]-[A-Za-z0-9\-]{10,80})\b")),
+    ("secret", "", re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_\-+/]{12,200}={0,2})|\b((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,60}|sk-[A-Za-z0-9\-_]{20,80}|xox[bap]-[A-Za-z0-9\-]{10,80})\b")),
     ("iban", None, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", None, re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")),
     ("phone", None, re.compile(r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,5}(?:[ .\-]\d{2,5}){1,4}(?![\d\-])|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])")),

@@ -140,6 +140,14 @@ def test_pii(spark):
     assert got["stand_in"].nunique() == 3000 and not set(got["stand_in"]) & set(got["canon"])
 
 
+def test_pii_secrets_without_digits(spark):
+    texts = ["password = correct-horse-battery", "the token: abcdefghijklmnop of 3 others", "use sk-abcdefghijklmnopqrstuvwx here", "a password is short"]
+    out = {r["doc_id"]: r for r in pii.replace_pii(table(spark, texts)).collect()}
+    for i, secret in enumerate(["correct-horse-battery", "abcdefghijklmnop", "sk-abcdefghijklmnopqrstuvwx"]):
+        assert secret not in out[i]["text"] and out[i]["_n_replaced"] == 1
+    assert out[3]["text"] == texts[3]
+
+
 def test_licenses_scan(spark):
     texts = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.\nmit\nlicense", "prose\n" + licenses.TEMPLATES[2][1].replace(" and ", "\n"), "GNU General Public License, Apache License and MIT-License", *ODD]
     got = [r for r in licenses.scan_licenses(table(spark, texts)).orderBy("doc_id").collect()]
