@@ -1,39 +1,13 @@
-"""Connected components over a table of links, with equi-joins and minimum aggregates only."""
+"""Connected components of links, each round written to the scratch folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pointlake.llm.common import written
-
-
-def _to_minimum(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """One large-star (neighbours above the node) or small-star (the node and those below) step."""
-    both = edges if not larger_only else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # edges hold a > b; large-star looks at all neighbours of a node, small-star at the smaller ones
-    least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
-    joined = both.join(least, "a")
-    if larger_only:
-        out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(least.select("a", F.col("_m").alias("b")))
-    return out.where("a > b").distinct()
+from pointlake.operators import components as shared
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (node, component): the smallest node reachable, for every node that has a link.
-
-    Alternating large-star and small-star; rounds grow with the logarithm of a component's diameter. No group is
-    gathered: a node with very many links only takes part in a minimum and in an equi-join.
-    """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        edges = written(_to_minimum(_to_minimum(edges, True), False))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        seen = tuple(state)
+    """links (a, b) -> (node, component): the smallest node reachable, for every node that has a link."""
+    return shared.components(links, written)

@@ -7,26 +7,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointlake.operators.components import components
 from pointlake.operators.joins import radius_join
 
 
-def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """G10, G11 (Q19: all neighbours): edges (a, b) -> (node, component), the smallest node; minimum labels travel until
-    nothing changes. Lineage is cut by checkpoint() where the session has a folder for it."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    keep = (lambda d: d.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    both = keep(both)
-    labels = keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")).withColumnRenamed("a", "node"))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "node")
-        new = labels.join(near, "node").select("node", F.least("c", "m").alias("c"))
-        jump = new.select(F.col("node").alias("c"), F.col("c").alias("r"))  # labels point to labels: paths halve
-        new = keep(new.join(jump, "c", "left").select("node", F.coalesce("r", "c").alias("c")))
-        changed = new.join(labels.withColumnRenamed("c", "o"), "node").where("c <> o").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels.select("node", F.col("c").alias("component"))
+def connected(edges: DataFrame) -> DataFrame:
+    """G10, G11 (Q19: all neighbours): edges (a, b) -> (node, component), the smallest node, until nothing changes. A node
+    linked only to itself is its own component. Lineage is cut by checkpoint(), a local one where the session has no folder."""
+    keep = (lambda d: d.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
+    edges = keep(edges.select("a", "b"))
+    found = components(edges, keep)
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def segment_image(cells: np.ndarray, ok) -> np.ndarray:

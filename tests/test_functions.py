@@ -104,6 +104,13 @@ def test_islands_and_majority_reset(spark):
     assert won.index(True) == 6 and not any(won[7:11])
 
 
+def test_connected_long_chain(spark):
+    ids = [int(i) for i in np.random.default_rng(1).permutation(1000)]
+    e = spark.createDataFrame([*zip(ids, ids[1:]), (2000, 2000)], "a long, b long")
+    got = {r["node"]: r["component"] for r in cluster.connected(e).collect()}
+    assert got == {i: 0 for i in ids} | {2000: 2000}
+
+
 def test_connected_and_ratio_boundary(spark):
     from pointlake.operators.aggregates import ratio_having
 
