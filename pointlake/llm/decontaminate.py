@@ -4,8 +4,10 @@ Words are what stands between runs of [\x00-\x2F\x3A-\x60\x7B-\x7F] in the lower
 (an item with fewer words is one shingle). Null and empty texts and items have no words and match nothing.
 
 1. Windows. For an item of n words a document's windows are n words long (less only at the text's end). A window that
-   begins with no shingle of any item of that size can be moved right to its first such shingle without losing
-   similarity, so fingerprints are made of the windows that begin at one; all others are dominated by these.
+   shares nothing with any item of that size cannot be similar; every other window is made: those that begin with a
+   shingle of such an item, and those that begin before the first one they hold. The latter reach back from places whose
+   shingle is one and whose preceding shingle is none. (Moving a window right to its first shared shingle keeps the count
+   of shared shingles but not their share of the characters: what comes in may be heavier than what goes out.)
 2. SimHash. A window's fingerprint has 60 bits: bit j is set if it is set in the hashes of more than half of the words.
    Counts of three bits share a long, so a window takes 20 sums and not 60.
 3. Multi-index blocks. The fingerprint is cut into four blocks of 15 bits. Within Hamming distance RADIUS = 15 some block
@@ -47,6 +49,11 @@ def grams(ws: Column, k: int) -> Column:
     return F.when(n >= k, made).otherwise(F.array().cast("array<bigint>"))
 
 
+def _gram_before(k: int) -> Column:
+    """Hash of the k-word shingle of ws that begins one word before pos; null at the start of a text."""
+    return F.when(F.col("pos") > 0, F.xxhash64(*[F.get("ws", F.col("pos") - 1 + j) for j in range(k)]))
+
+
 def weighted(ws: Column, size: Column) -> Column:
     """Distinct shingles as longs: 56 bits of hash and 8 of weight. Up to five words make one shingle."""
     k = F.least(F.lit(SHINGLE), size)
@@ -110,9 +117,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         rows = base.select("doc_id", "ws", F.posexplode(grams(F.col("ws"), k)).alias("pos", "sh"))
         held = starts.count()
         if held <= BROADCAST_ROWS:
-            found = rows.join(F.broadcast(starts), "sh")
+            starts = F.broadcast(starts)
+            found = rows.join(starts, "sh").withColumn("before", _gram_before(k))
         else:  # the exploded rows must not carry texts through a shuffle
-            found = rows.drop("ws").join(starts, "sh").join(base, "doc_id")
+            found = rows.withColumn("before", _gram_before(k)).drop("ws").join(starts, "sh")
+        if k == SHINGLE:
+            inner = starts.select(F.col("sh").alias("before"), "size", F.lit(True).alias("inner"))
+            back = F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("size") + k), F.col("pos"))
+            found = found.join(F.broadcast(inner) if held <= BROADCAST_ROWS else inner, ["before", "size"], "left")
+            found = found.withColumn("pos", F.explode(F.when(F.col("inner"), F.array("pos")).otherwise(back)))
+        if held > BROADCAST_ROWS:
+            found = found.join(base, "doc_id")
         found = found.select("doc_id", "pos", "size", F.slice("ws", F.col("pos") + 1, F.col("size")).alias("win"))
         windows = found if windows is None else windows.unionByName(found)
     windows = windows.where(F.size("win") >= F.col("size") * similarity)

@@ -110,6 +110,31 @@ def test_decontamination(spark):
     assert decontaminate.leaks(table(spark, texts), bench.where("false")).count() == 0
 
 
+def test_decontamination_weights(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    item = [word(2) for _ in range(5)] + [word(6) for _ in range(35)]
+    texts = []
+    for cut in (3, 4, 5):  # light words before the passage, very heavy ones after it
+        texts.append(" ".join([word(2) for _ in range(30)] + item[cut:] + [word(40) for _ in range(30)]))
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.leaks(table(spark, texts), bench).collect()}
+
+    def weights(ws):
+        return {tuple(ws[i : i + 5]): sum(map(len, ws[i : i + 5])) for i in range(len(ws) - 4)}
+
+    own, want = weights(item), {}
+    for d, t in enumerate(texts):
+        ws = t.split()
+        for p in range(len(ws) - 29):
+            win = weights(ws[p : p + 40])
+            both = sum(v for k, v in win.items() if k in own)
+            want[d] = max(want.get(d, 0), both / (sum(win.values()) + sum(own.values()) - both))
+    want = {d: s for d, s in want.items() if s >= 0.75}
+    assert want and set(got) == set(want)
+    assert all(abs(got[d]["similarity"] - s) < 1e-12 for d, s in want.items())
+
+
 def test_chat_round_trip(spark):
     own = chat.tokens(chat.RANKS)
     for t in ODD:
