@@ -257,3 +257,13 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
             docs = out.cache()
     assert 0 < out.count() <= 200 and "tokens" in out.columns
+
+
+def test_pipeline_decontaminates_rows_without_id(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = " ".join(f"word{i}" for i in range(20))
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, [passage, passage, "clean text", None, "other"], [1, None, None, None, 2])
+    out = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(str(r["text"]) for r in out.collect()) == ["None", "clean text", "other"]
