@@ -2,8 +2,10 @@ r"""Chat formatting by token-level assembly.
 
 Each turn is a segment: its role and text are escaped, encoded by the tokenizer on their own as ordinary text, and
 put between reserved ids that lie above the tokenizer's own, so no text can make a control token. The loss mask
-marks the content tokens of assistant turns; token and character places of all segments are running (prefix) sums along
-the conversation. As text, a conversation is the same sequence with each reserved id written as its control string.
+marks the content tokens of assistant turns: +1 where such content begins and -1 where it ends, summed up along all ids of
+a batch. Token and character places of all segments are prefix sums along the conversation, carried from batch to
+batch; reading back checks that they join without gaps. As text, a conversation is the same sequence with each reserved id
+written as its control string.
 
     <s>            at the start of a conversation
     [INST] .. [/INST]   a user's text          <<SYS>> .. <</SYS>>   a system text
@@ -11,7 +13,8 @@ the conversation. As text, a conversation is the same sequence with each reserve
 
 Escaping, reversibly: \x1a becomes \x1a0, and \x1a1 is put after the first character of every control string that
 occurs in a text. Null text and null role count as empty. Turns are ordered by (turn, role, text), null turns first;
-repeated rows are turns of their own. Rows with a null conv_id are one conversation.
+repeated rows are turns of their own. Rows with a null conv_id are one conversation. Only the four columns are read, so others
+may have any name; a text of any length is one segment; an empty table gives an empty table.
 
 Encoding, the costly part, runs where the rows are; only then are rows dealt out by conv_id and sorted. A conversation is read
 as a stream, a turn at a time, so one that holds a third of all rows takes no more memory than another. Its two
@@ -90,56 +93,87 @@ def tokens(path: str) -> Tokens:
     return _tokens[path]
 
 
-_SEGMENT = "conv_id long, turn long, ids array<int>, mask_at int, mask_n int, formatted string"
+_SEGMENT = "conv_id long, turn long, role string, text string, ids array<int>, mask_at int, mask_n int"
 _PLACED = "conv_id long, seq long, ids array<int>, loss_mask array<boolean>, token_at long, char_at long, formatted string"
 
 
+def formatted(role: str, text: str) -> str:
+    if role in FRAME:
+        return CONTROL[FRAME[role][0]] + escape(text) + CONTROL[FRAME[role][1]]
+    return CONTROL[TURN] + escape(role) + CONTROL[TEXT] + escape(text) + CONTROL[TURN_END]
+
+
 def segments(turns: DataFrame, ranks_file: str = RANKS) -> DataFrame:
     """turns (conv_id, turn, role, text) -> a segment for each row, dealt out by conversation and sorted."""
 
     def run(batch: pa.RecordBatch):
         own = tokens(ranks_file)
-        out = {k: [] for k in ("ids", "mask_at", "mask_n", "formatted")}
+        ids, at, n = [], [], []
         for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            role, text = role or "", text or ""
-            ids, at, n = own.segment(role, text)
-            out["ids"].append(ids)
-            out["mask_at"].append(at)
-            out["mask_n"].append(n if role == "assistant" else 0)
-            if role in FRAME:
-                out["formatted"].append(CONTROL[FRAME[role][0]] + escape(text) + CONTROL[FRAME[role][1]])
-            else:
-                out["formatted"].append(CONTROL[TURN] + escape(role) + CONTROL[TEXT] + escape(text) + CONTROL[TURN_END])
-        return {"conv_id": batch.column(0), "turn": batch.column(1), "role": batch.column(2), "text": batch.column(3)} | out
+            made = own.segment(role or "", text or "")
+            ids.append(np.array(made[0], np.int32))
+            at.append(made[1])
+            n.append(made[2] if role == "assistant" else 0)
+        return dict(zip(("conv_id", "turn", "role", "text"), batch.columns)) | {"ids": lists(ids), "mask_at": at, "mask_n": n}
 
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    made = arrow(rows, run, _SEGMENT + ", role string, text string")
-    return made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("role", "text")
+    return arrow(rows, run, _SEGMENT).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r) for r in rows])), pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+
+
+def _along(sizes: np.ndarray, first: np.ndarray, carried: int) -> tuple[np.ndarray, int]:
+    """(sum of the sizes before each row of its conversation, the sum after the last row); `carried` goes before the rows of the
+    conversation that an earlier batch began."""
+    before = np.cumsum(sizes) - sizes
+    start = np.maximum.accumulate(np.where(first, np.arange(len(sizes)), -1))
+    out = before - np.where(start >= 0, before[np.maximum(start, 0)], -carried)
+    return out, int(out[-1] + sizes[-1])
 
 
 def assemble(made: DataFrame, ranks_file: str = RANKS) -> DataFrame:
-    """Segments in order -> segments with their places: running sums of tokens and characters along a conversation."""
+    """Segments in order -> segments with their places and loss masks: prefix sums along a conversation."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(_PLACED))
 
     def run(batches):
-        own, held = tokens(ranks_file), None
+        own, last, carried = tokens(ranks_file), (), (0, 0, 0)
         for batch in batches:
-            rows = batch.to_pylist()
-            out = {k: [] for k in schema.names}
-            for r in rows:
-                if held is None or held[0] != r["conv_id"]:
-                    held = [r["conv_id"], 0, 0, 0]
-                    r["ids"], r["mask_at"], r["formatted"] = [own.first + BOS, *r["ids"]], r["mask_at"] + 1, CONTROL[BOS] + r["formatted"]
-                mask = np.zeros(len(r["ids"]), bool)
-                mask[r["mask_at"] : r["mask_at"] + r["mask_n"]] = True
-                for k, v in zip(schema.names, (r["conv_id"], held[1], r["ids"], mask.tolist(), held[2], held[3], r["formatted"])):
-                    out[k].append(v)
-                held = [held[0], held[1] + 1, held[2] + len(r["ids"]), held[3] + len(r["formatted"])]
-            if rows:
-                yield record(out, schema)
+            n = batch.num_rows
+            if not n:
+                continue
+            conv = batch.column(0).to_pylist()
+            first = np.array([(c,) != b for c, b in zip(conv, [last, *((c,) for c in conv[:-1])])])
+            last = (conv[-1],)
+            texts = [formatted(r or "", t or "") for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [CONTROL[BOS] + t if f else t for t, f in zip(texts, first)]
+            ids = batch.column(4)
+            size = np.diff(ids.offsets.to_numpy())
+            whole = size + first
+            start = np.append(0, np.cumsum(whole))
+            flat = np.full(start[-1], own.first + BOS, np.int32)
+            body = np.ones(start[-1], bool)
+            body[start[:-1][first]] = False
+            flat[body] = ids.flatten().to_numpy()
+            begin, count = start[:-1] + first + batch.column(5).to_numpy(), batch.column(6).to_numpy()
+            marks = np.zeros(start[-1] + 1, np.int32)
+            np.add.at(marks, begin[count > 0], 1)
+            np.add.at(marks, (begin + count)[count > 0], -1)
+            mask = np.cumsum(marks)[:-1] > 0
+            placed = [_along(x, first, c) for x, c in zip((np.ones(n, np.int64), whole.astype(np.int64), np.array([len(t) for t in texts], np.int64)), carried)]
+            carried = tuple(p[1] for p in placed)
+            to = pa.array(start, pa.int32())
+            yield record(
+                {
+                    "conv_id": batch.column(0), "seq": placed[0][0], "ids": pa.ListArray.from_arrays(to, pa.array(flat)),
+                    "loss_mask": pa.ListArray.from_arrays(to, pa.array(mask)), "token_at": placed[1][0], "char_at": placed[2][0], "formatted": texts,
+                },
+                schema,
+            )
 
     return made.mapInArrow(run, _PLACED)
 
@@ -163,21 +197,28 @@ def read_back(placed: DataFrame, ranks_file: str = RANKS) -> DataFrame:
                 done[k].append(v)
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if held is None or r["seq"] == 0:
+            if not batch.num_rows:
+                continue
+            convs, seqs, token_at, char_at, texts = (batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6))
+            flat, mask, to = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy()
+            to = to - to[0]
+            for i, seq in enumerate(seqs):
+                if held is None or seq == 0:
                     if held is not None:
                         close()
-                    held = [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                ids = r["ids"][1:] if r["ids"][0] == own.first + BOS else r["ids"]
-                role, text = own.parse(ids)
-                masked = [i for i, m in zip(r["ids"], r["loss_mask"]) if m]
-                lost = unescape(own.text(masked))
+                    held = [convs[i], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+                if (held[1], held[6], held[5]) != (seq, token_at[i], char_at[i]):
+                    raise ValueError(f"conversation {convs[i]}: segment {seq} does not begin where the one before ends")
+                ids, own_mask = flat[to[i] : to[i + 1]], mask[to[i] : to[i + 1]]
+                role, text = own.parse((ids[1:] if seq == 0 else ids).tolist())
+                masked = ids[own_mask].tolist()
+                lost = unescape(own.text(masked)) if masked else ""
                 held[1] += 1
                 held[2].update(f"{role}\n{text}\n".encode())
                 held[3] += len(lost)
                 held[4].update(lost.encode())
-                held[5] += len(r["formatted"])
-                held[6] += len(r["ids"])
+                held[5] += len(texts[i])
+                held[6] += len(ids)
                 held[7] += len(masked)
             if len(done["conv_id"]) > 1000:
                 yield record(done, schema)

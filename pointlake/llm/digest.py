@@ -13,7 +13,13 @@
    fingerprints are alike (1), an empty and another one are not (0).
 
 A fingerprint is text: the number of features, a colon, and the filters in base64. Equal texts give equal
-fingerprints within one run. Null counts as empty.
+fingerprints under the same ranks. Ranks follow from all texts of a run; to compare fingerprints of several runs, keep
+rarity() of one and hand it to the others.
+
+Null counts as empty. Documents are ordered by doc_id, rows of one doc_id by text (null first); rows without a doc_id come
+before all others, ordered by a hash of their text, so that very many of them are spread too. Every row gives a row.
+A single document's next one is itself. Empty tables give empty tables. Only doc_id and text are read, so other columns
+may have any name. A text of any length is handled alone, in memory of about 100 times its bytes.
 """
 
 from __future__ import annotations
@@ -22,7 +28,6 @@ import base64
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,31 +223,32 @@ def _compare(batches, ranks: np.ndarray, schema: pa.Schema):
                 yield record(out, schema)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
     """docs (doc_id, text) -> fingerprints of each text and its edited text, with their likeness and the next text's.
 
-    Documents are ordered by doc_id (null first, then by text) in buckets of consecutive ids; each bucket also gets
-    the first document of the next bucket (the last bucket that of the first) as a tail row. One shuffle of the texts;
-    only bucket bounds, one row for each bucket, come to the driver.
+    Buckets of consecutive documents are partitions; each also gets the first document of the next bucket (the last bucket
+    that of the first) as a tail row. One shuffle of the texts; only bucket bounds and the buckets' first rows' keys, one
+    for each bucket, come to the driver.
     """
+    from pyspark.ml.feature import Bucketizer
+
     spark, schema = docs.sparkSession, to_arrow_schema(StructType.fromDDL(_FIELDS))
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"), "doc_id", "text")
-    ranks = rarity(docs)
+    ranks = rarity(docs) if ranks is None else ranks
+    place = F.coalesce(F.col("doc_id").cast("double"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("double") - F.lit(2e19))
+    docs = docs.select(place.alias("_b"), "doc_id", "text")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    bounds = np.array(sorted({int(x) for x in docs.approxQuantile("_k", [i / n for i in range(1, n)], 0.2 / n)}), np.int64)
-
-    @F.pandas_udf("int")
-    def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(), side="right").astype(np.int32))
-
-    placed = docs.withColumn("_bucket", bucket("_k"))
-    firsts = sorted((r["_bucket"], r["_k"]) for r in docs.select("_k").withColumn("_bucket", bucket("_k")).groupBy("_bucket").agg(F.min("_k").alias("_k")).collect())
+    bounds = sorted(set(docs.approxQuantile("_b", [i / n for i in range(1, n)], min(0.2 / n, 0.001)))) if n > 1 else []
+    dealt = Bucketizer(splits=[-float("inf"), *(bounds or [0.0]), float("inf")], inputCol="_b", outputCol="_cut")
+    placed = dealt.transform(docs).withColumn("_bucket", F.col("_cut").cast("int")).drop("_cut")
+    firsts = sorted((r["_bucket"], r["_b"]) for r in placed.groupBy("_bucket").agg(F.min("_b").alias("_b")).collect())
     if not firsts:
         return spark.createDataFrame([], _FIELDS)
-    tails = [(firsts[i - 1][0], k) for i, (_, k) in enumerate(firsts)]
-    tail_rows = docs.join(F.broadcast(spark.createDataFrame(tails, "_bucket int, _k long")), "_k")
-    rows = placed.select("_bucket", F.lit(0).alias("_tail"), "_k", "doc_id", "text").unionByName(tail_rows.select("_bucket", F.lit(1).alias("_tail"), "_k", "doc_id", "text"))
-    ordered = rows.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_tail", "_k", "text")
+    tails = spark.createDataFrame([(firsts[i - 1][0], b) for i, (_, b) in enumerate(firsts)], "_to int, _b double")
+    # of the rows at a bucket's first place the first: a minimum, so that no group of rows is copied
+    row = F.struct("doc_id", F.col("text").isNotNull().alias("_t"), "text")
+    tail_rows = docs.join(F.broadcast(tails), "_b").groupBy("_to", "_b").agg(F.min(row).alias("r")).select(F.col("_to").alias("_bucket"), F.lit(1).alias("_tail"), "_b", "r.doc_id", "r.text")
+    rows = placed.select("_bucket", F.lit(0).alias("_tail"), "_b", "doc_id", "text").unionByName(tail_rows)
+    ordered = rows.repartitionById(len(bounds or [0]) + 1, F.col("_bucket")).sortWithinPartitions("_bucket", "_tail", "_b", "doc_id", "text")
     return ordered.select("_bucket", "_tail", "doc_id", "text").mapInArrow(lambda batches: _compare(batches, ranks, schema), _FIELDS)
 
 

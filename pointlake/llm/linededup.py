@@ -5,8 +5,12 @@ ends, A-Z lower-cased; a key is known by a 128-bit hash. A key of at least `min_
 least `min_docs` distinct doc_ids loses its lines everywhere but in the largest of them. Rows of one doc_id count
 as one document. A row whose doc_id is null isn't counted and keeps all its lines. All other columns stay.
 
-Only (hash, doc_id) pairs are shuffled to count, pre-aggregated by (hash, doc_id), so a line that a third of all
-documents hold is counted in every task; the join that hands decisions back is an equi-join that AQE can split.
+Only (hash, doc_id) pairs are shuffled to count: first made distinct, dealt by all three, then counted in every task
+before the hashes are dealt out, so a line that a third of all documents hold loads no task. Very common lines are
+broadcast to hand decisions back (at most HOT_KEYS of them, by counting), the others are joined by a shuffle.
+
+Columns named _n_lines or _n_dropped are replaced; other extra columns may have any name. A text of any
+length is one row; its lines are handled one by one. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -17,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, StringType, LongType
 
-from pointlake.llm.common import arrow, table, written
+from pointlake.llm.common import added, arrow, free, hot_join, table, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -51,26 +54,22 @@ def _occurrences(min_chars: int):
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs (doc_id, text, ...) with text rewritten, plus _n_lines and _n_dropped."""
-    occ = written(arrow(docs.select("doc_id", "text"), _occurrences(min_chars), "h1 long, h2 long, doc_id long"))
-    shared = (
-        occ.groupBy("h1", "h2")
-        .agg(F.count_distinct("doc_id").alias("_n"), F.max("doc_id").alias("_last"))
-        .where(F.col("_n") >= min_docs)
-        .drop("_n")
-    )
+    docs, schema = added(docs, "_n_lines long, _n_dropped long")
+    occ = written(arrow(docs.select("doc_id", "text"), _occurrences(min_chars), "h1 long, h2 long, doc_id long").distinct())
+    shared = written(occ.groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_last")).where(F.col("_n") >= min_docs))
     gone = (
-        occ.join(shared, ["h1", "h2"])
+        hot_join(occ, shared, ["h1", "h2"], "_n", occ.count())
         .where(F.col("doc_id") != F.col("_last"))
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("_of"), F.lit(0).alias("_part"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
     )
-    joined = docs.join(gone, "doc_id", "left").select(*docs.columns, "_gone")
-    schema = StructType([*docs.schema.fields, StructField("_n_lines", LongType()), StructField("_n_dropped", LongType())])
+    # rows without a doc_id match nothing: a second key spreads them over the tasks
+    part = F.when(F.col("d.doc_id").isNull(), F.pmod(F.xxhash64("d.text"), F.lit(10_000))).otherwise(0)
+    joined = docs.alias("d").join(gone.alias("g"), (F.col("d.doc_id") == F.col("g._of")) & (part == F.col("g._part")), "left").select("d.*", F.col("g._gone").alias(free(docs, "_gone")))
     names, text_at = docs.columns, docs.columns.index("text")
 
     def rewrite(batch: pa.RecordBatch):
-        gone_at = batch.schema.get_field_index("_gone")
-        drops = batch.column(gone_at)
+        drops = batch.column(batch.num_columns - 1)
         texts, lines, dropped = [], [], []
         for text, drop in zip(batch.column(text_at).to_pylist(), drops.to_pylist()):
             if not drop:
@@ -86,11 +85,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
             dropped.append(len(own) - len(kept))
         return {c: batch.column(i) for i, c in enumerate(names)} | {"text": texts, "_n_lines": lines, "_n_dropped": dropped}
 
-    return arrow(joined, rewrite, schema_ddl(schema))
-
-
-def schema_ddl(schema: StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return arrow(joined, rewrite, schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm import wordhash
-from pointlake.llm.common import arrow, table, written
+from pointlake.llm.common import arrow, hot_join, scope, table, written
 from pointlake.llm.components import components
 
 SHINGLE, PER_CENT = 5, 75
@@ -74,10 +74,6 @@ def registers(smallest: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, Q + 1).astype("<u2")
 
 
-def set_bytes(sh: np.ndarray) -> np.ndarray:
-    return np.unique(sh)
-
-
 def _sketch(batch: pa.RecordBatch):
     sh, to = wordhash.shingles(*wordhash.words(batch.column(1)), SHINGLE)
     full = np.flatnonzero(np.diff(to) > 0)
@@ -204,48 +200,56 @@ def _buckets(classes: DataFrame, found: DataFrame | None, bands: range) -> DataF
     return named.select("doc_id", "n", "comp", F.posexplode(F.array(*[band(i) for i in bands])).alias("band", "key"))
 
 
-def _stars(rows: DataFrame) -> DataFrame:
+def _stars(rows: DataFrame, total: int) -> DataFrame:
     """Pairs (a, b) of each bucket's smallest class with the classes that are not known to be connected with it."""
-    hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "comp")).alias("hub"), F.min("comp").alias("_low"), F.max("comp").alias("_high"))
-    hubs = hubs.where("_low < _high").select(F.col("key").alias("_key"), F.col("hub.doc_id").alias("a"), F.col("hub.comp").alias("_comp"))
-    apart = rows.join(hubs, (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")))
+    hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "comp")).alias("hub"), F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("_k"))
+    hubs = written(hubs.where("_low < _high").select("key", F.col("hub.doc_id").alias("a"), F.col("hub.comp").alias("_comp"), "_k"))
+    apart = hot_join(rows, hubs, ["key"], "_k", total).where("comp <> _comp")
     return apart.select("a", F.col("doc_id").alias("b")).distinct()
 
 
-def _open(rows: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, total: int) -> DataFrame:
     """(key, band, doc_id, n, comp, main) of the buckets that still hold more than one component, without each bucket's
     smallest class, which the stars have decided; main is the largest component."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.min("_first").alias("hub"), F.count("*").alias("_k"))
-    mixed = mixed.where("_k > 1").select(F.col("key").alias("_key"), "main", "hub")
-    return written(rows.join(mixed, (F.col("key") == F.col("_key")) & (F.col("doc_id") != F.col("hub"))).select("key", "band", "doc_id", "n", "comp", "main"))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.min("_first").alias("hub"), F.count("*").alias("_k"), F.sum("_n").alias("_rows"))
+    mixed = written(mixed.where("_k > 1").select("key", "main", "hub", "_rows"))
+    return written(hot_join(rows, mixed, ["key"], "_rows", total).where("doc_id <> hub").select("key", "band", "doc_id", "n", "comp", "main"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_shingles, component_id), a row for every row of docs."""
-    docs = docs.select("doc_id", "text")
+    with scope() as keep:
+        sketch, firsts, final = _classes(docs.select("doc_id", "text"))
+        keep(sketch, firsts, final)
+    by_class = firsts.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    return sketch.join(by_class, "set_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables (doc_id, n, set_id, regs) of all rows, (set_id, rep) of classes, (node, component) of classes with links."""
     sketch = written(arrow(docs, _sketch, "doc_id long, n long, set_id binary, regs binary"))
     firsts = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     firsts = written(firsts)
     classes = written(sketch.join(firsts.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"]))
     # several texts under one doc_id are one node; their sets are tested one by one
+    total = classes.count() * BANDS
     links, found = None, None
     for bands in (range(FIRST_BANDS), range(FIRST_BANDS, BANDS)):
-        fresh = _verified(_stars(_buckets(classes, found, bands)), classes, docs)
+        fresh = _verified(_stars(_buckets(classes, found, bands), total * len(bands) // BANDS), classes, docs)
         links = fresh if links is None else links.unionByName(fresh)
         found = components(links)
 
-    more = _in_blocks(_open(_buckets(classes, found, range(BANDS))), classes, docs)
+    more = _in_blocks(_open(_buckets(classes, found, range(BANDS)), total), classes, docs)
 
     # several sets under one doc_id tie their classes together
     same = sketch.join(firsts, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     again = sketch.where("n > 0").groupBy("doc_id").agg(F.count_distinct("set_id").alias("_k")).where("_k > 1").select("doc_id")
     tied = same.join(again.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")
-    final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(tied))
-    by_class = firsts.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    return sketch.join(by_class, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    final = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(tied)))
+    return sketch, firsts, final
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,31 +3,33 @@
 A text gets one space in front and is cut into chunks (spaces with the run that follows, runs of spaces, line feeds);
 no piece of the vocabulary holds a space after another character, so no merge crosses a chunk. In a chunk the
 agenda takes the adjacent pair with the best score (leftmost of equals) again and again. Each candidate merge, known by
-(start, middle, end) in its chunk, is skipped if a keyed hash of seed, chunk, variant and these places is
-below `drop`; drop = 0 gives the library's own segmentation. The variant (0..VARIANTS - 1) follows from seed and
-text, so one word is segmented in several ways within a corpus and yet every run agrees.
+(start, middle, end) in its chunk, is skipped if a keyed hash of seed, the text, the chunk's place in the text and these
+places is below `drop`; drop = 0 gives the library's own segmentation. So a word is cut anew at each of its places, in
+each text, and every run agrees; equal texts are cut alike.
 
 Characters without a piece, and a literal U+2581, are written as byte pieces, so decoding gives back every text.
-Null is encoded as the empty text: no tokens. Chunks of up to LONG characters are merged many at a time in numpy;
-longer ones by a heap with the same rule. A variant's cache of chunks is emptied at CACHE entries, which bounds memory.
+Null and empty texts are encoded as no tokens and decode to the empty text. Chunks of up to LONG characters are merged
+GROUP at a time in numpy; longer ones by a heap of integers with the same rule (about 80 bytes a character of the chunk,
+so a text of 5 MB without a space takes 0.4 GB). Nothing is kept between batches. Empty tables give empty tables; a
+column named tokens (decode: decoded) is replaced, other extra columns stay and may have any name.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import arrow, table
+from pointlake.llm.common import added, arrow, table
 
-MODEL, SEED, DROP, VARIANTS = "/opt/tokenizers/piece_bpe_32k.model", 20240607, 0.1, 4
-LONG, CACHE = 48, 250_000
+MODEL, SEED, DROP = "/opt/tokenizers/piece_bpe_32k.model", 20240607, 0.1
+LONG, GROUP = 48, 4096
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _MASK = (1 << 64) - 1
 
@@ -38,19 +40,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _mix_one(x: int) -> int:
+    x = (x ^ (x >> 31)) * 0x7FB5D329728EA185 & _MASK
+    x = (x ^ (x >> 27)) * 0x81DADEF4BC2DD44D & _MASK
+    return x ^ (x >> 33)
+
+
+_STEP = 0x9E3779B97F4A7C15
+
+
 class Codec:
     """One vocabulary: encode(texts) and decode(ids)."""
 
-    def __init__(self, model: str = MODEL, seed: int = SEED, drop: float = DROP, variants: int = VARIANTS):
+    def __init__(self, model: str = MODEL, seed: int = SEED, drop: float = DROP):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.seed, self.variants = seed, variants if drop > 0 else 1
         self.limit = np.uint64(min(int(drop * 2.0**64), _MASK))
         self.key = hashlib.blake2b(f"{seed}/{drop}".encode(), digest_size=16).digest()
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.score = np.array([sp.get_score(i) for i in range(n)])
+        self.rank = np.unique(-self.score, return_inverse=True)[1].tolist()  # 0 is the best score; equal ones share a rank
         special = {i for i in range(n) if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)}
         self.id_of = {p.replace("▁", " "): i for i, p in enumerate(self.pieces) if i not in special}
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in special if sp.is_byte(i)}
@@ -74,7 +85,6 @@ class Codec:
         for c, i in self.id_of.items():
             if len(c) == 1:
                 self.point_id[ord(c)] = i
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece of a + b, or -1."""
@@ -91,16 +101,19 @@ class Codec:
             open_ = open_[~hit & (have >= 0)]
         return out
 
-    def chunk_keys(self, points: np.ndarray, variant: int) -> np.ndarray:
-        """A keyed 64-bit hash for each row of code points plus one (0 fills rows up and adds nothing)."""
-        own = np.uint64(int.from_bytes(self.key[:8], "little") ^ (variant + 1) * 0x9E3779B97F4A7C15 & _MASK)
-        power = _mix(np.arange(1, points.shape[1] + 1, dtype=np.uint64) + own) | np.uint64(1)
-        return _mix(np.where(points > 0, _mix(points.astype(np.uint64) + own) * power, np.uint64(0)).sum(1, dtype=np.uint64) ^ own)
+    def seeds(self, text: str, n: int) -> np.ndarray:
+        """A keyed 64-bit hash for each of the n chunks of a text."""
+        own = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=self.key).digest(), "little")
+        return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(own))
 
     def kept(self, chunk: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Which candidate merges the keyed hash lets through."""
         place = (start.astype(np.uint64) << np.uint64(42)) + (mid.astype(np.uint64) << np.uint64(21)) + end.astype(np.uint64)
-        return _mix(chunk + place * np.uint64(0x9E3779B97F4A7C15)) >= self.limit
+        return _mix(chunk + place * np.uint64(_STEP)) >= self.limit
+
+    def kept_one(self, chunk: int, start: int, mid: int, end: int) -> bool:
+        place = (start << 42) + (mid << 21) + end & _MASK
+        return _mix_one(chunk + place * _STEP & _MASK) >= int(self.limit)
 
     def _spell(self, ids: list[int], text: str, starts: list[int]) -> bytes:
         out: list[int] = []
@@ -111,15 +124,14 @@ class Codec:
                 out += [self.byte_id[b] for b in text[at].encode()]
         return np.array(out, "<i4").tobytes()
 
-    def _many(self, keys: list[str], variant: int, cache: dict[str, bytes]) -> None:
-        """Merges short chunks many at a time. A symbol is named by its first position, and its end is the next one's."""
+    def _many(self, keys: list[str], seeds: np.ndarray) -> list[bytes]:
+        """The ids of short chunks, merged many at a time. A symbol is named by its first position, and its end is the next one's."""
         rows, size = len(keys), np.fromiter(map(len, keys), np.int64, len(keys))
         width = int(size.max())
         step = width + 2
         held = np.arange(width)[None, :] < size[:, None]
         points = np.zeros((rows, width), np.uint32)
         points[held] = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32)
-        seeds = self.chunk_keys(np.where(held, points + np.uint32(1), np.uint32(0)), variant)
         sym = np.full((rows, step), -1, np.int64)
         sym[:, :width] = np.where(held, self.point_id[points], -1)
         end = np.broadcast_to(np.arange(1, step + 1), (rows, step)).copy()
@@ -162,61 +174,79 @@ class Codec:
         flat = body[body != -1]
         count = (body != -1).sum(1)
         to, raw = np.append(0, np.cumsum(count)).tolist(), flat.astype("<i4").tobytes()
-        for r, key in enumerate(keys):
-            cache[key] = raw[4 * to[r] : 4 * to[r + 1]]
+        out = [raw[4 * a : 4 * b] for a, b in zip(to, to[1:])]
         for r in np.flatnonzero((body == -2).any(1)):
             at = np.flatnonzero(body[r] != -1)
-            cache[keys[r]] = self._spell(body[r, at].tolist(), keys[r], at.tolist())
+            out[r] = self._spell(body[r, at].tolist(), keys[r], at.tolist())
+        return out
 
-    def _one(self, text: str, variant: int, cache: dict[str, bytes]) -> None:
-        """The same rule for a long chunk: a heap of candidates over a linked list of symbols."""
+    def _one(self, text: str, seed: int) -> bytes:
+        """The same rule for a long chunk: a heap of candidates, each the rank of its piece and the place where it begins."""
         n = len(text)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        seed = self.chunk_keys(points[None, :] + np.uint32(1), variant)
-        sym = self.point_id[points].tolist()
-        left, end = list(range(-1, n)), list(range(1, n + 1))
-        agenda: list[tuple] = []
+        sym = array("i", self.point_id[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].tobytes())
+        left, end = array("i", range(-1, n)), array("i", range(1, n + 1))
+        agenda: list[int] = []
 
-        def offer(i: int) -> None:
+        def candidate(i: int) -> int:
+            """The piece that the pair at i makes, or -1."""
             j = end[i]
-            if j < n and sym[i] >= 0 and sym[j] >= 0 and (new := self.pairs.get(sym[i] << 20 | sym[j])) is not None:
-                if not self.limit or self.kept(seed, *(np.array([x]) for x in (i, j, end[j])))[0]:
-                    heapq.heappush(agenda, (-self.score[new], i, j, end[j], new))
+            if j >= n or sym[i] < 0 or sym[j] < 0:
+                return -1
+            new = self.pairs.get(sym[i] << 20 | sym[j], -1)
+            return new if new < 0 or not self.limit or self.kept_one(seed, i, j, end[j]) else -1
+
+        def offer(i: int) -> None:
+            new = candidate(i)
+            if new >= 0:
+                heapq.heappush(agenda, self.rank[new] << 32 | i)
 
         for i in range(n):
             offer(i)
         while agenda:
-            _, i, j, stop, new = heapq.heappop(agenda)
-            if sym[i] == -1 or end[i] != j or sym[j] == -1 or end[j] != stop:
+            top = heapq.heappop(agenda)
+            i = top & 0xFFFFFFFF
+            new = candidate(i)  # an entry may be older than a merge at its place
+            if new < 0 or self.rank[new] != top >> 32:
                 continue
+            j = end[i]
+            stop = end[j]
             sym[i], sym[j], end[i] = new, -1, stop
             left[stop] = i
             if left[i] >= 0:
                 offer(left[i])
             offer(i)
         at = [i for i in range(n) if sym[i] != -1]
-        cache[text] = self._spell([sym[i] for i in at], text, at)
+        return self._spell([sym[i] for i in at], text, at)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian int32."""
-        out, found = [b""] * len(texts), {}
-        for i, text in enumerate(texts):
+        chunks, seeds, to = [], [np.zeros(0, np.uint64)], [0]
+        for text in texts:
             if text:
-                v = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4, key=self.key).digest(), "little") % self.variants
-                found.setdefault(v, []).append((i, _CHUNK.findall(" " + text)))
-        for v, rows in found.items():
-            cache = self.caches[v]
-            if len(cache) > CACHE:
-                cache.clear()
-            need = sorted({c for _, chunks in rows for c in chunks if c not in cache}, key=len)
-            short = bisect.bisect_right(need, LONG, key=len)
-            for at in range(0, short, 4096):
-                self._many(need[at : min(at + 4096, short)], v, cache)
-            for text in need[short:]:
-                self._one(text, v, cache)
-            for i, chunks in rows:
-                out[i] = b"".join(map(cache.__getitem__, chunks))
-        return out
+                own = _CHUNK.findall(" " + text)
+                chunks += own
+                seeds.append(self.seeds(text, len(own)))
+            to.append(len(chunks))
+        seed = np.concatenate(seeds)
+        if not self.limit:  # nothing depends on the place: each chunk once
+            first = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+            done = self._merge(list(first), np.zeros(len(first), np.uint64))
+            done = [done[first[c]] for c in chunks]
+        else:
+            done = self._merge(chunks, seed)
+        return [b"".join(done[a:b]) for a, b in zip(to, to[1:])]
+
+    def _merge(self, chunks: list[str], seeds: np.ndarray) -> list[bytes]:
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order, done = np.argsort(size, kind="stable"), [b""] * len(chunks)
+        short = int((size <= LONG).sum())
+        for at in range(0, short, GROUP):
+            rows = order[at : min(at + GROUP, short)]
+            for i, ids in zip(rows.tolist(), self._many([chunks[i] for i in rows.tolist()], seeds[rows])):
+                done[i] = ids
+        for i in order[short:].tolist():
+            done[i] = self._one(chunks[i], int(seeds[i]))
+        return done
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<i4").tolist()))
@@ -233,40 +263,38 @@ def codec(*args) -> Codec:
     return _codecs[args]
 
 
-def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop: float = DROP, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop: float = DROP) -> DataFrame:
     """docs with `tokens` (array<int>) in place of nothing: all columns stay, one is added."""
-    from pointlake.llm.linededup import schema_ddl
-
+    docs, schema = added(docs, "tokens array<int>")
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batch: pa.RecordBatch):
-        ids = codec(model, seed, drop, variants).encode(batch.column(at).to_pylist())
+        ids = codec(model, seed, drop).encode(batch.column(at).to_pylist())
         sizes = np.array([len(x) // 4 for x in ids])
         flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
         return dict(zip(names, batch.columns)) | {"tokens": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat)}
 
-    return arrow(docs, run, schema_ddl(docs.schema) + ", tokens array<int>")
+    return arrow(docs, run, schema)
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     """rows with `tokens` -> the same rows with `decoded`; null tokens give null."""
-    from pointlake.llm.linededup import schema_ddl
-
+    tokens, schema = added(tokens, "decoded string")
     names, at = tokens.columns, tokens.columns.index("tokens")
 
     def run(batch: pa.RecordBatch):
-        own = codec(model, SEED, 0.0, 1)
+        own = codec(model, SEED, 0.0)
         out = [None if t is None else own.decode(np.array(t, "<i4").tobytes()) for t in batch.column(at).to_pylist()]
         return dict(zip(names, batch.columns)) | {"decoded": out}
 
-    return arrow(tokens, run, schema_ddl(tokens.schema) + ", decoded string")
+    return arrow(tokens, run, schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     """Encodes and decodes every text in one pass: counts, digests of ids and of the text read back."""
 
     def run(batch: pa.RecordBatch):
-        own, texts = codec(model, SEED, DROP, VARIANTS), batch.column(1).to_pylist()
+        own, texts = codec(model, SEED, DROP), batch.column(1).to_pylist()
         ids = own.encode(texts)
         back = [own.decode(x) for x in ids]
         hexed = lambda x: hashlib.sha256(x).hexdigest()

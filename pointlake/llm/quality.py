@@ -5,10 +5,16 @@ by all grades, and ordered thresholds: P(grade <= k) = sigmoid(t_k - s) with t_0
 the tail probabilities P(grade >= k) for selection. Features x: the document's distinct words hashed to WIDTH
 buckets, and WIDTH buckets more for coarse shape figures (share of symbols, of repeated words, of bars).
 
-Training uses at most MAX_TRAIN labelled documents (documented bound, chosen by a hash of doc_id), fitted on the driver
-by full-batch Adam with L2; words that fewer than MIN_DOCS of them hold are left out. Every document is scored, in
-whole. Without labels of at least two grades nothing can be told apart: every document gets the top grade.
-Null and empty texts have no words and are scored by shape alone.
+Training uses at most MAX_TRAIN labelled documents (documented bound, chosen by a hash of doc_id) and of each at most
+MAX_FEATURES features, those that come first in a fixed pseudo-random order of all features (a documented bound too, for
+training alone: 12,000 documents then take 200 MB at most). It is fitted on the driver by full-batch Adam with
+L2; words that fewer than MIN_DOCS of them hold are left out. Every document is scored, in whole and with all features.
+
+Of several labels of a doc_id the lowest grade counts; of several texts of one the one with the smallest features is
+learned from, and all are scored. Labels with a null doc_id, or neither toxic nor with a quality, are left out. Without
+labels of at least two grades nothing can be told apart: every document gets the top grade. Null and empty texts have
+no words and are scored by shape alone. A text of any length is one row. Empty tables give empty tables. Columns named
+_expected_grade, _p_ge_1 or _p_ge_2 are replaced; other extra columns stay and may have any name.
 """
 
 from __future__ import annotations
@@ -19,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm import wordhash
-from pointlake.llm.common import arrow, table
+from pointlake.llm.common import added, arrow, table
 
 WIDTH, SHAPES, GRADES = 1 << 18, 64, 3
-MAX_TRAIN, MIN_DOCS, STEPS, L2 = 12_000, 4, 160, 0.25
+MAX_TRAIN, MAX_FEATURES, MIN_DOCS, STEPS, L2 = 12_000, 4_096, 4, 160, 0.25
 KEEP_TAIL = 0.5
 _CLASS = np.zeros(256, np.int64)  # 0 letter or digit, 1 space, 2 plain punctuation, 3 other symbol
 _CLASS[[9, 10, 11, 12, 13, 32]] = 1
@@ -50,6 +56,13 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.array(to)
 
 
+def bounded(own: np.ndarray) -> np.ndarray:
+    """At most MAX_FEATURES of a text's features, the same ones of any two texts that share them."""
+    if len(own) <= MAX_FEATURES:
+        return own
+    return np.sort(own[np.argsort(wordhash.mix(own.astype(np.uint64) + np.uint64(1)), kind="stable")[:MAX_FEATURES]])
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -87,22 +100,24 @@ def fit(feature: np.ndarray, row: np.ndarray, grade: np.ndarray) -> tuple[np.nda
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> DataFrame:
-    """(text, grade) of at most `limit` labelled documents; the label side of the join is bounded by that limit."""
+    """(doc_id, text, grade) of at most `limit` labelled documents; the label side of the join is bounded by that limit."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
     graded = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(grade).alias("_grade")).where("_grade IS NOT NULL")
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("_grade").alias("grade"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("_grade").alias("grade"))
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN):
     """Fitted (weights, thresholds), or None where there is nothing to tell apart."""
 
     def run(batch: pa.RecordBatch):
-        entry, to = features(batch.column(0))
-        return {"f": [entry[to[i] : to[i + 1]].astype("<i4").tobytes() for i in range(batch.num_rows)], "grade": batch.column(1)}
+        entry, to = features(batch.column(1))
+        own = [entry[to[i] : to[i + 1]] for i in range(batch.num_rows)]
+        return {"doc_id": batch.column(0), "f": [bounded(x).astype("<i4").tobytes() for x in own], "grade": batch.column(2)}
 
-    rows = arrow(labelled_sample(docs, labels, limit), run, "f binary, grade int").toArrow().to_pydict()
-    order = sorted(range(len(rows["grade"])), key=lambda i: (rows["f"][i], rows["grade"][i]))[: 2 * limit]
+    made = arrow(labelled_sample(docs, labels, limit), run, "doc_id long, f binary, grade int")
+    rows = made.groupBy("doc_id").agg(F.min("f").alias("f"), F.min("grade").alias("grade")).toArrow().to_pydict()
+    order = sorted(range(len(rows["grade"])), key=lambda i: (rows["f"][i], rows["grade"][i]))
     grade = np.array([rows["grade"][i] for i in order], np.int64)
     if len(set(grade.tolist())) < 2:
         return None
@@ -112,8 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN):
 
 def score(docs: DataFrame, model) -> DataFrame:
     """docs with _expected_grade, _p_ge_1, _p_ge_2; all columns of docs stay."""
-    from pointlake.llm.linededup import schema_ddl
-
+    docs, schema = added(docs, "_expected_grade double, _p_ge_1 double, _p_ge_2 double")
     names, at = docs.columns, docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -128,7 +142,7 @@ def score(docs: DataFrame, model) -> DataFrame:
         tail1, tail2 = sigmoid(s - cuts[0]), sigmoid(s - cuts[1])
         return dict(zip(names, batch.columns)) | {"_expected_grade": tail1 + tail2, "_p_ge_1": tail1, "_p_ge_2": tail2}
 
-    return arrow(docs, run, schema_ddl(docs.schema) + ", _expected_grade double, _p_ge_1 double, _p_ge_2 double")
+    return arrow(docs, run, schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,7 +151,7 @@ def test_chat_round_trip(spark):
 
 def test_pii(spark):
     texts = ["Mail a.b1@mail3.example.com or A.B1@MAIL3.EXAMPLE.COM now", "card 4111111111111111, other 4111111111111112", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "call +1 (017) 555-7713.", "from 83.229.25.121.", "Mrs Anna Berg met Mr. Berg", *ODD]
-    out = {r["doc_id"]: r for r in pii.replace_pii(table(spark, texts)).collect()}
+    out = {r["doc_id"]: r for r in pii.replace_pii(table(spark, texts), b"test").collect()}
     assert "mail3" not in out[0]["text"] and "MAIL3" not in out[0]["text"] and out[0]["text"].split()[1].upper() == out[0]["text"].split()[3]
     new = out[1]["text"].split()[1].rstrip(",")
     assert new != "4111111111111111" and pii.luhn(new) and new[0] == "4" and "4111111111111112" in out[1]["text"]
@@ -160,14 +160,14 @@ def test_pii(spark):
     assert words[1] in pii.GIVEN["f"] and words[2] == words[5] != "Berg"
     for i, t in enumerate(texts[6:], 6):
         assert out[i]["text"] == t and out[i]["_n_replaced"] == 0
-    many = spark.range(3000).selectExpr("'ssn' AS kind", "lpad(id, 9, '0') AS canon")
-    got = pii.assign(many).toPandas()
+    many = spark.range(3000).selectExpr("'ssn' AS kind", "lpad(id, 9, '0') AS canon", "'' AS gender", "1L AS n")
+    got = pii.assign(many, b"test").toPandas()
     assert got["stand_in"].nunique() == 3000 and not set(got["stand_in"]) & set(got["canon"])
 
 
 def test_pii_secrets_without_digits(spark):
     texts = ["password = correct-horse-battery", "the token: abcdefghijklmnop of 3 others", "use sk-abcdefghijklmnopqrstuvwx here", "a password is short"]
-    out = {r["doc_id"]: r for r in pii.replace_pii(table(spark, texts)).collect()}
+    out = {r["doc_id"]: r for r in pii.replace_pii(table(spark, texts), b"test").collect()}
     for i, secret in enumerate(["correct-horse-battery", "abcdefghijklmnop", "sk-abcdefghijklmnopqrstuvwx"]):
         assert secret not in out[i]["text"] and out[i]["_n_replaced"] == 1
     assert out[3]["text"] == texts[3]
@@ -177,14 +177,14 @@ def test_licenses_scan(spark):
     texts = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.\nmit\nlicense", "prose\n" + licenses.TEMPLATES[2][1].replace(" and ", "\n"), "GNU General Public License, Apache License and MIT-License", *ODD]
     got = [r for r in licenses.scan_licenses(table(spark, texts)).orderBy("doc_id").collect()]
     assert got[0]["labels"] == "mit" and got[0]["base_labels"] == "mit" and got[0]["first_word"] == 3
-    assert got[1]["labels"] == "cc-by,cc-by-nc,mit" or "cc-by-nc" in got[1]["labels"]
+    assert got[1]["labels"] == "cc-by,cc-by-nc,mit" and got[1]["base_labels"] == "mit"
     assert "mit" in got[2]["labels"] and got[3]["base_labels"] == "apache,gpl,mit" and got[3]["n_base"] == 3
     assert all(r["n_base"] == 0 and r["score"] == 0 for r in got[4:])
     index = licenses.Index({})
     for _, t in licenses.TEMPLATES:  # against counting without filters
         block = set(licenses.words(t)) | {"the", "of"}
-        want = {(l, len(block & set(licenses.words(u))) / len(set(licenses.words(u)))) for l, u in licenses.TEMPLATES if len(block & set(licenses.words(u))) >= licenses.SHARE * len(set(licenses.words(u))) - 1e-9}
-        assert set(index.matches(block, False)) == want
+        want = [k for k, (_, u) in enumerate(licenses.TEMPLATES) if len(block & set(licenses.words(u))) >= (1 if len(set(licenses.words(u))) < licenses.SHORT else licenses.SHARE) * len(set(licenses.words(u))) - 1e-9]
+        assert sorted(index.met(block)) == want
 
 
 def test_quality_and_language(spark):
@@ -204,6 +204,17 @@ def test_quality_and_language(spark):
     assert [r["lang_pred"] for r in langid.predict(lang.limit(2), *langid.train(lang.where("false"))).collect()] == ["und", "und"]
 
 
+def split_ids(codec, raw):
+    """Ids of each repetition, split where the text read back so far ends with a whole word."""
+    part, text = [], b""
+    for i in np.frombuffer(raw, "<i4").tolist():
+        part.append(i)
+        text += codec.bytes_of[i]
+        if text.strip() == b"segmentation":
+            yield part
+            part, text = [], b""
+
+
 def test_pieces(spark):
     import sentencepiece
 
@@ -215,14 +226,13 @@ def test_pieces(spark):
         if t is not None and "▁" not in t:
             assert np.frombuffer(a, "<i4").tolist() == sp.encode(t)
         assert plain.decode(a) == dropped.decode(b) == (t or "")
-    cache: dict = {}
-    for chunk in (" segmentation", "wordsofsomelength", " é中x"):
-        dropped.encode([chunk])
-        for v in range(dropped.variants):
-            many: dict = {}
-            dropped._many([chunk, "pad" * 9], v, many)
-            dropped._one(chunk, v, cache)
-            assert many[chunk] == cache[chunk]
+    chunks = [" segmentation", "wordsofsomelength", " é中x", "pad" * 9]
+    for v in range(20):
+        seeds = np.arange(4, dtype=np.uint64) * np.uint64(977) + np.uint64(v)
+        assert dropped._many(chunks, seeds) == [dropped._one(c, int(x)) for c, x in zip(chunks, seeds)]
+    own = dropped.encode([" segmentation" * 400])[0]
+    assert dropped.decode(own) == " segmentation" * 400 and len({tuple(x) for x in split_ids(dropped, own)}) > 10  # cut anew at each place
+    assert dropped.encode(["same text"] * 2)[0] == dropped.encode(["other", "same text"])[1]
     back = pieces.decode(pieces.encode(table(spark, texts)))
     assert all((r["text"] or "") == r["decoded"] for r in back.collect())
 
