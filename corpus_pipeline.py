@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm import decontaminate, linededup, neardup, pieces, quality
-from pointlake.llm.common import table, written
+from pointlake.llm.common import scope, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id, and of repeated rows of
-    that id one. Rows without a doc_id all stay."""
+    that id the one that comes first by its other columns in order (null first). Rows without a doc_id all stay."""
     found = neardup.near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -36,7 +36,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = docs.join(gone, "doc_id", "left_anti")
     if not again.limit(1).count():
         return kept.select(*docs.columns)
-    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = [c for c in docs.columns if c != "doc_id"]
+    rows = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
+    first = rows.select("doc_id", *[F.col("_row").getField(c).alias(c) for c in rest])
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
@@ -70,5 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scope() as keep:
+            docs = written(stage(spark, docs, sf_dir))
+            keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
