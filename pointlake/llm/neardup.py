@@ -188,16 +188,22 @@ def _in_blocks(open_rows: DataFrame, classes: DataFrame, docs: DataFrame) -> Dat
     return written(arrow(both.select("band", "left", "right"), _block_links, "a long, b long").distinct())
 
 
-def _buckets(classes: DataFrame, found: DataFrame | None, bands: range) -> DataFrame:
+def _band_keys(classes: DataFrame) -> DataFrame:
+    """(doc_id, n, keys): the bucket of every class in each band."""
+    band = lambda i: F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + 2 * ROWS * i}, {2 * ROWS})"))
+    return classes.select("doc_id", "n", F.array(*[band(i) for i in range(BANDS)]).alias("keys"))
+
+
+def _buckets(keyed: DataFrame, found: DataFrame | None, bands: range) -> DataFrame:
     """(band, key, doc_id, n, comp): the bucket of every class in each of the bands (counted from the first of them), with
     the component known so far."""
+    own = keyed.select("doc_id", "n", F.slice("keys", bands.start + 1, len(bands)).alias("keys"))
     if found is None:
-        named = classes.select("doc_id", "n", "regs", F.col("doc_id").alias("comp"))
+        named = own.withColumn("comp", F.col("doc_id"))
     else:
         names = found.select(F.col("node").alias("doc_id"), "component")
-        named = classes.select("doc_id", "n", "regs").join(names, "doc_id", "left").select("doc_id", "n", "regs", F.coalesce("component", "doc_id").alias("comp"))
-    band = lambda i: F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + 2 * ROWS * i}, {2 * ROWS})"))
-    return named.select("doc_id", "n", "comp", F.posexplode(F.array(*[band(i) for i in bands])).alias("band", "key"))
+        named = own.join(names, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "keys")
+    return named.select("doc_id", "n", "comp", F.posexplode("keys").alias("band", "key"))
 
 
 def _stars(rows: DataFrame, total: int) -> DataFrame:
@@ -235,14 +241,20 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     firsts = written(firsts)
     classes = written(sketch.join(firsts.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"]))
     # several texts under one doc_id are one node; their sets are tested one by one
-    total = classes.count() * BANDS
+    keyed = written(_band_keys(classes))
+    total = keyed.count()
     links, found = None, None
     for bands in (range(FIRST_BANDS), range(FIRST_BANDS, BANDS)):
-        fresh = _verified(_stars(_buckets(classes, found, bands), total * len(bands) // BANDS), classes, docs)
-        links = fresh if links is None else links.unionByName(fresh)
-        found = components(links)
+        with scope() as keep:
+            rows = written(_buckets(keyed, found, bands))
+            fresh = _verified(_stars(rows, total * len(bands)), classes, docs)
+            links = fresh if links is None else links.unionByName(fresh)
+            found = written(components(links))
+            keep(fresh, found)
 
-    more = _in_blocks(_open(_buckets(classes, found, range(BANDS)), total), classes, docs)
+    with scope() as keep:
+        more = _in_blocks(_open(written(_buckets(keyed, found, range(BANDS))), total * BANDS), classes, docs)
+        keep(more)
 
     # several sets under one doc_id tie their classes together
     same = sketch.join(firsts, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
