@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from pointlake.operators.components import components
 from pointlake.operators.joins import radius_join
+from pointlake.session import scratch
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """G10, G11 (Q19: all neighbours): edges (a, b) -> (node, component), the smallest node, until nothing changes. A node
-    linked only to itself is its own component. Lineage is cut by checkpoint(), a local one where the session has no folder."""
-    keep = (lambda d: d.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
+    linked only to itself is its own component. Lineage is cut by checkpoint()."""
+    scratch(edges.sparkSession)  # sets a folder in local mode, fails on a cluster without one
+    keep = lambda d: d.checkpoint()
     edges = keep(edges.select("a", "b"))
     found = components(edges, keep)
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()

@@ -91,13 +91,13 @@ def loop_first(nodes: DataFrame, r: float, age: float, cols: tuple[str, ...] = (
     return loop_candidates(nodes, r, age, cols, key).groupBy("id", *key).agg(F.min(F.struct("d2", "id_r")).alias("m")).select("id", *key, F.col("m.id_r").alias("id_r"), F.col("m.d2").alias("d2"))
 
 
-def upper_triangle(df: DataFrame, score, blocks: int = 8, key: str = "id") -> DataFrame:
-    """All pairs i < j with a score, dealt out as block pairs by an equi-join."""
+def upper_triangle(df: DataFrame, score, blocks: int = 8, key: str = "id", on: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs i < j (with equal `on` columns) with a score, dealt out as block pairs by an equi-join."""
     part = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = df.select(*[F.col(c).alias(f"{c}_a") for c in df.columns], part.alias("_p"), every.alias("_q"))
-    b = df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns], part.alias("_q"), every.alias("_p"))
-    return a.join(b, ["_p", "_q"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(F.col(f"{key}_a").alias("i"), F.col(f"{key}_b").alias("j"), score.alias("sim"))
+    a = df.select(*on, *[F.col(c).alias(f"{c}_a") for c in df.columns], part.alias("_p"), every.alias("_q"))
+    b = df.select(*on, *[F.col(c).alias(f"{c}_b") for c in df.columns], part.alias("_q"), every.alias("_p"))
+    return a.join(b, [*on, "_p", "_q"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(F.col(f"{key}_a").alias("i"), F.col(f"{key}_b").alias("j"), score.alias("sim"))
 
 
 def cached(pairs: DataFrame, cache: DataFrame, compute: Column) -> DataFrame:

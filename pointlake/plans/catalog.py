@@ -67,7 +67,7 @@ def occlusion_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT user_id, event_id, round(value - coalesce(lag(value) OVER ({OVER}), 0), 6) AS delta FROM events")
 def lag_relative(spark: SparkSession, d: str) -> DataFrame:
-    """W7, W8"""
+    """W7 of a translation"""
     return windows.differences(sensor(spark, d), "value", KEY, ORDER).select("user_id", "event_id", rounded(F.col("delta")).alias("delta"))
 
 
@@ -116,7 +116,7 @@ def frame_window13(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT frame, floor(x / 2)::BIGINT AS vx, floor(y / 2)::BIGINT AS vy, floor(z / 2)::BIGINT AS vz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM {PTS} GROUP BY 1, 2, 3, 4")
 def voxel_centroid(spark: SparkSession, d: str) -> DataFrame:
-    """A1, M3, U_7"""
+    """A1, M3"""
     r = agg.voxel_centroid(points(spark, d), 2.0, ["frame"])
     return r.select("frame", "vx", "vy", "vz", *[rounded(F.col(c)).alias(c) for c in "xyz"], "n")
 
@@ -173,7 +173,7 @@ def _polar(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {POLAR} SELECT * FROM p")
 def polar_max_descriptor(spark: SparkSession, d: str) -> DataFrame:
-    """A5-A7, M1, M2, U4"""
+    """A5, M1, M2, U4"""
     return _polar(spark, d)
 
 
@@ -266,7 +266,7 @@ def last_valid_value(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10)")
 def semi_class(spark: SparkSession, d: str) -> DataFrame:
-    """P7, P8, J27"""
+    """P7, P8"""
     wanted = read(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("l_partkey"))
     return filters.of_classes(read(spark, d, "lineitem"), wanted, "l_partkey").select("l_orderkey", "l_linenumber")
 
@@ -402,29 +402,27 @@ def _cosine(a, b):
     return descriptor.dot(a, b) / (F.sqrt(descriptor.dot(a, a)) * F.sqrt(descriptor.dot(b, b)))
 
 
-@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS d FROM embeddings WHERE label = 0)
-SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.d, b.d), 6) AS sim FROM e a JOIN e b ON a.id < b.id""")
+@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS d FROM embeddings)
+SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.d, b.d), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND a.id < b.id""")
 def pairwise_cosine_upper(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of one frame's descriptors (a frame is the unit that is compared)"""
-    e = descriptors(spark, d).where("label = 0")
-    return joins.upper_triangle(e, rounded(_cosine(F.col("d_a"), F.col("d_b"))))
+    """All pairs of each frame's descriptors (a frame is the unit that is compared)"""
+    return joins.upper_triangle(descriptors(spark, d), rounded(_cosine(F.col("d_a"), F.col("d_b"))), on=("label",))
 
 
-@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS d FROM embeddings WHERE label = 1),
-p AS (SELECT a.id AS i, b.id AS j, a.d AS x, b.d AS y FROM e a JOIN e b ON a.id < b.id)
+@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS d FROM embeddings),
+p AS (SELECT a.id AS i, b.id AS j, a.d AS x, b.d AS y FROM e a JOIN e b ON a.label = b.label AND a.id < b.id)
 SELECT i, j, round(list_avg([list_cosine_similarity([x[c + 8 * r + 1] FOR r IN range(8)], [y[c + 8 * r + 1] FOR r IN range(8)]) FOR c IN range(8)]), 6) AS sim FROM p""")
 def descriptor_column_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """M24, V2"""
-    e = descriptors(spark, d).where("label = 1")
-    return joins.upper_triangle(e, rounded(descriptor.column_cosine(F.col("d_a"), F.col("d_b"), 8, 8)))
+    """M24"""
+    return joins.upper_triangle(descriptors(spark, d), rounded(descriptor.column_cosine(F.col("d_a"), F.col("d_b"), 8, 8)), on=("label",))
 
 
 @query()
 def descriptor_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Ring-key radius candidates, then the exact distance over shifts"""
-    e = descriptors(spark, d).where("label = 2").withColumn("key", descriptor.ring_key(F.col("d"), 8, 8))
-    k = e.select("id", "d", *[F.get("key", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
-    near = joins.radius_join(k, k, 0.5).where("id < id_r")
+    """V1, V3-V5, V7: ring-key radius candidates, then the exact distance over shifts"""
+    e = descriptors(spark, d).withColumn("key", descriptor.ring_key(F.col("d"), 8, 8))
+    k = e.select("id", "label", "d", *[F.get("key", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
+    near = joins.radius_join(k, k, 0.5, ["label"]).where("id < id_r")
     dist = near.select("id", "id_r", descriptor.distance(8, 8)("d", "d_r").alias("m"), descriptor.similarity(8, 8)("d", "d_r").alias("sim"))
     return dist.select("id", "id_r", rounded(F.col("m.dist")).alias("dist"), F.col("m.shift").alias("shift"), rounded(F.col("sim")).alias("sim"))
 
@@ -446,7 +444,7 @@ def positional_zip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, coalesce(m.v, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders GROUP BY 1) m ON c_custkey = o_custkey")
 def update_join(spark: SparkSession, d: str) -> DataFrame:
-    """J37, J23"""
+    """J37"""
     fresh = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
     return joins.updated(read(spark, d, "customer").select("c_custkey", "c_acctbal"), fresh, "c_custkey", ["c_acctbal"])
 
@@ -476,7 +474,7 @@ def _confusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {JUDGED} SELECT thr, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM m")
 def confusion_topn(spark: SparkSession, d: str) -> DataFrame:
-    """All thresholds share one candidate join"""
+    """All thresholds share one candidate join"""
     return _confusion(spark, d).withColumns({c: rounded(F.col(c)) for c in ("precision", "recall")})
 
 
@@ -542,7 +540,7 @@ def rigid_transform(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT pos, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM {PTS}")
 def transform_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """A transform and its inverse give the points back"""
+    """M6: a transform and its inverse give the points back"""
     t = geometry.from_euler(1.0, -2.0, 0.5, 0.1, 0.2, 0.3)
     there = geometry.transformed(*[F.col(c) for c in "xyz"], t)
     moved = points(spark, d).select("pos", *[v.alias(c) for v, c in zip(there, "xyz")])
@@ -559,7 +557,7 @@ def angles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 0::BIGINT AS id, 0.5::DOUBLE AS inter, 0.5::DOUBLE AS share_a, 0.5::DOUBLE AS share_b, 0.333333::DOUBLE AS iou UNION ALL SELECT 1, 0, 0, 0, 0")
 def polygon_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Unit squares moved by a half and by two"""
+    """Unit squares moved by a half and by two"""
     square = lambda m: [(0.0 + m, 0.0), (1.0 + m, 0.0), (1.0 + m, 1.0), (0.0 + m, 1.0)]
     kind = "array<struct<x: double, y: double>>"
     df = spark.createDataFrame([(0, square(0.0), square(0.5)), (1, square(0.0), square(2.0))], f"id long, a {kind}, b {kind}")
@@ -580,21 +578,28 @@ def dbscan(spark: SparkSession, d: str) -> DataFrame:
     return cluster.dbscan(points(spark, d), 2.0, 3, ["frame"]).select("pos", "cluster", "core")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT * FROM {PTS}), e AS (SELECT a.frame, a.pos AS a, b.pos AS b FROM p a JOIN p b ON a.frame = b.frame WHERE {D2} <= 4),
+r AS (SELECT pos AS node, pos AS seen FROM p UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a), c AS (SELECT node AS pos, min(seen) AS cluster FROM r GROUP BY node)
+SELECT frame, cluster, count(*) AS n FROM p JOIN c USING (pos) GROUP BY ALL HAVING count(*) >= 3""")
 def euclidean_clusters(spark: SparkSession, d: str) -> DataFrame:
     """G9"""
     return cluster.euclidean_clusters(points(spark, d), 2.0, ["frame"], 3).groupBy("frame", "cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT frame, pos, floor(sqrt(x * x + y * y + z * z))::BIGINT AS r, floor(CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END / 0.2)::BIGINT AS a,
+floor(atan2(z, sqrt(x * x + y * y)) / 0.2)::BIGINT AS e FROM {PTS}), v AS (SELECT frame, r, a, e, min(pos) AS id FROM p GROUP BY ALL),
+l AS (SELECT m.id AS a, n.id AS b FROM v m JOIN v n ON m.frame = n.frame AND abs(m.r - n.r) <= 1 AND abs(m.a - n.a) <= 1 AND abs(m.e - n.e) <= 1),
+s AS (SELECT id AS node, id AS seen FROM v UNION SELECT s.node, l.b FROM s JOIN l ON s.seen = l.a), c AS (SELECT node AS id, min(seen) AS first_pos FROM s GROUP BY node)
+SELECT p.frame, first_pos, count(*) AS n FROM p JOIN v USING (frame, r, a, e) JOIN c USING (id) GROUP BY ALL""")
 def curved_voxel_clusters(spark: SparkSession, d: str) -> DataFrame:
     """G4, G5"""
-    return cluster.curved_voxels(points(spark, d), 1.0, 0.2, 0.2, ["frame"]).groupBy("frame", "cluster").agg(F.count("*").alias("n"))
+    found = cluster.curved_voxels(points(spark, d), 1.0, 0.2, 0.2, ["frame"])
+    return found.groupBy("frame", "cluster").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n")).drop("cluster")
 
 
 @query()
 def segment(spark: SparkSession, d: str) -> DataFrame:
-    """Range images of lineitem cells"""
+    """Range images of lineitem cells"""
     li = read(spark, d, "lineitem").select((F.col("l_suppkey") % 4).cast("long").alias("frame"), (F.col("l_partkey") % 16).cast("int").alias("row"), (F.col("l_orderkey") % 60).cast("int").alias("col"), F.col("l_quantity").alias("range"), F.col("l_orderkey").alias("o"))
     image = li.groupBy("frame", "row", "col").agg(F.max_by("range", F.struct("o", "range")).alias("range"))
     return cluster.segments(image, 16, 60, least=5, small=3, lines=2)
@@ -610,7 +615,7 @@ def assign(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sparsify(spark: SparkSession, d: str) -> DataFrame:
-    """W18-W23, U9"""
+    """W19, U9"""
     p = points(spark, d)
     return windows.sparsified(p, ["frame"], ["pos"], "frame long, pos long, x double, y double, z double", windows.away_from_kept(4.0)).select("frame", "pos")
 
@@ -656,14 +661,17 @@ def kalman(spark: SparkSession, d: str) -> DataFrame:
     return r.select("user_id", "event_id", rounded(F.col("fx"), 4).alias("fx"), rounded(F.col("vx"), 4).alias("vx"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER ({OVER}) AS i FROM events),
+r AS (SELECT user_id, event_id, value, i FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, CASE WHEN abs(e.value - r.value) <= 30 THEN e.value ELSE r.value END, e.i FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, value FROM r""")
 def carry_forward(spark: SparkSession, d: str) -> DataFrame:
     """W5"""
     e = sensor(spark, d).select("user_id", "event_id", "ts", "value")
     return windows.carry_forward(e, "value", KEY, ORDER, 30.0, "user_id long, event_id long, ts timestamp_ntz, value double").select("user_id", "event_id", "value")
 
 
-@query()
+@query(f"""WITH a AS (SELECT user_id, event_id, ts, value / 100 AS v, coalesce(sum(value / 100) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM events)
+SELECT user_id, event_id, round(sum(cos(h) * v) OVER ({OVER} ROWS UNBOUNDED PRECEDING), 4) AS x, round(sum(sin(h) * v) OVER ({OVER} ROWS UNBOUNDED PRECEDING), 4) AS y FROM a""")
 def pose_product(spark: SparkSession, d: str) -> DataFrame:
     """W6, W9, W26, M5"""
     t = geometry.from_euler(*[F.col("value") / 100 if i in (0, 5) else F.lit(0.0) for i in range(6)], lib=F)
@@ -674,7 +682,9 @@ def pose_product(spark: SparkSession, d: str) -> DataFrame:
     return r.select("user_id", "event_id", rounded(F.col("t03"), 4).alias("x"), rounded(F.col("t13"), 4).alias("y"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM {PTS}),
+f AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b FROM s)
+SELECT unnest([0, 1, 2])::BIGINT AS k, round(unnest([a, b, mz - a * mx - b * my]), 6) AS value FROM f""")
 def normal_equations(spark: SparkSession, d: str) -> DataFrame:
     """Plane residuals z - (a x + b y + c) of all points, one aggregate and a 3 x 3 solve"""
     a, b, _ = models.normal_equations(points(spark, d), [F.col("x"), F.col("y"), F.lit(1.0)], -F.col("z"))

@@ -33,3 +33,17 @@ def sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rounded(c: Column, digits: int = 6) -> Column:
     """Rounds, with negative zero made plain zero, so that sums in another order give the same value."""
     return F.round(c, digits) + F.lit(0.0)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary one only in local mode where that is unset."""
+    import re
+    import tempfile
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="pointlake-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root}/pointlake-{spark.sparkContext.applicationId}"
