@@ -417,7 +417,12 @@ def descriptor_column_cosine(spark: SparkSession, d: str) -> DataFrame:
     return joins.upper_triangle(descriptors(spark, d), rounded(descriptor.column_cosine(F.col("d_a"), F.col("d_b"), 8, 8)), on=("label",))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS d FROM embeddings),
+r AS (SELECT *, [list_avg(d[1:8]), list_avg(d[9:16]), list_avg(d[17:24])] AS key FROM e),
+p AS (SELECT a.id, b.id AS id_r, a.d AS x, b.d AS y, unnest(range(8)) AS k FROM r a JOIN r b ON a.label = b.label AND a.id < b.id AND list_sum([pow(a.key[i] - b.key[i], 2) FOR i IN range(1, 4)]) <= 0.25),
+s AS (SELECT id, id_r, k, list_avg([list_cosine_similarity([x[j + 8 * r + 1] FOR r IN range(8)], [y[(j - k + 8) % 8 + 8 * r + 1] FOR r IN range(8)]) FOR j IN range(8)]) AS sim,
+list_sum([pow(list_avg([x[j + 8 * r + 1] - y[(j - k + 8) % 8 + 8 * r + 1] FOR r IN range(8)]), 2) FOR j IN range(8)]) AS gap FROM p)
+SELECT id, id_r, round(1 - arg_min(sim, gap), 6) AS dist, arg_min(k, gap)::INTEGER AS shift, round(max(sim), 6) AS sim FROM s GROUP BY id, id_r""")
 def descriptor_distance(spark: SparkSession, d: str) -> DataFrame:
     """V1, V3-V5, V7: ring-key radius candidates, then the exact distance over shifts"""
     e = descriptors(spark, d).withColumn("key", descriptor.ring_key(F.col("d"), 8, 8))
