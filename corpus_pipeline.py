@@ -64,7 +64,8 @@ STAGES = [
     ("sentencepiece", encoding_stage),
 ]
 
-#: A trained classifier and a seeded tokenizer are not expressible in SQL: tests compare with brute force.
+#: A trained classifier and a seeded tokenizer are not expressible in SQL. The operators have tests of their own; the test of
+#: the whole pipeline looks at columns and counts only.
 ORACLE_SQL = None
 
 

@@ -168,8 +168,8 @@ def test_language_ties_and_rare_languages(spark):
     assert {r["lang_pred"] for r in langid.predict(even, *langid.train(even)).collect()} == {"aa"}
 
 
-def test_quality_against_plain_likelihood(spark):
-    """The fit is a stationary point of the penalised likelihood, up to the step size; repeated labels and rows count once."""
+def test_quality_sample_and_order(spark):
+    """Labels are graded by their lowest, features of training rows are bounded, weights and thresholds are in order."""
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (3, None, None), (None, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (4, "d"), (4, "d"), (None, "e"), (5, "f")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["text"], r["grade"]) for r in quality.labelled_sample(docs, labels).collect())
