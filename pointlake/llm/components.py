@@ -9,5 +9,6 @@ from pointlake.operators import components as shared
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (node, component): the smallest node reachable, for every node that has a link."""
+    """links (a, b), stored -> a stored table (node, component): the smallest node reachable, for every node that reaches
+    a smaller one."""
     return shared.components(links, written)

@@ -243,24 +243,23 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # several texts under one doc_id are one node; their sets are tested one by one
     keyed = written(_band_keys(classes))
     total = keyed.count()
-    links, found = None, None
+    found = None
     for bands in (range(FIRST_BANDS), range(FIRST_BANDS, BANDS)):
         with scope() as keep:
             rows = written(_buckets(keyed, found, bands))
             fresh = _verified(_stars(rows, total * len(bands)), classes, docs)
-            links = fresh if links is None else links.unionByName(fresh)
-            found = written(components(links))
-            keep(fresh, found)
+            found = components(fresh if found is None else fresh.unionByName(found.toDF("a", "b")))
+            keep(found)
 
     with scope() as keep:
         more = _in_blocks(_open(written(_buckets(keyed, found, range(BANDS))), total * BANDS), classes, docs)
         keep(more)
 
     # several sets under one doc_id tie their classes together
-    same = sketch.join(firsts, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     again = sketch.where("n > 0").groupBy("doc_id").agg(F.count_distinct("set_id").alias("_k")).where("_k > 1").select("doc_id")
-    tied = same.join(again.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")
-    final = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(tied)))
+    same = sketch.join(again, "doc_id", "left_semi").join(firsts, "set_id").where("doc_id <> rep")
+    tied = written(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    final = components(found.toDF("a", "b").unionByName(more).unionByName(tied))
     return sketch, firsts, final
 
 
