@@ -44,6 +44,14 @@ def gga(sentence: Column) -> list[Column]:
     ]
 
 
+def ins(sentence: Column) -> list[Column]:
+    """Fields of an inertial or heading sentence by position after the `;` (D5); what is not a number is null."""
+    f = F.split(F.regexp_extract(sentence, r";([^*\r\n]*)", 1), ",")
+    names = ["latitude", "longitude", "elevation", "separation", "north", "east", "up", "roll", "pitch", "yaw"]
+    numbers = [F.get(f, F.lit(i + 2)).try_cast("double").alias(n) for i, n in enumerate(names)]
+    return [F.get(f, F.lit(0)).alias("ins_status"), F.get(f, F.lit(1)).alias("pos_status"), *numbers]
+
+
 def stamp_seconds(stamp: Column) -> Column:
     """A 16-digit microsecond string as a timestamp."""
     return F.timestamp_micros(stamp.cast("long"))
@@ -59,6 +67,12 @@ def calendar_seconds(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return F.unix_micros(F.to_timestamp(text, pattern)) / 1e6
 
 
+def device_seconds(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, nano: Column) -> Column:
+    """A device's UTC fields to epoch seconds, in whatever zone the session is (D9); null for a date that isn't one."""
+    at = F.try_make_timestamp_ltz(year, month, day, hour, minute, second, F.lit("UTC"))
+    return F.unix_micros(at) / 1e6 + nano * 1e-9
+
+
 def aligned_clock(t: Column, gnss: Column, imu: Column, before: float = 0.008) -> Column:
     """t - gnss + imu, or t less a fixed delay before the first match."""
     return F.coalesce(t - gnss + imu, t - before)

@@ -100,6 +100,35 @@ def upper_triangle(df: DataFrame, score, blocks: int = 8, key: str = "id", on: t
     return a.join(b, [*on, "_p", "_q"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(F.col(f"{key}_a").alias("i"), F.col(f"{key}_b").alias("j"), score.alias("sim"))
 
 
+def rectangle(left: DataFrame, right: DataFrame, score, blocks: int = 8, key: str = "id") -> DataFrame:
+    """Every left row with every right row and a score. Right rows are dealt out to blocks, left rows (the smaller
+    set) to all of them by an equi-join; nothing is broadcast."""
+    part = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    a = left.select(*[F.col(c).alias(f"{c}_a") for c in left.columns], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_p"))
+    b = right.select(*[F.col(c).alias(f"{c}_b") for c in right.columns], part.alias("_p"))
+    return a.join(b, "_p").select(F.col(f"{key}_a").alias("i"), F.col(f"{key}_b").alias("j"), score.alias("sim"))
+
+
+def older_nearest(queries: DataFrame, rows: DataFrame, k: int = 10, newest: int = 50, blocks: int = 8) -> DataFrame:
+    """J18, search: of each query (id, key, d) the k rows nearest by the whole key array, without the `newest` rows before it;
+    ties by id. Each block keeps its own k before the k of all blocks are picked."""
+    b = rows.select(F.col("id").alias("id_r"), F.col("key").alias("_key_r"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_p"))
+    a = queries.select("id", "key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_p"))
+    gap = F.aggregate(F.zip_with("key", "_key_r", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    near = a.join(b, "_p").where(F.col("id_r") < F.col("id") - newest).select("id", "id_r", "_p", gap.alias("gap"))
+    for by in (["id", "_p"], ["id"]):
+        near = near.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("gap", "id_r"))).where(F.col("rank") <= k)
+    found = near.drop("_p")
+    return found.join(queries.select("id", "d"), "id").join(rows.select(F.col("id").alias("id_r"), F.col("d").alias("d_r")), "id_r")
+
+
+def loop_by_descriptor(found: DataFrame, distance, accept: float = 0.5) -> DataFrame:
+    """J18, rerank: the candidate of the smallest exact distance; its id only where that is below `accept`, else null."""
+    m = found.withColumn("_m", distance("d", "d_r")).where(F.col("_m.dist").isNotNull() & ~F.isnan("_m.dist"))
+    best = m.groupBy("id").agg(F.min(F.struct(F.col("_m.dist").alias("dist"), "rank", "id_r", F.col("_m.shift").alias("shift"))).alias("b"))
+    return best.select("id", F.when(F.col("b.dist") < accept, F.col("b.id_r")).alias("loop"), F.col("b.dist").alias("dist"), F.col("b.shift").alias("shift"))
+
+
 def cached(pairs: DataFrame, cache: DataFrame, compute: Column) -> DataFrame:
     """The cached score of a pair where there is one, else the computed one."""
     return pairs.join(cache.withColumnRenamed("score", "_s"), ["src", "dst"], "left").withColumn("score", F.coalesce("_s", compute)).drop("_s")

@@ -52,13 +52,16 @@ def top_k(df: DataFrame, by: str, k: int, key: list[str], tie: list[str], descen
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def pick_suppressed(value: np.ndarray, quota: int, reach: int, least: float, free: np.ndarray) -> list[int]:
-    """Greedy picks by descending value; each frees no row within `reach` of it any more."""
-    out = []
+def pick_suppressed(value: np.ndarray, quota: int, reach: int, least: float, free: np.ndarray, classes=None, quotas: dict | None = None) -> list[int]:
+    """Greedy picks by descending value; each frees no row within `reach` of it any more. With `quotas` each class has its
+    own count (none: 0) in place of `quota`; a row of a full class is passed over and suppresses nothing."""
+    out, left = [], dict(quotas or {})
     for i in np.lexsort((np.arange(len(value)), -value)):
-        if len(out) >= quota or value[i] < least:
+        if value[i] < least or (quotas is None and len(out) >= quota):
             break
-        if free[i]:
+        if free[i] and (quotas is None or left.get(classes[i], 0) > 0):
+            if quotas is not None:
+                left[classes[i]] -= 1
             out.append(int(i))
             free[max(0, i - reach) : i + reach + 1] = False
     return out
@@ -78,8 +81,8 @@ def features(df: DataFrame, schema: str, key: list[str], sectors: int = 6, sharp
             if not len(part):
                 continue
             free = np.ones(len(part), bool)
-            many = less if quota is None else max(quota.get(x, 0) for x in pdf[label].iloc[part])
-            picks = pick_suppressed(c[part], many, reach, least, free)
+            own = None if quota is None else pdf[label].iloc[part].tolist()
+            picks = pick_suppressed(c[part], less, reach, least, free, own, quota)
             out[part[picks]] = 1
             out[part[picks[:sharp]]] = 2
             free &= out[part] == 0
@@ -127,6 +130,30 @@ def pose_product(df: DataFrame, key: list[str], order: list[str], schema: str, l
     return df.groupBy(*key).applyInPandas(run, schema)
 
 
+def strap_down(df: DataFrame, key: list[str], order: list[str], schema: str, gravity: float = -9.8) -> DataFrame:
+    """Position, speed and attitude (px, py, pz, vx, vy, vz, qw, qx, qy, qz) after each row's dt, by its acceleration
+    (ax, ay, az) and turn rate (gx, gy, gz), from rest. The attitude grows by the small-angle quaternion (1, g dt / 2), which
+    is not normalised, and moves the acceleration of the next row. The product doesn't commute: one pass for each key."""
+    names = ["px", "py", "pz", "vx", "vy", "vz", "qw", "qx", "qy", "qz"]
+    down = np.array([0.0, 0.0, gravity])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        acc, turn, dts = pdf[["ax", "ay", "az"]].to_numpy(float), pdf[["gx", "gy", "gz"]].to_numpy(float), pdf["dt"].to_numpy(float)
+        p, v, w, u = np.zeros(3), np.zeros(3), 1.0, np.zeros(3)
+        out = np.empty((len(pdf), 10))
+        for i, dt in enumerate(dts):
+            t = 2 * np.cross(u, acc[i])
+            a = acc[i] + w * t + np.cross(u, t) + down
+            p, v = p + v * dt + a * dt * dt / 2, v + a * dt
+            h = turn[i] * dt / 2
+            w, u = w - u @ h, u + w * h + np.cross(u, h)
+            out[i] = [*p, *v, w, *u]
+        return pdf.assign(**{n: out[:, j] for j, n in enumerate(names)})
+
+    return df.groupBy(*key).applyInPandas(run, schema + "".join(f", {n} double" for n in names))
+
+
 def relative(df: DataFrame, key: list[str], order: list[str], previous_first: bool = False) -> DataFrame:
     """T_i T_{i-1}^-1, or W8 (Q16): T_{i-1} T_i^-1; the first row is itself. Columns t00..t23, column math only."""
     from pointlake.functions.geometry import composed, inverse

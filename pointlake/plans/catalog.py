@@ -618,7 +618,18 @@ def assign(spark: SparkSession, d: str) -> DataFrame:
     return cluster.assigned(near.select("frame", F.col("pos").alias("i"), F.col("pos_r").alias("j"), F.sqrt("d2").alias("cost")), ["frame"])
 
 
-@query()
+GAP2 = "((k.x - e.x) * (k.x - e.x) + (k.y - e.y) * (k.y - e.y) + (k.z - e.z) * (k.z - e.z))"
+
+
+def greedy(keep: str) -> str:
+    """SQL of a greedy choice in each frame by pos; keep: condition on `kept` (a list of structs) and the row e."""
+    row = "{'x': e.x, 'y': e.y, 'z': e.z, 'd': e.d}"
+    return f"""WITH RECURSIVE e AS (SELECT label::BIGINT AS frame, vec_id AS pos, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y, embedding[3]::DOUBLE * 10 AS z, embedding::DOUBLE[] AS d,
+row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings), g AS (SELECT frame, n, pos, [{row}] AS kept, true AS keep FROM e WHERE n = 1
+UNION ALL SELECT e.frame, e.n, e.pos, CASE WHEN {keep} THEN list_append(kept, {row}) ELSE kept END, {keep} FROM g JOIN e ON e.frame = g.frame AND e.n = g.n + 1) SELECT frame, pos FROM g WHERE keep"""
+
+
+@query(greedy(f"list_bool_and([{GAP2} > 16 FOR k IN kept])"))
 def sparsify(spark: SparkSession, d: str) -> DataFrame:
     """W19, U9"""
     p = points(spark, d)

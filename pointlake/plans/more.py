@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.functions import geometry, nmea
+from pointlake.functions import descriptor, geometry, nmea
 from pointlake.operators import aggregates as agg
-from pointlake.operators import filters, joins, windows
-from pointlake.plans.catalog import D2, EV, KEY, OVER, ORDER, PTS, query
-from pointlake.session import points, read, rounded, scratch, sensor
+from pointlake.operators import filters, joins, recall, windows
+from pointlake.plans.catalog import D2, EV, GAP2, KEY, OVER, ORDER, PTS, greedy, query
+from pointlake.session import descriptors, points, read, rounded, scratch, sensor
 from pointlake.sources import tables
 
 R2 = "(x * x + y * y + z * z)"
@@ -357,3 +357,119 @@ def monotone_fixes(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
     p = sensor(spark, d).select("user_id", "event_id", F.row_number().over(w).alias("pos"), (F.col("value") * 1000).alias("t"))
     return tables.monotone_fixes(p, 12000.0, 60000.0, KEY).select("user_id", "event_id")
+
+
+# ---- searches and recall ----
+
+
+@query("""SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0""")
+def rectangle_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """The query set (ids divisible by 20) against all rows"""
+    e = descriptors(spark, d).select("id", "d")
+    dot = descriptor.dot
+    cosine = dot(F.col("d_a"), F.col("d_b")) / (F.sqrt(dot(F.col("d_a"), F.col("d_a"))) * F.sqrt(dot(F.col("d_b"), F.col("d_b"))))
+    return joins.rectangle(e.where("id % 20 = 0"), e, rounded(cosine))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS d, [list_avg(embedding[8 * i + 1 : 8 * i + 8]::DOUBLE[]) FOR i IN range(8)] AS key FROM embeddings),
+n AS (SELECT a.id, b.id AS id_r, a.d AS x, b.d AS y, row_number() OVER (PARTITION BY a.id ORDER BY list_sum([pow(a.key[i] - b.key[i], 2) FOR i IN range(1, 9)]), b.id) AS rank
+FROM e a JOIN e b ON b.id < a.id - 50 WHERE a.id % 20 = 0 QUALIFY rank <= 10), p AS (SELECT *, unnest(range(8)) AS k FROM n),
+s AS (SELECT id, id_r, rank, k, list_avg([list_cosine_similarity([x[j + 8 * r + 1] FOR r IN range(8)], [y[(j - k + 8) % 8 + 8 * r + 1] FOR r IN range(8)]) FOR j IN range(8)]) AS sim,
+list_sum([pow(list_avg([x[j + 8 * r + 1] - y[(j - k + 8) % 8 + 8 * r + 1] FOR r IN range(8)]), 2) FOR j IN range(8)]) AS gap FROM p),
+m AS (SELECT id, id_r, rank, 1 - arg_min(sim, gap) AS dist, arg_min(k, gap)::INTEGER AS shift FROM s GROUP BY id, id_r, rank)
+SELECT id, CASE WHEN min(dist) < 0.5 THEN arg_min(id_r, (dist, rank)) END AS loop, round(min(dist), 6) AS dist, arg_min(shift, (dist, rank)) AS shift FROM m GROUP BY id""")
+def loop_by_descriptor(spark: SparkSession, d: str) -> DataFrame:
+    """Ids divisible by 20 against all older rows"""
+    e = descriptors(spark, d).select("id", "d").withColumn("key", descriptor.ring_key(F.col("d"), 8, 8))
+    found = joins.older_nearest(e.where("id % 20 = 0"), e)
+    return _rounded(joins.loop_by_descriptor(found, descriptor.distance(8, 8)), "dist")
+
+
+RECALL = f"""e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS d, x, y, z FROM embeddings JOIN {PTS} ON vec_id = pos),
+c AS (SELECT a.id, b.id AS cand, sqrt({D2}) AS dist, round(1 - list_cosine_similarity(a.d, b.d), 6) AS score FROM e a JOIN e b ON b.id < a.id WHERE {D2} <= 4),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, cand) AS n FROM c QUALIFY n <= 10),
+t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cand) AS n FROM c WHERE dist <= 0.75 QUALIFY n <= 3),
+b AS (SELECT id, max(score) FILTER (WHERE n = 1) AS score, max(dist) FILTER (WHERE n = 1) AS dist, max(cand) FILTER (WHERE n = 1) AS cand, min(score) FILTER (WHERE dist < 0.75) AS near FROM f GROUP BY id),
+p AS (SELECT id, max(cand) FILTER (WHERE n = 1) AS place, list(cand) AS places FROM t GROUP BY id),
+v AS (SELECT thr, coalesce(score < thr, false) AS c, coalesce(cand = place, false) AS exact, coalesce(list_contains(places, cand), false) AS top3, place IS NOT NULL AS ex,
+coalesce(dist < 0.75, false) AS inside, coalesce(dist > 0.75, false) AS beyond, coalesce(near < thr, false) AS deep FROM e LEFT JOIN b USING (id) LEFT JOIN p USING (id), (SELECT unnest([0.3, 0.6, 0.9, 1.2])::DOUBLE AS thr)),
+r AS (SELECT *, unnest([{{'rule': 'exact_id', 'ok': exact, 'again': NOT exact}}, {{'rule': 'any_truth', 'ok': ex, 'again': beyond}}, {{'rule': 'top3_truth', 'ok': top3, 'again': NOT top3}},
+{{'rule': 'top1_distance', 'ok': inside, 'again': false}}, {{'rule': 'top_n_distance', 'ok': deep, 'again': false}}], recursive := true) FROM v)"""
+
+
+@query(f"""WITH {RECALL}, m AS (SELECT rule, thr, count(*) FILTER (WHERE c AND ok) AS tp, count(*) FILTER (WHERE c AND NOT ok) AS fp, count(*) FILTER (WHERE ex AND (NOT c OR again)) AS fn,
+count(*) FILTER (WHERE NOT c AND NOT ex) AS tn FROM r GROUP BY rule, thr) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM m""")
+def recall_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates within 2 scored by descriptor, truths within 0.75"""
+    e = descriptors(spark, d).select("id", "d").join(points(spark, d).select(F.col("pos").alias("id"), *"xyz"), "id")
+    near = joins.radius_join(e, e, 2.0).where("id_r < id")
+    dot = descriptor.dot
+    cosine = dot(F.col("d"), F.col("d_r")) / (F.sqrt(dot(F.col("d"), F.col("d"))) * F.sqrt(dot(F.col("d_r"), F.col("d_r"))))
+    found = near.select("id", F.col("id_r").alias("cand"), F.sqrt("d2").alias("dist"), rounded(1 - cosine).alias("score"))
+    truth = found.where("dist <= 0.75").select("id", F.col("cand").alias("place"), "dist")
+    return _rounded(recall.counts(recall.evidence(e, found, truth, 0.75), [0.3, 0.6, 0.9, 1.2], 0.75), "precision", "recall")
+
+
+def _chosen(spark: SparkSession, d: str, keep) -> DataFrame:
+    e = descriptors(spark, d).select(F.col("label").alias("frame"), F.col("id").alias("pos"), "d").join(points(spark, d).select("pos", *"xyz"), "pos").select("frame", "pos", *"xyz", "d")
+    return windows.sparsified(e, ["frame"], ["pos"], "frame long, pos long, x double, y double, z double, d array<double>", keep).select("frame", "pos")
+
+
+UNLIKE = "list_max([list_cosine_similarity(k.d, e.d) FOR k IN {}]) < {}"
+LAST = "((kept[-1].x - e.x) * (kept[-1].x - e.x) + (kept[-1].y - e.y) * (kept[-1].y - e.y) + (kept[-1].z - e.z) * (kept[-1].z - e.z))"
+
+
+@query(greedy(UNLIKE.format("kept", 0.3)))
+def sparsify_by_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """W18"""
+    return _chosen(spark, d, windows.unlike_kept(0.3))
+
+
+@query(greedy(f"({LAST} >= 1.0 AND (len(kept) < 2 OR {UNLIKE.format('kept[:-2]', 0.4)}))"))
+def sparsify_by_last(spark: SparkSession, d: str) -> DataFrame:
+    """W20"""
+    return _chosen(spark, d, windows.unlike_last_and_new(1.0, 0.4))
+
+
+@query(greedy(f"list_bool_and([CASE WHEN sqrt({GAP2}) > 2 THEN 1 ELSE 0.6 * (1 - list_cosine_similarity(k.d, e.d)) + 0.4 * exp(-0.5 * pow(sqrt({GAP2}) - 1, 2)) END >= 0.8 FOR k IN kept])"))
+def sparsify_fused(spark: SparkSession, d: str) -> DataFrame:
+    """W21"""
+    return _chosen(spark, d, windows.fused(0.8, 0.6, 0.4, 0.5, 1.0, 2.0))
+
+
+@query(greedy(f"{LAST} >= 2.25"))
+def keyframe_gate(spark: SparkSession, d: str) -> DataFrame:
+    """W22"""
+    return _chosen(spark, d, windows.away_from_last(1.5))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value / 100 AS a, value / 50 * 0.05 AS h, row_number() OVER ({OVER}) AS n FROM events), s AS (
+SELECT user_id, event_id, n, a * 0.005 AS px, 0.0::DOUBLE AS py, a * 0.1 AS vx, 0.0::DOUBLE AS vy, 1.0::DOUBLE AS w, h AS c FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_id, e.n, px + vx * 0.1 + (a - 2 * c * c * a) * 0.005, py + vy * 0.1 + 2 * w * c * a * 0.005, vx + (a - 2 * c * c * a) * 0.1, vy + 2 * w * c * a * 0.1, w - c * h, w * h + c
+FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT user_id, event_id, round(px, 4) + 0.0::DOUBLE AS px, round(py, 4) + 0.0::DOUBLE AS py, round(vx, 4) + 0.0::DOUBLE AS vx, round(vy, 4) + 0.0::DOUBLE AS vy, round(w, 4) + 0.0::DOUBLE AS qw, round(c, 4) + 0.0::DOUBLE AS qz FROM s""")
+def strap_down(spark: SparkSession, d: str) -> DataFrame:
+    """W12"""
+    zero = F.lit(0.0)
+    e = sensor(spark, d).select("user_id", "event_id", "ts", (F.col("value") / 100).alias("ax"), zero.alias("ay"), F.lit(9.8).alias("az"), zero.alias("gx"), zero.alias("gy"), (F.col("value") / 50).alias("gz"), F.lit(0.1).alias("dt"))
+    r = windows.strap_down(e, KEY, ORDER, "user_id long, event_id long, ts timestamp_ntz, " + ", ".join(f"{n} double" for n in ("ax", "ay", "az", "gx", "gy", "gz", "dt")))
+    return _rounded(r.select("user_id", "event_id", "px", "py", "vx", "vy", "qw", "qz"), "px", "py", "vx", "vy", "qw", "qz", digits=4)
+
+
+@query("""SELECT event_id, event_type AS ins_status, 'NARROW' AS pos_status, value AS latitude, value / 2 AS longitude, NULL::DOUBLE AS elevation, value - 3 AS yaw FROM events""")
+def ins_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences made of the events, with an empty field"""
+    v = F.col("value")
+    body = F.concat_ws(",", "event_type", F.lit("NARROW"), v.cast("string"), (v / 2).cast("string"), *[F.lit("")] * 7, (v - 3).cast("string"), F.lit("0"))
+    s = sensor(spark, d).select("event_id", F.concat(F.lit("#HEADING3A,COM1,0;"), body, F.lit("*1f")).alias("s"))
+    return s.select("event_id", *nmea.ins(F.col("s"))).select("event_id", "ins_status", "pos_status", "latitude", "longitude", "elevation", "yaw")
+
+
+@query("SELECT event_id, round(epoch_us(ts) / 1e6, 6) AS t FROM events")
+def device_clock(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of ts, its fraction as nanoseconds"""
+    ts = F.col("ts").cast("timestamp_ntz")
+    second = F.extract(F.lit("SECOND"), ts)
+    parts = [F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.floor(second).cast("decimal(16,6)")]
+    nano = ((second - F.floor(second)) * 1_000_000_000).cast("double")
+    return _rounded(read(spark, d, "events").select("event_id", nmea.device_seconds(*parts, nano).alias("t")), "t")

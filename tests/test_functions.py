@@ -119,3 +119,29 @@ def test_connected_and_ratio_boundary(spark):
     hit = spark.createDataFrame([(0, 0, 0, 1), (1, 0, 0, 1)], "vx long, vy long, vz long, hit long")
     cross = spark.createDataFrame([(0, 0, 0, 19), (1, 0, 0, 20)], "vx long, vy long, vz long, cross long")
     assert [r["vx"] for r in ratio_having(hit, cross).collect()] == [0]
+
+
+def test_class_quotas():
+    import numpy as np
+
+    from pointlake.operators.windows import pick_suppressed
+
+    value, classes = np.array([9.0, 8, 7, 6, 5, 4, 3]), ["a", "a", "a", "b", "b", "c", "a"]
+    assert pick_suppressed(value, 0, 0, 0.1, np.ones(7, bool), classes, {"a": 2, "b": 1}) == [0, 1, 3]
+    assert pick_suppressed(value, 0, 1, 0.1, np.ones(7, bool), classes, {"a": 2, "b": 1}) == [0, 2, 4]
+    assert pick_suppressed(value, 3, 0, 0.1, np.ones(7, bool)) == [0, 1, 2]
+
+
+def test_device_clock_in_any_zone(spark):
+    from pyspark.sql import functions as F
+
+    from pointlake.functions import nmea
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        at = lambda *v: nmea.device_seconds(*[F.lit(x) for x in v])
+        row = spark.range(1).select(at(1970, 1, 2, 0, 0, 1, 500_000_000).alias("a"), at(2024, 2, 30, 0, 0, 0, 0).alias("b")).first()
+        assert row["a"] == 86401.5 and row["b"] is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
