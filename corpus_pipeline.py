@@ -64,8 +64,8 @@ STAGES = [
     ("sentencepiece", encoding_stage),
 ]
 
-#: A trained classifier and a seeded tokenizer are not expressible in SQL. The operators have tests of their own; the test of
-#: the whole pipeline looks at columns and counts only.
+#: A trained classifier and a seeded tokenizer are not expressible in SQL; tests/llm/test_pipeline.py compares every stage, on
+#: what its predecessor kept, with plain Python over all rows.
 ORACLE_SQL = None
 
 
