@@ -84,15 +84,30 @@ def ground(df: DataFrame, below: int, slope: float = 10.0) -> DataFrame:
     return marked.withColumn("ground", (F.col("_f") == 1) | (F.coalesce(F.lag("_f").over(w), F.lit(0)) == 1)).drop("_f")
 
 
-def dbscan(points: DataFrame, eps: float, least: int, key: list[str]) -> DataFrame:
-    """G6-G8 with fixed eps: (pos, cluster, core); noise has no cluster. Grid join, components of core points, border points
-    to their smallest core neighbour's cluster. A point counts itself."""
-    near = radius_join(points.select("pos", *key, "x", "y", "z"), points.select("pos", *key, "x", "y", "z"), eps, key).select("pos", "pos_r")
+def adaptive_reach(scale: float, degrees: float, eps: float) -> Column:
+    """Squared reach of a point: scale times the gap between neighbouring beams at its depth, at least eps. It is
+    compared with squared distances as it stands."""
+    depth = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    return F.greatest(F.lit(float(np.radians(degrees)) * scale) * depth, F.lit(float(eps)))
+
+
+def dbscan(points: DataFrame, eps: float, least: int, key: list[str], reach2: Column | None = None) -> DataFrame:
+    """(pos, cluster, core); noise has no cluster. Grid join, components of core points, border points to the smallest
+    cluster that reaches them. A point counts itself. The squared reach is eps * eps, or reach2 of each point: then a point is core by
+    what its own reach holds, and two core points belong together if either reaches the other, in whatever order they come.
+
+    The grid is as wide as the widest reach of all points, which a sensor's range bounds."""
+    scratch(points.sparkSession)  # sets a folder in local mode, fails on a cluster without one
+    p = points.select("pos", *key, "x", "y", "z", (F.lit(float(eps * eps)) if reach2 is None else reach2).alias("_e2"))
+    widest = eps if reach2 is None else float(p.agg(F.max("_e2")).first()[0] or 0.0) ** 0.5 or 1.0
+    near = radius_join(p, p.drop("_e2"), widest, key)
+    near = (near if reach2 is None else near.where("d2 <= _e2")).select("pos", "pos_r").checkpoint()
     core = near.groupBy("pos").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pos")
     links = near.join(core, "pos").join(core.withColumnRenamed("pos", "pos_r"), "pos_r")
     comp = connected(links.select(F.col("pos").alias("a"), F.col("pos_r").alias("b")))
     inside = comp.select(F.col("node").alias("pos"), F.col("component").alias("cluster"), F.lit(True).alias("core"))
-    border = near.join(core, "pos", "left_anti").join(comp.withColumnRenamed("node", "pos_r"), "pos_r").groupBy("pos").agg(F.min("component").alias("cluster"))
+    reached = near.join(comp.withColumnRenamed("node", "pos"), "pos").select(F.col("pos_r").alias("pos"), "component")
+    border = reached.join(core, "pos", "left_anti").groupBy("pos").agg(F.min("component").alias("cluster"))
     found = inside.unionByName(border.withColumn("core", F.lit(False)))
     return points.join(found, "pos", "left").withColumn("core", F.coalesce("core", F.lit(False)))
 

@@ -573,16 +573,26 @@ def polygon_overlap(spark: SparkSession, d: str) -> DataFrame:
 # ---- clustering, models, stateful ----
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT * FROM {PTS}), e AS (SELECT a.frame, a.pos AS a, b.pos AS b FROM p a JOIN p b ON a.frame = b.frame WHERE {D2} <= 4),
-core AS (SELECT a AS pos FROM e GROUP BY a HAVING count(*) >= 3), l AS (SELECT a, b FROM e WHERE a IN (SELECT pos FROM core) AND b IN (SELECT pos FROM core)),
-r AS (SELECT pos AS node, pos AS seen FROM core UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a), c AS (SELECT node AS pos, min(seen) AS cluster FROM r GROUP BY node),
-bd AS (SELECT e.a AS pos, min(c.cluster) AS cluster FROM e JOIN c ON e.b = c.pos WHERE e.a NOT IN (SELECT pos FROM core) GROUP BY e.a)
-SELECT p.pos, coalesce(c.cluster, bd.cluster) AS cluster, c.pos IS NOT NULL AS core FROM p LEFT JOIN c USING (pos) LEFT JOIN bd USING (pos)""")
+def _dbscan(reach2: str, least: int) -> str:
+    return f"""WITH RECURSIVE p AS (SELECT * FROM {PTS}), e AS (SELECT a.frame, a.pos AS a, b.pos AS b FROM p a JOIN p b ON a.frame = b.frame WHERE {D2} <= {reach2}),
+core AS (SELECT a AS pos FROM e GROUP BY a HAVING count(*) >= {least}), l AS (SELECT a, b FROM e WHERE a IN (SELECT pos FROM core) AND b IN (SELECT pos FROM core)),
+r AS (SELECT pos AS node, pos AS seen FROM core UNION SELECT r.node, l.b FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) l ON r.seen = l.a), c AS (SELECT node AS pos, min(seen) AS cluster FROM r GROUP BY node),
+bd AS (SELECT e.b AS pos, min(c.cluster) AS cluster FROM e JOIN c ON e.a = c.pos WHERE e.b NOT IN (SELECT pos FROM core) GROUP BY e.b)
+SELECT p.pos, coalesce(c.cluster, bd.cluster) AS cluster, c.pos IS NOT NULL AS core FROM p LEFT JOIN c USING (pos) LEFT JOIN bd USING (pos)"""
+
+
+@query(_dbscan("4", 3))
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
-    """G6-G8, G10, G11"""
+    """G7, G10, G11"""
     return cluster.dbscan(points(spark, d), 2.0, 3, ["frame"]).select("pos", "cluster", "core")
 
 
+@query(_dbscan("greatest(radians(40) * sqrt(a.x * a.x + a.y * a.y + a.z * a.z), 0.7)", 3))
+def dbscan_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    """G6, G8"""
+    return cluster.dbscan(points(spark, d), 0.7, 3, ["frame"], cluster.adaptive_reach(2.0, 20.0, 0.7)).select("pos", "cluster", "core")
+
+
 @query(f"""WITH RECURSIVE p AS (SELECT * FROM {PTS}), e AS (SELECT a.frame, a.pos AS a, b.pos AS b FROM p a JOIN p b ON a.frame = b.frame WHERE {D2} <= 4),
 r AS (SELECT pos AS node, pos AS seen FROM p UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a), c AS (SELECT node AS pos, min(seen) AS cluster FROM r GROUP BY node)
 SELECT frame, cluster, count(*) AS n FROM p JOIN c USING (pos) GROUP BY ALL HAVING count(*) >= 3""")
