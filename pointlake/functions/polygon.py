@@ -90,3 +90,13 @@ def shoelace(xs: Column, ys: Column) -> Column:
     turn = lambda a: F.concat(F.slice(a, 2, F.size(a)), F.slice(a, 1, 1))
     total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     return F.abs(total(xs, turn(ys)) - total(ys, turn(xs))) / 2
+
+
+def meeting(a: tuple, b: tuple, c: tuple, d: tuple) -> tuple[Column, Column]:
+    """x and y where segments ab and cd meet, null if they don't (M17); points are pairs of columns."""
+    turn = lambda p, q: p[0] * q[1] - p[1] * q[0]
+    ab, cd, ac = ((q[0] - p[0], q[1] - p[1]) for p, q in ((a, b), (c, d), (a, c)))
+    n = F.nullif(turn(ab, cd), F.lit(0.0))
+    s, t = turn(ac, cd) / n, turn(ac, ab) / n
+    hit = s.between(0, 1) & t.between(0, 1)
+    return F.when(hit, a[0] + s * ab[0]), F.when(hit, a[1] + s * ab[1])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.functions import descriptor, geometry, nmea
+from pointlake.functions import descriptor, geometry, nmea, polygon
 from pointlake.operators import aggregates as agg
 from pointlake.operators import filters, joins, recall, windows
 from pointlake.plans.catalog import D2, EV, GAP2, KEY, OVER, ORDER, PTS, greedy, query
@@ -473,3 +473,55 @@ def device_clock(spark: SparkSession, d: str) -> DataFrame:
     parts = [F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.floor(second).cast("decimal(16,6)")]
     nano = ((second - F.floor(second)) * 1_000_000_000).cast("double")
     return _rounded(read(spark, d, "events").select("event_id", nmea.device_seconds(*parts, nano).alias("t")), "t")
+
+
+# ---- polygons and sentences over whole tables ----
+
+
+@query(f"""WITH p AS (SELECT *, greatest(least(x + 1, x + z + 1.5) - greatest(x, x + z), 0) * greatest(least(y + 2, y - z / 2 + 1) - greatest(y, y - z / 2), 0) AS inter FROM {PTS})
+SELECT pos, round(inter, 6) AS inter, round(inter / 2, 6) AS share_a, round(inter / 1.5, 6) AS share_b, round(inter / (3.5 - inter), 6) AS iou, inter > 1e-9 AS collide FROM p""")
+def hull_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Two boxes at each point, their corners in no order"""
+
+    def box(x, y, w, h):
+        return F.array(*[F.struct((x + i * w).alias("x"), (y + j * h).alias("y")) for i, j in ((0, 0), (1, 1), (0, 1), (1, 0))])
+
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    o = points(spark, d).select("pos", polygon.convex_overlap(box(x, y, 1.0, 2.0), box(x + z, y - z / 2, 1.5, 1.0)).alias("o")).select("pos", "o.*")
+    return _rounded(o.withColumn("collide", F.col("inter") > 1e-9), "inter", "share_a", "share_b", "iou")
+
+
+@query(f"SELECT pos, round(abs(x * (y + 3) - z * y) / 2, 6) AS area FROM {PTS}")
+def ring_area(spark: SparkSession, d: str) -> DataFrame:
+    """The triangle of the origin, (x, y) and (z, y + 3)"""
+    xs, ys = F.array(F.lit(0.0), "x", "z"), F.array(F.lit(0.0), F.col("y"), F.col("y") + 3)
+    return points(spark, d).select("pos", rounded(polygon.shoelace(xs, ys)).alias("area"))
+
+
+@query(f"""WITH h AS (SELECT pos, x, y, (z * 3 + (1 - z)) / nullif(x * 3 - y * (1 - z), 0) AS s, (z * y + x) / nullif(x * 3 - y * (1 - z), 0) AS t FROM {PTS})
+SELECT pos, CASE WHEN s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1 THEN round(s * x, 6) + 0.0::DOUBLE END AS mx, CASE WHEN s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1 THEN round(s * y, 6) + 0.0::DOUBLE END AS my FROM h""")
+def segments_meet(spark: SparkSession, d: str) -> DataFrame:
+    """From the origin to (x, y), and from (z, -1) to (1, 2)"""
+    v = [F.lit(float(i)) for i in (0, 0, -1, 1, 2)]
+    mx, my = polygon.meeting((v[0], v[1]), (F.col("x"), F.col("y")), (F.col("z"), v[2]), (v[3], v[4]))
+    return points(spark, d).select("pos", rounded(mx).alias("mx"), rounded(my).alias("my"))
+
+
+@query("""WITH b AS (SELECT event_id, user_id, value, event_type, 'GPGGA,' || lpad((event_id % 24)::VARCHAR, 2, '0') || '2725.50,' || (3900 + event_id % 60)::VARCHAR || '.5,N,' || (11600 + user_id % 60)::VARCHAR || '.25,'
+|| CASE WHEN event_type = 'view' THEN 'W' ELSE 'E' END || ',1,' || user_id::VARCHAR || ',1.0,' || value::VARCHAR || ',M,55.2,M,,' AS body FROM events WHERE event_id % 7 <> 0),
+c AS (SELECT *, list_reduce([ascii(body[i]) FOR i IN range(1, length(body) + 1)], lambda a, c: xor(a, c)) AS x FROM b)
+SELECT event_id, x::INTEGER AS checksum, x = event_id % 128 AS valid, (event_id % 24) * 3600 + 1645.5::DOUBLE AS time_of_day, round(39 + (event_id % 60 + 0.5::DOUBLE) / 60, 6) AS latitude,
+round((116 + (user_id % 60 + 0.25::DOUBLE) / 60) * CASE WHEN event_type = 'view' THEN -1 ELSE 1 END, 6) AS longitude, user_id::INTEGER AS satellites, value AS altitude FROM c""")
+def nmea_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A buffer for each event: noise, its sentence, and the cut-off head of another; those of every seventh event are cut off"""
+    e, n = sensor(spark, d), F.col("event_id")
+    side = F.when(F.col("event_type") == "view", "W").otherwise("E")
+    hour, north, east = F.lpad((n % 24).cast("string"), 2, "0"), (3900 + n % 60).cast("string"), (11600 + F.col("user_id") % 60).cast("string")
+    body = F.concat(
+        F.lit("GPGGA,"), hour, F.lit("2725.50,"), north, F.lit(".5,N,"), east, F.lit(".25,"), side, F.lit(",1,"), F.col("user_id").cast("string"),
+        F.lit(",1.0,"), F.col("value").cast("string"), F.lit(",M,55.2,M,,"),
+    )
+    tail = F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("*"), F.lpad(F.hex(n % 128), 2, "0")))
+    s = e.select(n, F.explode(nmea.sentences(F.concat(F.lit("~x1"), F.lit("$"), body, tail, F.lit("\r\n$GPGGA,09")))).alias("s"))
+    out = s.select(n, nmea.checksum(F.col("s")).alias("checksum"), nmea.valid(F.col("s")).alias("valid"), *nmea.gga(F.col("s")))
+    return _rounded(out.select("event_id", "checksum", "valid", "time_of_day", "latitude", "longitude", "satellites", "altitude"), "latitude", "longitude")
