@@ -679,7 +679,12 @@ def hmm(spark: SparkSession, d: str) -> DataFrame:
     return r.select("user_id", "event_id", "state")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 / 3600 AS t, value AS x, CASE WHEN event_type = 'purchase' THEN 0.5::DOUBLE ELSE 1 END AS r,
+row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6 / 3600, event_id) AS i FROM events), g AS (SELECT *, coalesce(greatest(t - lag(t) OVER (PARTITION BY user_id ORDER BY i), 0), 0) AS dt FROM e),
+f AS (SELECT user_id, event_id, i, x AS s, 0::DOUBLE AS v, 10::DOUBLE AS a, 0::DOUBLE AS b, 10::DOUBLE AS c FROM g WHERE i = 1
+UNION ALL SELECT user_id, event_id, i, m + a / (a + r) * (x - m), v + b / (a + r) * (x - m), a - a / (a + r) * a, b - a / (a + r) * b, c - b / (a + r) * b FROM (
+SELECT g.user_id, g.event_id, g.i, g.x, g.r, f.v, f.s + f.v * dt AS m, f.a + 2 * dt * f.b + dt * dt * f.c + 0.1 AS a, f.b + dt * f.c AS b, f.c + 0.1 AS c FROM f JOIN g ON g.user_id = f.user_id AND g.i = f.i + 1))
+SELECT user_id, event_id, round(s, 4) + 0.0::DOUBLE AS fx, round(v, 4) + 0.0::DOUBLE AS vx FROM f""")
 def kalman(spark: SparkSession, d: str) -> DataFrame:
     """G27, U11"""
     e = sensor(spark, d).select("user_id", "event_id", (F.col("t") / 3600).alias("t"), F.col("value").alias("x"), (F.col("value") / 2).alias("y"), F.col("event_type").alias("status"))
