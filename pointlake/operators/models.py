@@ -59,6 +59,14 @@ def gmm(df: DataFrame, cols: list[str], start: np.ndarray, rounds: int = 20, flo
     return weight, means, var
 
 
+def mixture(cols: list[str], weight: np.ndarray, means: np.ndarray, var: np.ndarray) -> Column:
+    """Log density under all components, by their weights."""
+    logs = [gaussian(cols, m, v) + float(np.log(max(w, 1e-300))) for w, m, v in zip(weight, means, var)]
+    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
+    exps = [F.exp(g - top) for g in logs]
+    return top + F.log(sum(exps[1:], exps[0]))
+
+
 def viterbi(obs: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[list[int], float]:
     """The likeliest states of a sequence of symbols (log space), and exp(log probability / length)."""
     with np.errstate(divide="ignore"):

@@ -667,11 +667,16 @@ def gmm_density(spark: SparkSession, d: str) -> DataFrame:
     """G16, G17"""
     p = points(spark, d)
     start = np.array([[r[c] for c in "xyz"] for r in p.orderBy("pos").limit(2).collect()])
-    _, mean, var = models.gmm(p, list("xyz"), start, 5)
-    return p.select("pos", rounded(models.gaussian(list("xyz"), mean[0], var[0]), 4).alias("log_density"))
+    weight, mean, var = models.gmm(p, list("xyz"), start, 5)
+    return p.select("pos", rounded(models.mixture(list("xyz"), weight, mean, var), 4).alias("log_density"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ln(CASE WHEN value > 20 THEN 0.3 ELSE 0.7 END) AS e0, ln(CASE WHEN value > 20 THEN 0.8 ELSE 0.2 END) AS e1, row_number() OVER ({OVER}) AS i FROM events),
+f AS (SELECT user_id, event_id, i, ln(0.5) + e0 AS l0, ln(0.5) + e1 AS l1, 0 AS b0, 0 AS b1 FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.event_id, e.i, greatest(l0 + ln(0.8), l1 + ln(0.2)) + e0, greatest(l0 + ln(0.2), l1 + ln(0.8)) + e1, (l1 + ln(0.2) > l0 + ln(0.8))::INT, (l1 + ln(0.8) > l0 + ln(0.2))::INT
+FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1),
+w AS (SELECT user_id, event_id, i, (l1 > l0)::INT AS state, b0, b1 FROM f WHERE (user_id, i) IN (SELECT (user_id, max(i)) FROM f GROUP BY user_id)
+UNION ALL SELECT f.user_id, f.event_id, f.i, CASE WHEN w.state = 1 THEN w.b1 ELSE w.b0 END, f.b0, f.b1 FROM w JOIN f ON f.user_id = w.user_id AND f.i = w.i - 1) SELECT user_id, event_id, state FROM w""")
 def hmm(spark: SparkSession, d: str) -> DataFrame:
     """G18"""
     e = sensor(spark, d).select("user_id", "event_id", "ts", (F.col("value") > 20).cast("int").alias("s"))

@@ -145,3 +145,16 @@ def test_device_clock_in_any_zone(spark):
         assert row["a"] == 86401.5 and row["b"] is None
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_mixture_density(spark):
+    import numpy as np
+
+    from pointlake.operators import models
+
+    weight, mean, var = np.array([0.3, 0.7]), np.array([[0.0, 1.0], [2.0, -1.0]]), np.array([[1.0, 0.5], [2.0, 0.25]])
+    rows = [(0.0, 0.0), (1.5, -1.0), (40.0, 40.0)]
+    got = spark.createDataFrame(rows, "x double, y double").select("x", models.mixture(["x", "y"], weight, mean, var).alias("g")).collect()
+    for (x, y), r in zip(rows, got):
+        logs = [np.log(w) - 0.5 * np.sum((np.array([x, y]) - m) ** 2 / v + np.log(2 * np.pi * v)) for w, m, v in zip(weight, mean, var)]
+        assert abs(r["g"] - np.logaddexp(*logs)) < 1e-9
