@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointlake.llm import chat, decontaminate, digest, langid, licenses, linededup, neardup, pieces, pii, quality
+from pointlake.llm import audit, chat, decontaminate, digest, langid, licenses, linededup, neardup, pieces, pii, quality
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_document_fingerprints": digest.op8_document_fingerprints,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_minhash_near_dedup": neardup.op10_minhash_near_dedup,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 SQL = {
     "op1_benchmark_decontamination": decontaminate.OP1_SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op4_license_scan": licenses.OP4_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
     "op10_minhash_near_dedup": neardup.OP10_SQL,
+    "op13_filter_audit": audit.OP13_SQL,
 }
