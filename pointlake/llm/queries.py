@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointlake.llm import audit, chat, decontaminate, digest, langid, licenses, linededup, neardup, pieces, pii, quality
+from pointlake.llm import audit, chat, decontaminate, digest, langid, licenses, linededup, neardup, pieces, pii, quality, whiten
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_document_fingerprints": digest.op8_document_fingerprints,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_minhash_near_dedup": neardup.op10_minhash_near_dedup,
+    "op11_embedding_whitening": whiten.op11_embedding_whitening,
     "op13_filter_audit": audit.op13_filter_audit,
 }
 SQL = {
