@@ -130,11 +130,12 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
 def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Householder reduction: (diagonal, off-diagonal, Q) with Q' a Q tridiagonal."""
     a, n = a.copy(), len(a)
-    q = np.eye(n)
+    q, nil = np.eye(n), np.finfo(float).eps ** 2 * np.abs(a).max(initial=0)
     for k in range(n - 2):
         x = a[k + 1 :, k]
         norm = np.linalg.norm(x)
-        if norm == 0:
+        if norm <= nil:
+            a[k + 1 :, k] = a[k, k + 1 :] = 0
             continue
         lead = np.copysign(norm, x[0])
         v = x.copy()
