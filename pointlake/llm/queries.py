@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointlake.llm import audit, chat, decontaminate, digest, langid, licenses, linededup, neardup, pieces, pii, quality, whiten
+from pointlake.llm import audit, chat, decontaminate, digest, langid, licenses, linededup, neardup, ngrams, pieces, pii, quality, whiten
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_minhash_near_dedup": neardup.op10_minhash_near_dedup,
     "op11_embedding_whitening": whiten.op11_embedding_whitening,
+    "op12_lm_scoring": ngrams.op12_lm_scoring,
     "op13_filter_audit": audit.op13_filter_audit,
 }
 SQL = {
