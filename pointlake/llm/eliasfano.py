@@ -32,23 +32,30 @@ def packed(values: np.ndarray) -> dict[str, np.ndarray]:
         part = (v[i : i + 8 * 4096, None] >> at).astype(np.uint8) & np.uint8(1)
         low.append(np.packbits(part.ravel(), bitorder="little"))
     return {
-        "head": np.array([n, width, ends, len(bits)], np.int64), "low": np.concatenate([*low, np.zeros(8, np.uint8)]), "high": np.packbits(bits, bitorder="little"),
+        "head": np.array([n, width, ends, len(bits)], np.int64), "low": _words(np.concatenate(low)), "high": np.packbits(bits, bitorder="little"),
         "zeros": np.flatnonzero(bits == 0)[::SAMPLE].astype(np.int64), "ones": np.flatnonzero(bits)[::SAMPLE].astype(np.int64),
     }
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """Bytes as 64-bit words, with one word more at the end."""
+    return np.concatenate([data, np.zeros(8 + -len(data) % 8, np.uint8)]).view("<u8")
+
+
 class Monotone:
     """Reads a packed sequence; keys and ranks are given in ascending order."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.n, self.width, self.ends, self.bits = (int(x) for x in parts["head"])
         self.low, self.high, self.zeros, self.ones = (parts[k] for k in ("low", "high", "zeros", "ones"))
-        self.window = np.lib.stride_tricks.sliding_window_view(self.low, 8)
+        self.mask = U((1 << self.width) - 1)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i * self.width
-        word = self.window[at >> 3].view("<u8")[:, 0]
-        return (word >> (at & 7).astype(np.uint64)) & U((1 << self.width) - 1)
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        out = self.low[word] >> shift
+        out |= (self.low[word + 1] << U(1)) << (U(63) - shift)
+        return out & self.mask
 
     def _places(self, first: int, last: int, bit: int) -> tuple[np.ndarray, int]:
         """(places of the zeros or ones with ranks from `start` up to at least `last`, start)."""
@@ -89,7 +96,7 @@ class Monotone:
             if not self.width:
                 out[i : i + m] = np.where(low < end, low, -1)
                 continue
-            target, high = k & U((1 << self.width) - 1), end.copy()
+            target, high = k & self.mask, end.copy()
             active = np.flatnonzero(low < high)
             while len(active):
                 mid = (low[active] + high[active]) >> 1

@@ -31,6 +31,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +41,7 @@ from pointlake.llm.common import bounded, sliced, table, written
 from pointlake.llm.eliasfano import Levels
 from pointlake.llm.wordhash import U, mix, words
 
-SHARD_BYTES, BLOCK, DISCOUNT, STEPS = 12 << 20, 1 << 21, 0.75, 4096
+SHARD_BYTES, BLOCK, DISCOUNT, STEPS = 12 << 20, 1 << 22, 0.75, 4096
 #: Marks in place of words before a text's first and after its last; no word's hash but by chance.
 START, END = U(0x5374617274), U(0x456E64)
 _G = U(0x9E3779B97F4A7C15)
@@ -52,12 +53,16 @@ _ROW = "shard int, kind int, block long, docs binary, data binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed string; whole numbers in the fewest bytes that hold them."""
+    """Arrays as one compressed string: whole numbers in the fewest bytes that hold them, uint64 (ascending hashes) as differences,
+    all of them byte by byte, so that bytes of one weight stand together."""
     out = [struct.pack("<i", len(arrays))]
     for a in arrays:
         if a.dtype.kind in "iu" and a.dtype.itemsize > 1 and a.dtype != np.uint64:
             a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-        out.append(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)) + a.tobytes())
+        elif a.dtype == np.uint64:
+            a = np.diff(a, prepend=U(0))
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if a.dtype.kind in "iu" else np.ascontiguousarray(a)
+        out.append(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)) + planes.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -66,9 +71,11 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     at, out = 4, []
     for _ in range(struct.unpack_from("<i", raw)[0]):
         kind, n = struct.unpack_from("<2sq", raw, at)
-        a = np.frombuffer(raw, f"<{kind.decode()}", n, at + 10)
-        out.append(a)
-        at += 10 + a.nbytes
+        kind = np.dtype(kind.decode())
+        a = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 10)
+        a = np.ascontiguousarray(a.reshape(kind.itemsize, n).T).view(kind).reshape(n) if kind.kind in "iu" else a.view(kind)
+        out.append(np.cumsum(a, dtype=np.uint64) if kind == np.uint64 else a)
+        at += 10 + n * kind.itemsize
     return out
 
 
@@ -76,7 +83,8 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 
 class Block:
-    """Tokens of some rows: for each its own hash w, those of the two before it (a, b), and its row."""
+    """Tokens of some rows: their hashes with marks between rows (sequence), the tokens' places there (at) and rows; after index() the ascending
+    distinct hashes, and for each token its place among them (w) and those of the two before it (a, b)."""
 
     def __init__(self, keys: list[pa.Array], learn: list[np.ndarray], rows: list[tuple[np.ndarray, np.ndarray]]):
         self.keys, self.learn = pa.concat_arrays(keys), np.concatenate(learn)
@@ -90,9 +98,19 @@ class Block:
         seq[inner] = np.concatenate([h for h, _ in rows])
         inner[first + lengths + 2] = True
         at = np.flatnonzero(inner)
-        self.a, self.b, self.w = seq[at - 2], seq[at - 1], seq[at]
+        self.sequence, self.at = seq, at
         self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
 
+    def index(self) -> Block:
+        """With the distinct hashes and the tokens' places among them."""
+        code, found = pd.factorize(self.sequence)
+        order = np.argsort(found)
+        place = np.empty(len(found), np.int32)
+        place[order] = np.arange(len(found))
+        self.hashes, of, at = found[order], place[code], self.at
+        self.a, self.b, self.w = of[at - 2], of[at - 1], of[at]
+        return self
+
 
 def blocks(batches):
     """Blocks of about BLOCK tokens from record batches (key, text, learn); a longer row is a block of its own."""
@@ -147,19 +165,20 @@ class Layout:
         i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
         return np.where(keys[i] == x, i, -1)
 
-    def deal(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def deal(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard, hot word, hot pair: its place or -1) of every token."""
-        shard = mix(b + U(7)) % U(self.shards)
-        hot, pair = self.rank(self.words, b), np.full(len(b), -1, np.int64)
+        u, n = block.hashes, U(self.shards)
+        shard = (mix(u + U(7)) % n).astype(np.int32)[block.b]
+        hot, pair = self.rank(self.words, u).astype(np.int32)[block.b], np.full(len(shard), -1, np.int32)
         at = np.flatnonzero(hot >= 0)
         if len(at):
-            way = mix(a[at] + U(3)) % self.ways[hot[at]]
-            shard[at] = mix(b[at] + way * _G) % U(self.shards)
-            pair[at] = self.rank(self.pairs, _pair(a[at], b[at]))
+            a, b = u[block.a[at]], u[block.b[at]]
+            shard[at] = mix(b + mix(a + U(3)) % self.ways[hot[at]] * _G) % n
+            pair[at] = self.rank(self.pairs, _pair(a, b))
             of = at[pair[at] >= 0]
-            way = mix((of >> 6).astype(np.uint64) + a[of]) % self.pair_ways[pair[of]]
-            shard[of] = mix(self.pairs[pair[of]] + way * _G) % U(self.shards)
-        return shard.astype(np.int64), hot, pair
+            way = mix((of >> 6).astype(np.uint64) + u[block.a[of]]) % self.pair_ways[pair[of]]
+            shard[of] = mix(self.pairs[pair[of]] + way * _G) % n
+        return shard, hot, pair
 
 
 def _layout(rows: DataFrame, shard_bytes: int) -> Layout:
@@ -172,14 +191,17 @@ def _layout(rows: DataFrame, shard_bytes: int) -> Layout:
 
     def run(batches):
         for block in blocks(batches):
-            low = max(2, int(share * len(block.b)))
-            w, n = np.unique(block.b, return_counts=True)
+            before = block.sequence[block.at - 1]
+            low = max(2, int(share * len(before)))
+            w, n = np.unique(before, return_counts=True)
             w, n = w[n >= low], n[n >= low]
-            at = np.flatnonzero(Layout.rank(w, block.b) >= 0)
-            _, first, m = np.unique(_pair(block.a[at], block.b[at]), return_index=True, return_counts=True)
-            first, m = at[first[m >= low]], m[m >= low]
+            of = Layout.rank(w, before)
+            at = np.flatnonzero(of >= 0)
+            pair, first, m = np.unique(_pair(block.sequence[block.at[at] - 2], before[at]), return_index=True, return_counts=True)
+            at = at[first[m >= low]]
+            a, b, m = block.sequence[block.at[at] - 2], before[at], m[m >= low]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(len(w), np.int32), np.ones(len(m), np.int32)])), *[pa.array(np.concatenate(x).view(np.int64)) for x in ((w * U(0), block.a[first]), (w, block.b[first]))], pa.array(np.concatenate([n, m]))],
+                [pa.array(np.concatenate([np.zeros(len(w), np.int32), np.ones(len(m), np.int32)])), *[pa.array(np.concatenate(x).view(np.int64)) for x in ((w * U(0), a), (w, b))], pa.array(np.concatenate([n, m]))],
                 names=["kind", "a", "b", "n"],
             )
 
@@ -202,14 +224,14 @@ def _counts(rows: DataFrame, layout: Layout) -> DataFrame:
         to = held.value
         for block in blocks(batches):
             out = []
-            shard, hot, pair = to.deal(block.a, block.b)
+            shard, hot, pair = to.deal(block.index())
             train = block.learn[block.row]
-            u, of = np.unique(block.w, return_inverse=True)
+            u, of = block.hashes, block.w
             n = np.bincount(of, train, len(u)).astype(np.int64)
-            wants = [of[pair < 0] * to.shards + shard[pair < 0]]
-            for j, s in enumerate(to.pair_shards):  # tokens after a hot pair may go to any of its shards
-                wants.append((np.unique(of[pair == j])[:, None] * to.shards + s).ravel())
-            want = np.unique(np.concatenate(wants))
+            wants = [_distinct(of[pair < 0].astype(np.int64) * to.shards + shard[pair < 0], len(u) * to.shards)]
+            for j in np.unique(pair[pair >= 0]):  # tokens after a hot pair may go to any of its shards
+                wants.append((np.unique(of[pair == j]).astype(np.int64)[:, None] * to.shards + to.pair_shards[j]).ravel())
+            want = np.unique(np.concatenate(wants)) if len(wants) > 1 else wants[0]
             word = want // to.shards
             part = (mix(u + U(11)) % U(to.shards)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -223,7 +245,7 @@ def _counts(rows: DataFrame, layout: Layout) -> DataFrame:
             for kind, chosen in ((_PAIRS, hot), (_TRIPLES, pair)):
                 at = np.flatnonzero((chosen >= 0) & train)
                 if len(at):
-                    key = chosen[at] * len(u) + of[at]
+                    key = chosen[at].astype(np.int64) * len(u) + of[at]
                     key, m = np.unique(key, return_counts=True)
                     w = u[key % len(u)]
                     p = (mix(w + U(13)) % U(to.shards)).astype(np.int64)
@@ -266,6 +288,15 @@ def _counts(rows: DataFrame, layout: Layout) -> DataFrame:
     return found.groupBy("part").applyInArrow(merge, "shard int, kind int, data binary, distinct long, total long")
 
 
+def _distinct(keys: np.ndarray, top: int) -> np.ndarray:
+    """Distinct ascending keys below top: by marks where these take no more room than the keys, else by sorting."""
+    if top > 8 * len(keys):
+        return np.unique(keys)
+    seen = np.zeros(top, bool)
+    seen[keys] = True
+    return np.flatnonzero(seen)
+
+
 def _runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
     return list(zip(edge.tolist(), [*edge[1:].tolist(), len(sorted_keys)]))
@@ -284,16 +315,18 @@ def _tokens(rows: DataFrame, layout: Layout) -> DataFrame:
         to, number = held.value, TaskContext.get().partitionId() << 32
         for block in blocks(batches):
             number += 1
-            shard, _, _ = to.deal(block.a, block.b)
-            order = np.argsort(shard.astype(np.int32), kind="stable")
+            shard, _, _ = to.deal(block.index())
+            order = np.argsort(shard.astype(np.min_scalar_type(to.shards)), kind="stable")
             keys = block.keys.to_numpy(zero_copy_only=False) if not block.keys.null_count else None
             ids = [np.array([k is None for k in block.keys.to_pylist()], bool), np.array(block.keys.fill_null(0).to_numpy(), np.int64) if keys is None else keys]
             header = _pack(ids[0], np.diff(ids[1].astype(np.int64), prepend=0).view(np.uint64))
-            first = True
+            first, place_of = True, np.zeros(len(block.hashes), np.int32)
             for lo, hi in _runs(shard[order]):
                 at = order[lo:hi]
-                u, of = np.unique(np.concatenate([block.a[at], block.b[at], block.w[at]]), return_inverse=True)
-                data = _pack(u, *[x.astype(np.int64) for x in np.split(of, 3)], block.row[at], block.learn, np.array([len(block.learn)]))
+                places = [x[at] for x in (block.a, block.b, block.w)]
+                own = _distinct(np.concatenate(places), len(block.hashes))
+                place_of[own] = np.arange(len(own))
+                data = _pack(block.hashes[own], *[place_of[x] for x in places], np.diff(block.row[at], prepend=0), block.learn, np.array([len(block.learn)]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(shard[at[0]])], pa.int32()), pa.array([_TOKENS], pa.int32()), pa.array([number]), pa.array([header if first else None], pa.binary()), pa.array([data], pa.binary())],
                     names=["shard", "kind", "block", "docs", "data"],
@@ -362,12 +395,21 @@ class Trie:
     def score(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, p1: np.ndarray) -> np.ndarray:
         """log10 probability of each token w after a, b, ids ascending by b, a, w (-1 first); p1: log10 of its own."""
         v, ls = max(self.v, 1), self.levels
-        find = lambda name, keys, ok: _where(ok, lambda: ls.sequence(name).find(keys[ok]), len(keys))
-        r = find("roots", b, b >= 0)
-        known = r >= 0
-        ctx = find("ctx", r * v + a, known & (a >= 0))
+
+        def each(fn, keys: np.ndarray) -> np.ndarray:
+            """fn of every distinct one of the ascending keys, given to all that have it; -1 for keys below 0."""
+            edge = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+            of, known = keys[edge], keys[edge] >= 0
+            out = np.full(len(of), -1, np.int64)
+            out[known] = fn(of[known])
+            return np.repeat(out, np.diff(edge, append=len(keys)))
+
+        r = each(ls.sequence("roots").find, b)
+        ctx = np.full(len(w), -1, np.int64)
+        ok = np.flatnonzero((r >= 0) & (a >= 0))
+        ctx[ok] = each(ls.sequence("ctx").find, r[ok] * v + a[ok])
         succ = np.full(len(w), -1, np.int64)
-        ok = np.flatnonzero(known & (w >= 0))
+        ok = np.flatnonzero((r >= 0) & (w >= 0))
         if len(ok):
             key, of = np.unique(r[ok] * v + w[ok], return_inverse=True)
             succ[ok] = ls.sequence("succ").find(key)[of]
@@ -375,7 +417,7 @@ class Trie:
         ok = np.flatnonzero((ctx >= 0) & (succ >= 0))
         if len(ok):
             ro = r[ok]
-            at = lambda name, shift=0: ls.sequence(name).get(ro + shift).astype(np.int64)
+            at = lambda name, shift=0: each(lambda k: ls.sequence(name).get(k + shift).astype(np.int64), ro)
             s0 = at("succ_at")
             third[ok] = ls.sequence("third").find(at("base") + (ctx[ok] - at("ctx_at")) * (at("succ_at", 1) - s0) + succ[ok] - s0)
         level = lambda name, i: np.where(i >= 0, ls.plain(name)[np.maximum(i, 0)] if len(ls.plain(name)) else 0, 0) / -STEPS
@@ -383,13 +425,6 @@ class Trie:
         return np.where(third >= 0, level("p3", third), low + level("cback", ctx))
 
 
-def _where(ok: np.ndarray, fn, n: int) -> np.ndarray:
-    out = np.full(n, -1, np.int64)
-    if ok.any():
-        out[ok] = fn()
-    return out
-
-
 def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[tuple]:
     """(block, docs, sums) for each block of the shard."""
     got = {k: [] for k in range(4)}
@@ -407,13 +442,19 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
     place = np.cumsum([len(given[0]), *[len(d[0]) for d in local]])
     ids = [of[i:j] for i, j in zip(place[:-1], place[1:])]
     a, b, w = (np.concatenate([x[d[k]] for x, d in zip(ids, local)]) for k in (1, 2, 3))
-    train = np.concatenate([d[5][d[4]] for d in local])
+    rows_of = [np.cumsum(d[4], dtype=np.int64) for d in local]
+    train = np.concatenate([d[5][r] for d, r in zip(local, rows_of)])
     # every distinct triple once, ascending by b, a, w
-    context, at = np.unique(b * v + a, return_inverse=True)
-    key, at = np.unique(at * v + w, return_inverse=True)
+    if v < 1 << 21:
+        key, at = np.unique((b * v + a) * v + w, return_inverse=True)
+        c, tw = np.divmod(key, v)
+        tb, ta = np.divmod(c, v)
+    else:  # three places don't fit a long
+        context, c = np.unique(b * v + a, return_inverse=True)
+        key, at = np.unique(c * v + w, return_inverse=True)
+        c, tw = np.divmod(key, v)
+        tb, ta = np.divmod(context[c], v)
     n = np.bincount(at, train, len(key)).astype(np.int64)
-    c = key // v
-    tw, tb, ta = key % v, context[c] // v, context[c] % v
     # n-grams that other shards share in are counted elsewhere
     find = lambda h: np.searchsorted(hashes, h)
     hot_pair = Layout.rank(layout.pairs, _pair(hashes[ta], hashes[tb])) if len(layout.pairs) else np.full(len(key), -1)
@@ -422,19 +463,22 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
     for _, _, (j, tail, m) in got[_TRIPLES]:
         first, last = layout.pair_words[int(j[0])]
         triples = [np.append(x, y) for x, y in zip(triples, (np.full(len(tail), find(U(first))), np.full(len(tail), find(U(last))), find(tail), m))]
-    triples = _ascending(triples, (1, 0, 2))
+    if got[_TRIPLES]:
+        triples = _ascending(triples, (1, 0, 2))
     hot = Layout.rank(layout.words, hashes) >= 0
     own = ~hot[triples[1]]
     bw, bn = _sums(*_sorted_by(triples[1][own] * v + triples[2][own], triples[3][own]))
     pairs = [bw // v, bw % v, bn]
     for _, _, (j, tail, m) in got[_PAIRS]:
         pairs = [np.append(x, y) for x, y in zip(pairs, (np.full(len(tail), find(layout.words[int(j[0])])), find(tail), m))]
-    trie = Trie(hashes, counts, _ascending(pairs, (0, 1)), triples, tokens, distinct)
+    if got[_PAIRS]:
+        pairs = _ascending(pairs, (0, 1))
+    trie = Trie(hashes, counts, pairs, triples, tokens, distinct)
     p1 = np.log10(trie.counts(np.arange(v)) + 0.5)
     scores = trie.score(ta, tb, tw, p1[tw] - np.log10(trie.mass))
     base, known, out, i = p1, counts > 0, [], 0
     for (block, docs, d), x in zip(got[_TOKENS], ids):
-        row, rows = d[4], int(d[6][0])
+        row, rows = rows_of[len(out)], int(d[6][0])
         own_w = x[d[3]]
         sums = [np.bincount(row, y, rows) for y in (scores[at[i : i + len(row)]], base[own_w])]
         out.append((block, docs, _pack(*sums, np.bincount(row, known[own_w], rows).astype(np.int64), np.bincount(row, minlength=rows))))
