@@ -41,7 +41,7 @@ from pointlake.llm.common import bounded, sliced, table, written
 from pointlake.llm.eliasfano import Levels
 from pointlake.llm.wordhash import U, mix, words
 
-SHARD_BYTES, BLOCK, DISCOUNT, STEPS = 12 << 20, 1 << 22, 0.75, 4096
+SHARD_BYTES, BLOCK, DISCOUNT, STEPS = 8 << 20, 1 << 22, 0.75, 4096
 #: Marks in place of words before a text's first and after its last; no word's hash but by chance.
 START, END = U(0x5374617274), U(0x456E64)
 _G = U(0x9E3779B97F4A7C15)
@@ -107,8 +107,9 @@ class Block:
         order = np.argsort(found)
         place = np.empty(len(found), np.int32)
         place[order] = np.arange(len(found))
-        self.hashes, of, at = found[order], place[code], self.at
-        self.a, self.b, self.w = of[at - 2], of[at - 1], of[at]
+        of, at = place[code], self.at
+        del code, self.sequence, self.at
+        self.hashes, self.a, self.b, self.w = found[order], of[at - 2], of[at - 1], of[at]
         return self
 
 
@@ -123,8 +124,10 @@ def blocks(batches):
             rows.append((h, np.diff(at)))
             size += len(h) + part.num_rows
             if size >= BLOCK:
-                yield Block(keys, learn, rows)
+                block = Block(keys, learn, rows)
                 keys, learn, rows, size = [], [], [], 0
+                yield block
+                del block
     if keys:
         yield Block(keys, learn, rows)
 
@@ -169,6 +172,8 @@ class Layout:
         """(shard, hot word, hot pair: its place or -1) of every token."""
         u, n = block.hashes, U(self.shards)
         shard = (mix(u + U(7)) % n).astype(np.int32)[block.b]
+        if not len(self.words):
+            return shard, *[np.broadcast_to(np.int32(-1), len(shard))] * 2
         hot, pair = self.rank(self.words, u).astype(np.int32)[block.b], np.full(len(shard), -1, np.int32)
         at = np.flatnonzero(hot >= 0)
         if len(at):
@@ -439,6 +444,7 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
     v = len(hashes)
     counts = np.zeros(v, np.int64)
     counts[of[: len(given[0])]] = given[1].astype(np.int64)
+    of = of.astype(np.int32)
     place = np.cumsum([len(given[0]), *[len(d[0]) for d in local]])
     ids = [of[i:j] for i, j in zip(place[:-1], place[1:])]
     a, b, w = (np.concatenate([x[d[k]] for x, d in zip(ids, local)]) for k in (1, 2, 3))
@@ -446,19 +452,23 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
     train = np.concatenate([d[5][r] for d, r in zip(local, rows_of)])
     # every distinct triple once, ascending by b, a, w
     if v < 1 << 21:
-        key, at = np.unique((b * v + a) * v + w, return_inverse=True)
+        key, at = np.unique((b.astype(np.int64) * v + a) * v + w, return_inverse=True)
         c, tw = np.divmod(key, v)
         tb, ta = np.divmod(c, v)
     else:  # three places don't fit a long
-        context, c = np.unique(b * v + a, return_inverse=True)
+        context, c = np.unique(b.astype(np.int64) * v + a, return_inverse=True)
         key, at = np.unique(c * v + w, return_inverse=True)
         c, tw = np.divmod(key, v)
         tb, ta = np.divmod(context[c], v)
+    at = at.astype(np.int32)
+    del a, b, w, c
     n = np.bincount(at, train, len(key)).astype(np.int64)
+    del key
     # n-grams that other shards share in are counted elsewhere
     find = lambda h: np.searchsorted(hashes, h)
-    hot_pair = Layout.rank(layout.pairs, _pair(hashes[ta], hashes[tb])) if len(layout.pairs) else np.full(len(key), -1)
-    mine = (n > 0) & (hot_pair < 0)
+    mine = n > 0
+    if len(layout.pairs):
+        mine &= Layout.rank(layout.pairs, _pair(hashes[ta], hashes[tb])) < 0
     triples = [x[mine] for x in (ta, tb, tw, n)]
     for _, _, (j, tail, m) in got[_TRIPLES]:
         first, last = layout.pair_words[int(j[0])]
@@ -474,8 +484,10 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
     if got[_PAIRS]:
         pairs = _ascending(pairs, (0, 1))
     trie = Trie(hashes, counts, pairs, triples, tokens, distinct)
+    del pairs, triples, mine, own
     p1 = np.log10(trie.counts(np.arange(v)) + 0.5)
     scores = trie.score(ta, tb, tw, p1[tw] - np.log10(trie.mass))
+    del ta, tb, tw
     base, known, out, i = p1, counts > 0, [], 0
     for (block, docs, d), x in zip(got[_TOKENS], ids):
         row, rows = rows_of[len(out)], int(d[6][0])
