@@ -17,13 +17,14 @@ are hot. A hot word's contexts are spread over several shards by their first wor
 a task; what these shards can't count themselves (pairs of a hot word, triples of a hot pair) comes from step 2, which is
 aggregated in every task before it is dealt out. (2) word counts over all training rows, dealt by hash; each word's count goes to the shards that
 need it. (3) All tokens, packed by block and shard, meet that in their shard: it counts the training n-grams, builds its trie,
-and scores all tokens. Sums come back by block and row. Shards, blocks and hash ranges have bounded sizes, by the bytes of all text; a row of
+and scores all tokens. Sums come back by block and row, in whole numbers, so
+they don't depend on the order of tasks. Shards, blocks and hash ranges have bounded sizes, by the bytes of all text; a row of
 any length is one block, read as a whole. Broadcast are only the hot words and pairs, fewer than 8 for each shard.
 
 Null text is empty: one end token. Rows without a doc_id are scored but not learned from in op12. Rows of one doc_id are scored one by
 one. Without training rows V and N are 0 and every token has probability 1. Empty tables give no rows. Only the key, the text
 and the columns in `learn` are read, so others may have any name. Quantising (1/4096 of a decimal digit) moves a score by at most
-0.0004 a token; base scores are exact. Two words with one hash would be one word (about 1e-6 likely among ten million words).
+0.0004 a token; base scores are exact but for 1e-9 a token. Two words with one hash would be one word (about 1e-6 likely among ten million words).
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ from pointlake.llm.common import bounded, sliced, table, written
 from pointlake.llm.eliasfano import Levels
 from pointlake.llm.wordhash import U, mix, words
 
-SHARD_BYTES, BLOCK, DISCOUNT, STEPS = 8 << 20, 1 << 22, 0.75, 4096
+SHARD_BYTES, BLOCK, DISCOUNT, STEPS = 12 << 20, 1 << 22, 0.75, 4096
+#: Base scores are summed in whole numbers of this part of a decimal digit.
+FINE = 1 << 30
 #: Marks in place of words before a text's first and after its last; no word's hash but by chance.
 START, END = U(0x5374617274), U(0x456E64)
 _G = U(0x9E3779B97F4A7C15)
@@ -58,7 +61,8 @@ def _pack(*arrays: np.ndarray) -> bytes:
     out = [struct.pack("<i", len(arrays))]
     for a in arrays:
         if a.dtype.kind in "iu" and a.dtype.itemsize > 1 and a.dtype != np.uint64:
-            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+            top = int(a.max()) if len(a) else 0
+            a = a.astype(np.min_scalar_type(top) if top < 1 << 32 else np.int64)
         elif a.dtype == np.uint64:
             a = np.diff(a, prepend=U(0))
         planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if a.dtype.kind in "iu" else np.ascontiguousarray(a)
@@ -311,7 +315,8 @@ def _runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _tokens(rows: DataFrame, layout: Layout) -> DataFrame:
-    """All tokens, a row for each block and shard: distinct hashes, places of a, b and w among them, and the row of each token."""
+    """All tokens, a row for each block and shard: distinct hashes, places of a, b and w among them, the row of each token (as the
+    difference to the one before), and whether the model learns from each of these rows."""
     held = rows.sparkSession.sparkContext.broadcast(layout)
 
     def run(batches):
@@ -331,7 +336,8 @@ def _tokens(rows: DataFrame, layout: Layout) -> DataFrame:
                 places = [x[at] for x in (block.a, block.b, block.w)]
                 own = _distinct(np.concatenate(places), len(block.hashes))
                 place_of[own] = np.arange(len(own))
-                data = _pack(block.hashes[own], *[place_of[x] for x in places], np.diff(block.row[at], prepend=0), block.learn, np.array([len(block.learn)]))
+                row = block.row[at]
+                data = _pack(block.hashes[own], *[place_of[x] for x in places], np.diff(row, prepend=0), block.learn[row[np.flatnonzero(np.diff(row, prepend=-1))]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(shard[at[0]])], pa.int32()), pa.array([_TOKENS], pa.int32()), pa.array([number]), pa.array([header if first else None], pa.binary()), pa.array([data], pa.binary())],
                     names=["shard", "kind", "block", "docs", "data"],
@@ -398,7 +404,7 @@ class Trie:
         return out
 
     def score(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        """log10 probability of each token w after a, b, ids ascending by b, a, w (-1 first); p1: log10 of its own."""
+        """-log10 probability, in STEPS, of each token w after a, b, ids ascending by b, a, w (-1 first); p1: that of w alone."""
         v, ls = max(self.v, 1), self.levels
 
         def each(fn, keys: np.ndarray) -> np.ndarray:
@@ -425,7 +431,7 @@ class Trie:
             at = lambda name, shift=0: each(lambda k: ls.sequence(name).get(k + shift).astype(np.int64), ro)
             s0 = at("succ_at")
             third[ok] = ls.sequence("third").find(at("base") + (ctx[ok] - at("ctx_at")) * (at("succ_at", 1) - s0) + succ[ok] - s0)
-        level = lambda name, i: np.where(i >= 0, ls.plain(name)[np.maximum(i, 0)] if len(ls.plain(name)) else 0, 0) / -STEPS
+        level = lambda name, i: np.where(i >= 0, ls.plain(name)[np.maximum(i, 0)] if len(ls.plain(name)) else 0, 0).astype(np.int64)
         low = np.where(succ >= 0, level("p2", succ), p1 + level("back", r))
         return np.where(third >= 0, level("p3", third), low + level("cback", ctx))
 
@@ -449,7 +455,7 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
     ids = [of[i:j] for i, j in zip(place[:-1], place[1:])]
     a, b, w = (np.concatenate([x[d[k]] for x, d in zip(ids, local)]) for k in (1, 2, 3))
     rows_of = [np.cumsum(d[4], dtype=np.int64) for d in local]
-    train = np.concatenate([d[5][r] for d, r in zip(local, rows_of)])
+    train = np.concatenate([d[5][np.cumsum(d[4] > 0) - (d[4][0] > 0)] for d in local])
     # every distinct triple once, ascending by b, a, w
     if v < 1 << 21:
         key, at = np.unique((b.astype(np.int64) * v + a) * v + w, return_inverse=True)
@@ -485,15 +491,16 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
         pairs = _ascending(pairs, (0, 1))
     trie = Trie(hashes, counts, pairs, triples, tokens, distinct)
     del pairs, triples, mine, own
-    p1 = np.log10(trie.counts(np.arange(v)) + 0.5)
-    scores = trie.score(ta, tb, tw, p1[tw] - np.log10(trie.mass))
+    counts = trie.counts(np.arange(v))
+    p1 = np.rint((np.log10(trie.mass) - np.log10(counts + 0.5)) * STEPS).astype(np.int64)
+    costs = trie.score(ta, tb, tw, p1[tw])
     del ta, tb, tw
-    base, known, out, i = p1, counts > 0, [], 0
-    for (block, docs, d), x in zip(got[_TOKENS], ids):
-        row, rows = rows_of[len(out)], int(d[6][0])
-        own_w = x[d[3]]
-        sums = [np.bincount(row, y, rows) for y in (scores[at[i : i + len(row)]], base[own_w])]
-        out.append((block, docs, _pack(*sums, np.bincount(row, known[own_w], rows).astype(np.int64), np.bincount(row, minlength=rows))))
+    fine, unknown, out, i = np.rint(np.log10(2 * counts + 1) * FINE).astype(np.int64), (counts == 0).astype(np.int64), [], 0
+    for (block, docs, d), x, row in zip(got[_TOKENS], ids, rows_of):
+        edge = np.flatnonzero(np.diff(row, prepend=-1))
+        own = x[d[3]]
+        each = [np.add.reduceat(y, edge) for y in (costs[at[i : i + len(row)]], fine[own], unknown[own])]
+        out.append((block, docs, _pack(np.diff(row[edge], prepend=0), np.diff(edge, append=len(row)), *each)))
         i += len(row)
     return out
 
@@ -517,6 +524,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", shard_bytes: int
     counts = written(_counts(rows, layout))
     of_all = counts.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     distinct, total = of_all["v"] or 0, of_all["n"] or 0
+    norm = float(np.log10(total + 0.5 * (distinct + 1)))
     held = docs.sparkSession.sparkContext.broadcast((layout, total, distinct))
 
     def shard(group: pa.Table) -> pa.Table:
@@ -524,15 +532,16 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", shard_bytes: int
         return pa.table({"block": pa.array([x[0] for x in found], pa.int64()), "docs": pa.array([x[1] for x in found], pa.binary()), "data": pa.array([x[2] for x in found], pa.binary())})
 
     def combine(group: pa.Table) -> pa.Table:
-        sums = None
-        for data in group["data"]:
-            parts = _unpack(data.as_py())
-            sums = [np.array(x, float) for x in parts] if sums is None else [x + y for x, y in zip(sums, parts)]
         nil, step = _unpack(next(x for x in group["docs"].to_pylist() if x is not None))
-        ids = np.cumsum(step.view(np.int64))
-        n = sums[3].astype(np.int64)
-        norm = n * np.log10(total + 0.5 * (distinct + 1))
-        return pa.table({"key": pa.array(ids, pa.int64(), mask=nil.astype(bool)), "n_tokens": n, "n_known": sums[2].astype(np.int64), "base_score": sums[1] - norm, "score": sums[0]})
+        sums = np.zeros((4, len(nil)), np.int64)  # tokens, cost, fine, unknown
+        for data in group["data"]:
+            gap, *each = _unpack(data.as_py())
+            row = np.cumsum(gap, dtype=np.int64)
+            for total_of, x in zip(sums, each):
+                total_of[row] += x.astype(np.int64)
+        n, cost, fine, unknown = sums
+        base = fine / FINE - n * (np.log10(2) + norm)
+        return pa.table({"key": pa.array(np.cumsum(step.view(np.int64)), pa.int64(), mask=nil.astype(bool)), "n_tokens": n, "n_known": n - unknown, "base_score": base, "score": cost / -STEPS})
 
     dealt = counts.where("shard IS NOT NULL").select("shard", "kind", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("docs"), "data")
     parts = _tokens(rows, layout).unionByName(dealt).groupBy("shard").applyInArrow(shard, "block long, docs binary, data binary")
