@@ -42,7 +42,7 @@ from pointlake.llm.common import bounded, sliced, table, written
 from pointlake.llm.eliasfano import Levels
 from pointlake.llm.wordhash import U, mix, words
 
-SHARD_BYTES, BLOCK, DISCOUNT, STEPS = 12 << 20, 1 << 22, 0.75, 4096
+SHARD_BYTES, BLOCK, DISCOUNT, STEPS = 16 << 20, 1 << 22, 0.75, 4096
 #: Base scores are summed in whole numbers of this part of a decimal digit.
 FINE = 1 << 30
 #: Marks in place of words before a text's first and after its last; no word's hash but by chance.
