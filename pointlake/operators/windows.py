@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointlake.operators import scan
+
 
 def ordered(key: list[str], order: list[str]):
     return Window.partitionBy(*key).orderBy(*order)
@@ -107,51 +109,32 @@ def carry_forward(df: DataFrame, value: str, key: list[str], order: list[str], s
     return df.groupBy(*key).applyInPandas(run, schema)
 
 
-def _matrix(rows: pd.DataFrame) -> np.ndarray:
-    m = np.tile(np.eye(4), (len(rows), 1, 1))
-    m[:, :3, :] = rows[[f"t{i}{j}" for i in range(3) for j in range(4)]].to_numpy(float).reshape(-1, 3, 4)
-    return m
-
-
-def pose_product(df: DataFrame, key: list[str], order: list[str], schema: str, left: bool = False) -> DataFrame:
-    """Running product of rigid transforms (columns t00..t23); left: new factors on the left.
+POSE = [f"t{i}{j}" for i in range(3) for j in range(4)]
 
-    The product doesn't commute, so a trajectory is one pass; trajectories are independent.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        out, now = [], np.eye(4)
-        for m in _matrix(pdf):
-            now = m @ now if left else now @ m
-            out.append(now[:3].ravel())
-        return pdf.assign(**{f"t{i}{j}": [o[4 * i + j] for o in out] for i in range(3) for j in range(4)})
 
-    return df.groupBy(*key).applyInPandas(run, schema)
+def pose_product(df: DataFrame, key: list[str], order: list[str], left: bool = False, parts: int | None = None) -> DataFrame:
+    """Running product of rigid transforms (columns t00..t23), as a scan over blocks; left: new factors on the left."""
+    return scan.prefix_product(df, key, order, POSE, scan.RIGID, left, parts)
 
 
-def strap_down(df: DataFrame, key: list[str], order: list[str], schema: str, gravity: float = -9.8) -> DataFrame:
+def strap_down(df: DataFrame, key: list[str], order: list[str], gravity: float = -9.8, parts: int | None = None) -> DataFrame:
     """Position, speed and attitude (px, py, pz, vx, vy, vz, qw, qx, qy, qz) after each row's dt, by its acceleration
     (ax, ay, az) and turn rate (gx, gy, gz), from rest. The attitude grows by the small-angle quaternion (1, g dt / 2), which
-    is not normalised, and moves the acceleration of the next row. The product doesn't commute: one pass for each key."""
-    names = ["px", "py", "pz", "vx", "vy", "vz", "qw", "qx", "qy", "qz"]
-    down = np.array([0.0, 0.0, gravity])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        acc, turn, dts = pdf[["ax", "ay", "az"]].to_numpy(float), pdf[["gx", "gy", "gz"]].to_numpy(float), pdf["dt"].to_numpy(float)
-        p, v, w, u = np.zeros(3), np.zeros(3), 1.0, np.zeros(3)
-        out = np.empty((len(pdf), 10))
-        for i, dt in enumerate(dts):
-            t = 2 * np.cross(u, acc[i])
-            a = acc[i] + w * t + np.cross(u, t) + down
-            p, v = p + v * dt + a * dt * dt / 2, v + a * dt
-            h = turn[i] * dt / 2
-            w, u = w - u @ h, u + w * h + np.cross(u, h)
-            out[i] = [*p, *v, w, *u]
-        return pdf.assign(**{n: out[:, j] for j, n in enumerate(names)})
-
-    return df.groupBy(*key).applyInPandas(run, schema + "".join(f", {n} double" for n in names))
+    is not normalised, and moves the acceleration of the next row. Attitudes are a running product (a scan over blocks), speed
+    and position running sums."""
+    dt, q = F.col("dt"), ["qw", "qx", "qy", "qz"]
+    turn = df.withColumns({"qw": F.lit(1.0)} | {f"q{c}": F.col(f"g{c}") * dt / 2 for c in "xyz"})
+    turned = scan.prefix_product(turn, key, order, q, scan.QUATERNION, parts=parts)
+    w = ordered(key, order)
+    held = turned.withColumns({f"_{c}": F.coalesce(F.lag(c).over(w), F.lit(float(c == "qw"))) for c in q})
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    u, acc = [F.col(f"_q{c}") for c in "xyz"], [F.col(f"a{c}") for c in "xyz"]
+    t = [2 * v for v in cross(u, acc)]
+    moved = held.withColumns({f"_a{c}": a + F.col("_qw") * s + k + (gravity if c == "z" else 0.0) for c, a, s, k in zip("xyz", acc, t, cross(u, t))})
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    moved = moved.withColumns({f"v{c}": F.sum(F.col(f"_a{c}") * dt).over(run) for c in "xyz"})
+    moved = moved.withColumns({f"p{c}": F.sum((F.col(f"v{c}") - F.col(f"_a{c}") * dt / 2) * dt).over(run) for c in "xyz"})
+    return moved.select(*df.columns, *[f"{k}{c}" for k in "pv" for c in "xyz"], *q)
 
 
 def relative(df: DataFrame, key: list[str], order: list[str], previous_first: bool = False) -> DataFrame:

@@ -713,8 +713,7 @@ def pose_product(spark: SparkSession, d: str) -> DataFrame:
     t = geometry.from_euler(*[F.col("value") / 100 if i in (0, 5) else F.lit(0.0) for i in range(6)], lib=F)
     names = [f"t{i}{j}" for i in range(3) for j in range(4)]
     e = sensor(spark, d).select("user_id", "event_id", "ts", *[v.alias(n) for v, n in zip(t, names)])
-    schema = "user_id long, event_id long, ts timestamp_ntz, " + ", ".join(f"{n} double" for n in names)
-    r = windows.pose_product(e, KEY, ORDER, schema)
+    r = windows.pose_product(e, KEY, ORDER)
     return r.select("user_id", "event_id", rounded(F.col("t03"), 4).alias("x"), rounded(F.col("t13"), 4).alias("y"))
 
 

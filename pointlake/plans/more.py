@@ -452,7 +452,7 @@ def strap_down(spark: SparkSession, d: str) -> DataFrame:
     """W12"""
     zero = F.lit(0.0)
     e = sensor(spark, d).select("user_id", "event_id", "ts", (F.col("value") / 100).alias("ax"), zero.alias("ay"), F.lit(9.8).alias("az"), zero.alias("gx"), zero.alias("gy"), (F.col("value") / 50).alias("gz"), F.lit(0.1).alias("dt"))
-    r = windows.strap_down(e, KEY, ORDER, "user_id long, event_id long, ts timestamp_ntz, " + ", ".join(f"{n} double" for n in ("ax", "ay", "az", "gx", "gy", "gz", "dt")))
+    r = windows.strap_down(e, KEY, ORDER)
     return _rounded(r.select("user_id", "event_id", "px", "py", "vx", "vy", "qw", "qz"), "px", "py", "vx", "vy", "qw", "qz", digits=4)
 
 

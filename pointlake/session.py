@@ -47,3 +47,18 @@ def scratch(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="pointlake-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/pointlake-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage: the rows as a Parquet table in the scratch folder, read back with the same schema; clean() deletes all of them."""
+    import uuid
+
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the scratch folder of this application, once its results are stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
