@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.functions import descriptor
+from pointlake.operators import instance_map as instances
 from pointlake.operators import lateral
 from pointlake.plans.catalog import query
 from pointlake.session import read, rounded
@@ -54,3 +55,28 @@ def loop_ranked(spark: SparkSession, d: str) -> DataFrame:
     nodes = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("t"), *[(F.col("embedding")[i].cast("double") * 10).alias(c) for i, c in enumerate("xyz")])
     r = lateral.ranked_loops(nodes, clouds(spark, d), descriptor.distance(4, 8), 0.4, 50, rings=4, sectors=8, reach=20.0)
     return r.select("id", "id_r", rounded(F.col("score")).alias("score"), rounded(F.col("shift"), 1).alias("shift"), "fine", "rank")
+
+
+# ---- instances ----
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    """embeddings as frames of a map (label) at t = vec_id seconds, with four boxes each."""
+    at = lambda i: F.col("embedding")[i].cast("double")
+    box = []
+    for k in range(4):
+        x, y, w, h = at(4 * k) * 20, at(4 * k + 1) * 20, F.abs(at(4 * k + 2)) * 8 + 0.2, F.abs(at(4 * k + 3)) * 8 + 0.2
+        box.append(F.struct(F.lit(k).cast("long").alias("id"), F.array(x - w, x + w, x + w, x - w).alias("xs"), F.array(y - h, y - h, y + h, y + h).alias("ys")))
+    return read(spark, d, "embeddings").select(F.col("label").cast("long").alias("map"), F.col("vec_id").cast("double").alias("t"), F.array(*box).alias("outlines"))
+
+
+@query()
+def instance_map(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines matched with the map, then with temporary instances (tests/test_maps.py compares a plain version over whole tables)"""
+    return instances.instance_map(frames(spark, d), "map", instances.Rules(match=1.5, ttl=60.0))
+
+
+@query()
+def instance_map_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Temporary instances first"""
+    return instances.instance_map(frames(spark, d), "map", instances.Rules(match=1.5, ttl=60.0, tiers=3))
