@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.functions import descriptor
+from pointlake.functions import descriptor, geometry
 from pointlake.operators import instance_map as instances
-from pointlake.operators import lateral
+from pointlake.operators import lateral, registration
 from pointlake.plans.catalog import query
 from pointlake.session import read, rounded
 
@@ -80,3 +80,17 @@ def instance_map(spark: SparkSession, d: str) -> DataFrame:
 def instance_map_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Temporary instances first"""
     return instances.instance_map(frames(spark, d), "map", instances.Rules(match=1.5, ttl=60.0, tiers=3))
+
+
+# ---- registration ----
+
+_MOVE = [0.9998000066665778, -0.01999866669333308, 0.0, 0.12, 0.01999866669333308, 0.9998000066665778, 0.0, -0.08, 0.0, 0.0, 1.0, 0.05]
+
+
+@query("SELECT DISTINCT vec_id AS pair, 0.9998::DOUBLE AS t00, 0.019999::DOUBLE AS t10, 0.12::DOUBLE AS t03, -0.08::DOUBLE AS t13, 0.05::DOUBLE AS t23, 21::BIGINT AS n, 0.0::DOUBLE AS mse FROM embeddings")
+def gicp(spark: SparkSession, d: str) -> DataFrame:
+    """Each cloud onto itself, turned by 0.02 and moved: every pose has to be found again"""
+    source = clouds(spark, d).withColumnRenamed("frame", "pair").withColumn("label", F.col("pos") % 2)
+    target = source.select("pair", "label", "pos", *[v.alias(c) for c, v in zip("xyz", geometry.transformed(F.col("x"), F.col("y"), F.col("z"), _MOVE))])
+    r = registration.registered(source, target, ["pair"], k=6, reach=8.0, around=60.0)
+    return r.select("pair", *[rounded(F.col(c), 6 if c[1] != c[2] or c == "t03" else 4).alias(c) for c in ("t00", "t10", "t03", "t13", "t23")], "n", rounded(F.col("mse"), 6).alias("mse"))
