@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointlake.functions import descriptor, geometry
 from pointlake.operators import instance_map as instances
-from pointlake.operators import lateral, registration
+from pointlake.operators import lateral, posegraph, registration, windows
 from pointlake.plans.catalog import query
 from pointlake.session import read, rounded
 
@@ -94,3 +94,34 @@ def gicp(spark: SparkSession, d: str) -> DataFrame:
     target = source.select("pair", "label", "pos", *[v.alias(c) for c, v in zip("xyz", geometry.transformed(F.col("x"), F.col("y"), F.col("z"), _MOVE))])
     r = registration.registered(source, target, ["pair"], k=6, reach=8.0, around=60.0)
     return r.select("pair", *[rounded(F.col(c), 6 if c[1] != c[2] or c == "t03" else 4).alias(c) for c in ("t00", "t10", "t03", "t13", "t23")], "n", rounded(F.col("mse"), 6).alias("mse"))
+
+
+# ---- pose graphs ----
+
+
+def pose_graph_tables(spark: SparkSession, d: str, shake: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Graphs of four embeddings in a row: poses that are shaken to start from, and exact factors of the true ones: a prior of the first, steps, a loop
+    from the last to the first, and a position fix of the last."""
+    at = lambda i: F.col("embedding")[i].cast("double")
+
+    def pose(extra: float) -> list[Column]:
+        s = lambda i: at(i) * extra
+        return geometry.from_euler(at(3) * 10 + s(10), at(4) * 10 + s(11), at(5) * 10 + s(12), s(13), s(14), at(6) * 4 + s(15), lib=F)
+
+    names = windows.POSE
+    e = read(spark, d, "embeddings").select((F.col("vec_id") / 4).cast("long").alias("graph"), (F.col("vec_id") % 4).alias("id"), "embedding")
+    true = e.select("graph", "id", *[v.alias(n) for n, v in zip(names, pose(0.0))])
+    begin = e.select("graph", "id", *[v.alias(n) for n, v in zip(names, pose(shake))])
+    other = true.select("graph", F.col("id").alias("j"), *[F.col(n).alias(f"_{n}") for n in names])
+    seen = geometry.composed(geometry.inverse([F.col(n) for n in names]), [F.col(f"_{n}") for n in names])
+    steps = true.join(other, "graph").where("j = id + 1 OR (j = 0 AND id = 3)").select("graph", F.col("id").alias("i"), "j", *[v.alias(z) for z, v in zip(posegraph.MEASURED, seen)], F.lit(1.0).alias("wt"), F.lit(2.0).alias("wr"))
+    priors = true.where("id IN (0, 3)").select("graph", F.lit(None).cast("long").alias("i"), F.col("id").alias("j"), *[F.col(n).alias(z) for n, z in zip(names, posegraph.MEASURED)], F.lit(1.0).alias("wt"), F.when(F.col("id") == 0, 1.0).otherwise(0.0).alias("wr"))
+    return begin, steps.unionByName(priors)
+
+
+@query("""SELECT (vec_id // 4)::BIGINT AS graph, vec_id % 4 AS id, round(embedding[4]::DOUBLE * 10, 4) + 0.0::DOUBLE AS x, round(embedding[5]::DOUBLE * 10, 4) + 0.0::DOUBLE AS y, round(embedding[6]::DOUBLE * 10, 4) + 0.0::DOUBLE AS z,
+round(cos(embedding[7]::DOUBLE * 4), 4) + 0.0::DOUBLE AS c, round(sin(embedding[7]::DOUBLE * 4), 4) + 0.0::DOUBLE AS s, 0.0::DOUBLE AS tilt FROM embeddings""")
+def pose_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Prior, steps, loop and position fix; the shaken poses have to come back to those that the factors were made of"""
+    r = posegraph.optimised(*pose_graph_tables(spark, d))
+    return r.select("graph", "id", *[rounded(F.col(n), 4).alias(c) for n, c in (("t03", "x"), ("t13", "y"), ("t23", "z"), ("t00", "c"), ("t10", "s"), ("t20", "tilt"))])
