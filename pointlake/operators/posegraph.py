@@ -6,7 +6,7 @@ turn (as a rotation vector) that are left, both in the measured frame; Jacobians
 
 Nothing of a graph is collected: linearised factors, the 6 x 6 blocks that precondition, and the vectors of the solver are tables, stored once
 for each iteration; each graph has its own step lengths, which come back by a join. The driver sees one number for each iteration: the
-largest residual left. Graphs are independent and go through the iterations together.
+largest residual left. Graphs are independent and go through the iterations together; small ones are solved whole, a graph in a task.
 
 Factors with a node that isn't in `nodes` are left out, and so are those with a null j. Nodes without factors keep their pose, as do the directions in
 which nothing holds a node (their blocks are solved by pseudo-inverse). Repeated factors count each.
@@ -168,18 +168,38 @@ def solved_step(factors: DataFrame, most: int, tolerance: float) -> DataFrame:
     return state.select(*_KEY, "x")
 
 
-def optimised(nodes: DataFrame, factors: DataFrame, rounds: int = 10, most: int = 200, tolerance: float = 1e-6, settle: float = 1e-6) -> DataFrame:
-    """The poses (graph, id, t00..t23) that fit the factors best: Gauss-Newton until no node moves by more than `settle`."""
+def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The step of a whole small graph."""
+    ji, jj, res = _stacked(pdf["ji"], 6, 6), _stacked(pdf["jj"], 6, 6), _stacked(pdf["res"], 6)
+    held = pdf["i"].notna().to_numpy()
+    ids = np.unique(np.concatenate([pdf["j"].to_numpy(np.int64), pdf["i"][held].to_numpy(np.int64)]))
+    rows = np.arange(6 * len(pdf)).reshape(-1, 6)
+    big = np.zeros((6 * len(pdf), 6 * len(ids)))
+    at = lambda v: 6 * np.searchsorted(ids, v)[:, None] + np.arange(6)
+    np.add.at(big, (rows[:, :, None], at(pdf["j"].to_numpy(np.int64))[:, None, :]), jj)
+    np.add.at(big, (rows[held][:, :, None], at(pdf["i"][held].to_numpy(np.int64))[:, None, :]), ji[held])
+    x = -np.linalg.pinv(big.T @ big, rcond=1e-12, hermitian=True) @ (big.T @ res.ravel())
+    return pd.DataFrame({"graph": pdf["graph"].iloc[0], "id": ids, "x": list(x.reshape(-1, 6))})
+
+
+def optimised(nodes: DataFrame, factors: DataFrame, rounds: int = 10, most: int = 200, tolerance: float = 1e-6, settle: float = 1e-6, small: int = 64) -> DataFrame:
+    """The poses (graph, id, t00..t23) that fit the factors best: Gauss-Newton until no node moves by more than `settle`.
+    Graphs of up to `small` nodes and 8 * small factors are solved whole, each in a task; larger ones by conjugate gradients."""
     nodes = stored(nodes.select(*_KEY, *[F.col(n).cast("double").alias(n) for n in POSE]))
     end = lambda k: nodes.select(F.col("graph").alias(f"_g{k}"), F.col("id").alias(f"_{k}"), *[F.col(n).alias(f"{k}{n}") for n in POSE])
     factors = stored(factors.select("graph", "i", "j", *MEASURED, "wt", "wr"))
+    sizes = nodes.groupBy("graph").agg(F.count("*").alias("n")).join(factors.groupBy("graph").agg(F.count("*").alias("m")), "graph")
+    large = stored(sizes.where(f"n > {small} OR m > {8 * small}").select("graph"))
+    any_large = not large.isEmpty()
     linear = F.pandas_udf(_linear, f"ji {_VECTOR}, jj {_VECTOR}, res {_VECTOR}")
     retracted = F.pandas_udf(_retracted, ", ".join(f"{n} double" for n in POSE))
     for _ in range(rounds):
         at = factors.join(end("j"), (F.col("graph") == F.col("_gj")) & (F.col("j") == F.col("_j")))
         at = at.join(end("i"), (F.col("graph") == F.col("_gi")) & (F.col("i") == F.col("_i")), "left").where("i IS NULL OR _i IS NOT NULL")
         made = linear(*[f"i{n}" for n in POSE], *[f"j{n}" for n in POSE], *MEASURED, "wt", "wr")
-        step = stored(solved_step(stored(at.select("graph", "i", "j", made.alias("p")).select("graph", "i", "j", "p.*")), most, tolerance))
+        at = stored(at.select("graph", "i", "j", made.alias("p")).select("graph", "i", "j", "p.*"))
+        step = at.join(large, "graph", "left_anti").groupBy("graph").applyInPandas(_dense, f"graph {dict(nodes.dtypes)['graph']}, id long, x {_VECTOR}")
+        step = stored(step.unionByName(solved_step(at.join(large, "graph", "left_semi"), most, tolerance)) if any_large else step)
         moved = nodes.join(step, _KEY, "left").withColumn("x", F.coalesce("x", _zero(6)))
         nodes = stored(moved.select(*_KEY, retracted(*POSE, "x").alias("p")).select(*_KEY, "p.*"))
         if step.where(F.exists("x", lambda v: F.abs(v) > settle)).isEmpty():

@@ -99,7 +99,7 @@ def gicp(spark: SparkSession, d: str) -> DataFrame:
 # ---- pose graphs ----
 
 
-def pose_graph_tables(spark: SparkSession, d: str, shake: float = 0.3) -> tuple[DataFrame, DataFrame]:
+def pose_graph_tables(spark: SparkSession, d: str, shake: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """Graphs of four embeddings in a row: poses that are shaken to start from, and exact factors of the true ones: a prior of the first, steps, a loop
     from the last to the first, and a position fix of the last."""
     at = lambda i: F.col("embedding")[i].cast("double")
@@ -123,5 +123,5 @@ def pose_graph_tables(spark: SparkSession, d: str, shake: float = 0.3) -> tuple[
 round(cos(embedding[7]::DOUBLE * 4), 4) + 0.0::DOUBLE AS c, round(sin(embedding[7]::DOUBLE * 4), 4) + 0.0::DOUBLE AS s, 0.0::DOUBLE AS tilt FROM embeddings""")
 def pose_graph(spark: SparkSession, d: str) -> DataFrame:
     """Prior, steps, loop and position fix; the shaken poses have to come back to those that the factors were made of"""
-    r = posegraph.optimised(*pose_graph_tables(spark, d))
+    r = posegraph.optimised(*pose_graph_tables(spark, d), tolerance=1e-4, settle=1e-3)
     return r.select("graph", "id", *[rounded(F.col(n), 4).alias(c) for n, c in (("t03", "x"), ("t13", "y"), ("t23", "z"), ("t00", "c"), ("t10", "s"), ("t20", "tilt"))])

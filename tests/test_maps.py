@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pointlake.functions import descriptor
 from pointlake.operators import instance_map as im
-from pointlake.operators import lateral, scan, windows
+from pointlake.operators import lateral, posegraph, registration, scan, windows
 from pointlake.plans import maps
 
 DATA = "/root/testdata/sf0.001"
@@ -292,3 +292,112 @@ def test_instance_stream_with_disorder_and_late_frames(spark, tmp_path):
         assert got == want and len(want) > 50
     finally:
         spark.conf.unset(key)
+
+
+# ---- registration and pose graphs ----
+
+
+def _rot(w):
+    a = np.linalg.norm(w)
+    k = np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]])
+    return np.eye(3) if a < 1e-15 else np.eye(3) + math.sin(a) / a * k + (1 - math.cos(a)) / a**2 * k @ k
+
+
+def _log(r):
+    a = math.acos(max(-1.0, min(1.0, (np.trace(r) - 1) / 2)))
+    v = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
+    return v / 2 if a < 1e-8 else v * a / (2 * math.sin(a))
+
+
+def _plain_gicp(src, dst, k, reach, eps, c, rounds):
+    """Points (label, x, y, z) against points, by dense matrices and a numeric derivative of the weighted residual's moved points."""
+
+    def cov(points):
+        out = []
+        for p in points:
+            own = points[points[:, 0] == p[0], 1:]
+            near = own[np.argsort(((own - p[1:]) ** 2).sum(1), kind="stable")[:k]]
+            u, _, vt = np.linalg.svd(np.cov(near.T, bias=True))
+            out.append(u @ np.diag([1, 1, eps]) @ vt)
+        return out
+
+    cs, cd, r, t = cov(src), cov(dst), np.eye(3), np.zeros(3)
+    for _ in range(rounds):
+        h, g = np.zeros((6, 6)), np.zeros(6)
+        for p, c1 in zip(src, cs):
+            m = r @ p[1:] + t
+            same = [(((m - q[1:]) ** 2).sum(), i) for i, q in enumerate(dst) if q[0] == p[0]]
+            d2, i = min(same)
+            if d2 > reach**2:
+                continue
+            d, w = m - dst[i, 1:], np.linalg.inv(cd[i] + r @ c1 @ r.T)
+            w = w / (1 + d @ w @ d / c**2)
+            j = np.hstack([np.array([[0, m[2], -m[1]], [-m[2], 0, m[0]], [m[1], -m[0], 0]]), np.eye(3)])
+            h, g = h + j.T @ w @ j, g + j.T @ w @ d
+        step = -np.linalg.solve(h, g)
+        r, t = _rot(step[:3]) @ r, _rot(step[:3]) @ t + step[3:]
+    return np.hstack([r, t[:, None]])
+
+
+def test_registration_against_plain_rounds(spark):
+    rng = np.random.default_rng(5)
+    src = {p: np.column_stack([np.arange(40) % 2, rng.normal(size=(40, 3)) * [6, 6, 2]]) for p in range(3)}
+    dst = {p: np.column_stack([v[:, 0], v[:, 1:] @ _rot(np.array([0.02, -0.03, 0.05])).T + [0.3, -0.2, 0.1] + rng.normal(size=(40, 3)) * 0.05]) for p, v in src.items()}
+    table = lambda clouds: spark.createDataFrame([(p, int(v[0]), i, *map(float, v[1:])) for p, c in clouds.items() for i, v in enumerate(c)], "pair long, label long, pos long, x double, y double, z double")
+    lonely = spark.createDataFrame([(9, 0, 0, 0.0, 0.0, 0.0)], "pair long, label long, pos long, x double, y double, z double")
+    got = registration.registered(table(src).unionByName(lonely), table(dst), ["pair"], k=8, reach=3.0, around=40.0, rounds=4, settle=0.0).collect()
+    for r in got:
+        pose = np.array([r[n] for n in windows.POSE]).reshape(3, 4)
+        if r["pair"] == 9:
+            assert np.allclose(pose, np.eye(3, 4)) and r["n"] == 0 and r["mse"] is None
+        else:
+            assert np.allclose(pose, _plain_gicp(src[r["pair"]], dst[r["pair"]], 8, 3.0, 0.001, 1.5, 4), atol=1e-8) and r["n"] == 40
+    assert len(got) == 4
+
+
+def _plain_graph(poses, factors, rounds=12):
+    """Dense Gauss-Newton with numeric derivatives; poses id -> (R, t)."""
+    ids = sorted(poses)
+
+    def residual(p):
+        out = []
+        for i, j, rz, tz, wt, wr in factors:
+            ri, ti = p[i] if i is not None else (np.eye(3), np.zeros(3))
+            rj, tj = p[j]
+            out += [math.sqrt(wt) * rz.T @ (ri.T @ (tj - ti) - tz), math.sqrt(wr) * _log(rz.T @ ri.T @ rj)]
+        return np.concatenate(out)
+
+    def moved(p, x):
+        return {n: (p[n][0] @ _rot(x[6 * k + 3 : 6 * k + 6]), p[n][1] + p[n][0] @ x[6 * k : 6 * k + 3]) for k, n in enumerate(ids)}
+
+    for _ in range(rounds):
+        j = np.stack([(residual(moved(poses, e * 1e-6)) - residual(moved(poses, -e * 1e-6))) / 2e-6 for e in np.eye(6 * len(ids))], 1)
+        poses = moved(poses, -np.linalg.lstsq(j, residual(poses), rcond=None)[0])
+    return poses
+
+
+@pytest.mark.parametrize("small", [0, 64])
+def test_pose_graph_against_dense_steps(spark, small):
+    rng = np.random.default_rng(6)
+    nodes, factors, want = [], [], {}
+    for g in range(2):
+        true = {i: (_rot(rng.normal(size=3) * 0.4), rng.normal(size=3) * 2) for i in range(3)}
+        made = []
+        for i, j in ((0, 1), (1, 2), (2, 0), (None, 0), (None, 2)):
+            ri, ti = true[i] if i is not None else (np.eye(3), np.zeros(3))
+            made.append((i, j, ri.T @ true[j][0] @ _rot(rng.normal(size=3) * 0.03), ri.T @ (true[j][1] - ti) + rng.normal(size=3) * 0.05, 1.0, 0.0 if (i, j) == (None, 2) else 2.0))
+        start = {i: (r @ _rot(rng.normal(size=3) * 0.1), t + rng.normal(size=3) * 0.1) for i, (r, t) in true.items()}
+        nodes += [(g, i, *np.hstack([r, t[:, None]]).ravel().tolist()) for i, (r, t) in start.items()]
+        factors += [(g, i, j, *np.hstack([r, t[:, None]]).ravel().tolist(), a, b) for i, j, r, t, a, b in made]
+        want |= {(g, i): np.hstack([r, t[:, None]]) for i, (r, t) in _plain_graph(start, made).items()}
+    nodes.append((5, 0, *np.eye(3, 4).ravel().tolist()))  # without factors
+    factors.append((0, 7, 1, *np.eye(3, 4).ravel().tolist(), 1.0, 1.0))  # of a node that isn't there
+    cols = lambda names: ", ".join(f"{n} double" for n in names)
+    out = posegraph.optimised(
+        spark.createDataFrame(nodes, f"graph long, id long, {cols(windows.POSE)}"), spark.createDataFrame(factors, f"graph long, i long, j long, {cols(posegraph.MEASURED)}, wt double, wr double"),
+        rounds=4, tolerance=1e-4, settle=1e-3, small=small,
+    ).collect()
+    assert len(out) == 7
+    for r in out:
+        pose = np.array([r[n] for n in windows.POSE]).reshape(3, 4)
+        assert np.allclose(pose, want.get((r["graph"], r["id"]), np.eye(3, 4)), atol=2e-4), r
