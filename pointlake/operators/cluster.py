@@ -207,10 +207,51 @@ def static_clusters(now: DataFrame, before: DataFrame, reach: float, share: floa
     return now.join(ratio.select("id").distinct(), "id", "left_semi")
 
 
-def overlap_merged(instances: DataFrame, reach: float, share: float = 0.0) -> DataFrame:
-    """Instances (id, x, y, z, rows) whose hulls overlap get one component; run again on merged hulls for a fixpoint."""
+XY = "array<struct<x: double, y: double>>"
+
+
+def _hulls(outlines: pd.Series) -> pd.Series:
+    from pointlake.functions.polygon import hull
+
+    return pd.Series([[{"x": x, "y": y} for x, y in hull(np.array([[p["x"], p["y"]] for p in o], float).reshape(-1, 2))] for o in outlines])
+
+
+def _overlapping(items: DataFrame, key: list[str], cell: float, share: float) -> DataFrame:
+    """Pairs (key, a, b), a < b, of items (key, id, outline) that share more than `share` of the smaller area. Items meet in the cells that their
+    bounding boxes cover, a pair only in the cell of its boxes' common lower corner, so it is made once."""
     from pointlake.functions.polygon import convex_overlap
 
-    near = radius_join(instances, instances, reach).where("id < id_r").withColumn("o", convex_overlap("rows", "rows_r")).where(F.col("o.inter") > share)
-    comp = connected(near.select(F.col("id").alias("a"), F.col("id_r").alias("b")))
-    return instances.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    low, high = (lambda c: F.array_min(F.transform("outline", lambda p: p[c]))), (lambda c: F.array_max(F.transform("outline", lambda p: p[c])))
+    box = items.select(*key, "id", "outline", *[f(c).alias(f"{n}{c}") for n, f in (("l", low), ("h", high)) for c in "xy"])
+    at = lambda c: F.floor(F.col(c) / cell)
+    box = box.withColumn("_cx", F.explode(F.sequence(at("lx"), at("hx")))).withColumn("_cy", F.explode(F.sequence(at("ly"), at("hy"))))
+    other = box.select(*key, "_cx", "_cy", *[F.col(c).alias(f"{c}_r") for c in ("id", "outline", "lx", "ly", "hx", "hy")])
+    met = box.join(other, [*key, "_cx", "_cy"]).where("id < id_r AND lx < hx_r AND lx_r < hx AND ly < hy_r AND ly_r < hy")
+    met = met.where((F.floor(F.greatest("lx", "lx_r") / cell) == F.col("_cx")) & (F.floor(F.greatest("ly", "ly_r") / cell) == F.col("_cy")))
+    o = met.select(*key, F.col("id").alias("a"), F.col("id_r").alias("b"), convex_overlap("outline", "outline_r").alias("o"))
+    return o.where(F.greatest("o.share_a", "o.share_b") > share).select(*key, "a", "b")
+
+
+def overlap_fixpoint(items: DataFrame, key: list[str], cell: float, share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Items (key, id, outline) whose hulls share more than `share` of the smaller one become one, and so on with the hulls of what
+    became one, until none do: (members (key, id, instance: the smallest id), instances (key, instance, n, outline)). Ids are distinct over
+    all keys. What results doesn't depend on the order for share 0, since hulls only grow.
+
+    A round links what overlaps, takes the connected components and makes a hull of each, first of every 64th part of a component; each
+    round has fewer items than the one before, and all rounds are stored. An outline with fewer than three corners overlaps nothing; null and
+    empty ones stay alone."""
+    from pointlake.session import stored
+
+    hulls = F.pandas_udf(_hulls, XY)
+    now = stored(items.select(*key, "id", hulls(F.coalesce("outline", F.array().cast(XY))).alias("outline")))
+    members = now.select(*key, "id", F.col("id").alias("instance"))
+    while True:
+        links = stored(_overlapping(now, key, cell, share))
+        if links.isEmpty():
+            counts = members.groupBy(*key, "instance").agg(F.count("*").alias("n"))
+            return members, now.withColumnRenamed("id", "instance").join(counts, [*key, "instance"]).select(*key, "instance", "n", "outline")
+        comp = connected(links.select("a", "b")).select(F.col("node").alias("_node"), "component")
+        now = now.join(comp, F.col("id") == F.col("_node"), "left").withColumn("_to", F.coalesce("component", "id"))
+        part = now.groupBy(*key, "_to", F.pmod("id", F.lit(64)).alias("_p")).agg(F.flatten(F.collect_list("outline")).alias("o")).select(*key, "_to", hulls("o").alias("o"))
+        members = stored(members.join(comp, F.col("instance") == F.col("_node"), "left").select(*key, "id", F.coalesce("component", "instance").alias("instance")))
+        now = stored(part.groupBy(*key, F.col("_to").alias("id")).agg(F.flatten(F.collect_list("o")).alias("o")).select(*key, "id", hulls("o").alias("outline")))

@@ -188,14 +188,57 @@ def upsampled(df: DataFrame, step: float, key: list[str], order: list[str]) -> D
     return rows.select(*key, (F.col("t") + F.col("_i") * step).alias("t"), *[(F.col(c) + (F.col(f"_{c}") - F.col(c)) * u).alias(c) for c in "xyz"], *[v.alias(c) for v, c in zip(q, cols[4:])])
 
 
-def deskewed(df: DataFrame, key: list[str], order: list[str], period: float = 0.1) -> DataFrame:
-    """W13, first step: time within the scan from the azimuth turned since its first row (built-in windows only)."""
-    from pointlake.functions.geometry import polar_angle
-
-    w = ordered(key, order)
-    turn = polar_angle(F.col("x"), F.col("y"))
-    first = F.first(turn).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("rel_time", F.pmod(turn - first, F.lit(6.283185307179586)) / 6.283185307179586 * period)
+def scan_time(df: DataFrame, key: list[str], order: list[str], period: float = 0.1) -> DataFrame:
+    """W13, first step: a point's time within its scan (rel_time), by the azimuth turned since the scan's first point as a share of the whole
+    turn, which lies between half a turn and one and a half. Up to the first point that is past half a turn azimuths are unwrapped from the first
+    point, after it from the last one; whether a point comes after it is a running maximum, so windows express the state."""
+    pi = 3.141592653589793
+    w, seen = ordered(key, order), ordered(key, order).rowsBetween(Window.unboundedPreceding, -1)
+    every = ordered(key, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    a = df.withColumn("_o", -F.atan2("y", "x"))
+    a = a.withColumns({"_s": F.first("_o").over(every), "_e": F.last("_o").over(every) + 2 * pi})
+    turn = F.col("_e") - F.col("_s")
+    a = a.withColumn("_e", F.when(turn > 3 * pi, F.col("_e") - 2 * pi).when(turn < pi, F.col("_e") + 2 * pi).otherwise(F.col("_e")))
+    o, s, e = F.col("_o"), F.col("_s"), F.col("_e")
+    early = F.when(o < s - pi / 2, o + 2 * pi).when(o > s + pi * 1.5, o - 2 * pi).otherwise(o)
+    on = o + 2 * pi
+    late = F.when(on < e - pi * 1.5, on + 2 * pi).when(on > e + pi / 2, on - 2 * pi).otherwise(on)
+    a = a.withColumn("_half", (early - s > pi).cast("int")).withColumn("_past", F.coalesce(F.max("_half").over(seen), F.lit(0)))
+    out = a.withColumn("rel_time", (F.when(F.col("_past") == 1, late).otherwise(early) - s) / (e - s) * period)
+    return out.select(*df.columns, "rel_time")
+
+
+def interpolated(rows: DataFrame, states: DataFrame, key: list[str], cols: list[str], width: float, angles: tuple[str, ...] = ()) -> DataFrame:
+    """W13, second step: rows (key, t, ...) with columns `cols` of states (key, t, ...) at their time: between the last state at or before a row and the
+    first one after it, in proportion; before the first and after the last state that state itself; null without any. Columns in
+    `angles` (radians) take the shorter way. Of states of one time one is used.
+
+    A two-sided as-of join: rows meet the states of their slice of time (width seconds) and the nearest ones outside, which a window over
+    slices, not over rows, hands on. So a key with very many rows is spread over its slices."""
+    at = F.floor(F.col("t") / width)
+    state = states.groupBy(*key, "t").agg(F.first(F.struct(F.col("t").alias("_t"), *[F.col(c).alias(f"_{c}") for c in cols])).alias("_s")).withColumn("_at", at)
+    ends = state.groupBy(*key, "_at").agg(F.min_by("_s", "t").alias("_low"), F.max_by("_s", "t").alias("_high"))
+    none = F.lit(None).cast(ends.schema["_low"].dataType)
+    slices = ends.unionByName(rows.select(*key, at.alias("_at")).distinct().select("*", none.alias("_low"), none.alias("_high")))
+    slices = slices.groupBy(*key, "_at").agg(F.max("_low").alias("_low"), F.max("_high").alias("_high"))
+    w = ordered(key, ["_at"])
+    slices = slices.select(*key, "_at", F.last("_high", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_low", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_to"))
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    both = rows.select(*key, at.alias("_at"), "t", row.alias("_row"), F.lit(None).cast(ends.schema["_low"].dataType).alias("_s"), F.lit(1).alias("_kind"))
+    both = both.unionByName(state.select(*key, "_at", "t", F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), "_s", F.lit(0).alias("_kind")))
+    w = Window.partitionBy(*key, "_at").orderBy("t", "_kind")
+    both = both.withColumns({"_a": F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_s", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    found = both.where("_kind = 1").join(slices, [*key, "_at"]).select("_row.*", F.coalesce("_a", "_from").alias("_a"), F.coalesce("_b", "_to").alias("_b"))
+    found = found.withColumn("_u", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), (F.col("t") - F.col("_a._t")) / (F.col("_b._t") - F.col("_a._t"))))
+
+    def between(c: str) -> Column:
+        a, b = F.col(f"_a._{c}"), F.col(f"_b._{c}")
+        gap = b - a
+        if c in angles:
+            gap = gap - 6.283185307179586 * F.round(gap / 6.283185307179586)
+        return F.when(F.col("_u").isNotNull(), a + gap * F.col("_u")).otherwise(F.coalesce(a, b)).alias(c)
+
+    return found.select(*rows.columns, *[between(c) for c in cols])
 
 
 def frame_window(df: DataFrame, order: list[str], key: list[str], half: int = 6, col: str = "frame") -> DataFrame:

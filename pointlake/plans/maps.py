@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from pointlake.functions import descriptor, geometry
 from pointlake.operators import instance_map as instances
-from pointlake.operators import lateral, posegraph, registration, windows
+from pointlake.operators import cluster, lateral, posegraph, registration, windows
 from pointlake.plans.catalog import query
-from pointlake.session import read, rounded
+from pointlake.session import read, rounded, sensor
 
 # ---- clouds of 21 points for each embedding ----
 
@@ -125,3 +125,38 @@ def pose_graph(spark: SparkSession, d: str) -> DataFrame:
     """Prior, steps, loop and position fix; the shaken poses have to come back to those that the factors were made of"""
     r = posegraph.optimised(*pose_graph_tables(spark, d), tolerance=1e-4, settle=1e-3)
     return r.select("graph", "id", *[rounded(F.col(n), 4).alias(c) for n, c in (("t03", "x"), ("t13", "y"), ("t23", "z"), ("t00", "c"), ("t10", "s"), ("t20", "tilt"))])
+
+
+# ---- de-skew ----
+
+
+@query(f"""WITH p AS (SELECT label::BIGINT AS user_id, vec_id AS pos, -atan2(embedding[2]::DOUBLE * 10, embedding[1]::DOUBLE * 10) AS o FROM embeddings),
+a AS (SELECT *, first_value(o) OVER w AS s, last_value(o) OVER w + 2 * pi() AS e0 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+b AS (SELECT *, CASE WHEN e0 - s > 3 * pi() THEN e0 - 2 * pi() WHEN e0 - s < pi() THEN e0 + 2 * pi() ELSE e0 END AS e, CASE WHEN o < s - pi() / 2 THEN o + 2 * pi() WHEN o > s + pi() * 1.5 THEN o - 2 * pi() ELSE o END AS early FROM a),
+c AS (SELECT *, CASE WHEN o + 2 * pi() < e - pi() * 1.5 THEN o + 4 * pi() WHEN o + 2 * pi() > e + pi() / 2 THEN o ELSE o + 2 * pi() END AS late,
+ coalesce(max((early - s > pi())::INT) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM b),
+r AS (SELECT user_id, pos, (CASE WHEN past = 1 THEN late ELSE early END - s) / (e - s) * 400 AS rel FROM c),
+i AS (SELECT user_id, t / 3600 - 473352 AS t, any_value(value) AS v, any_value(value / 50) AS yaw FROM (SELECT *, epoch_us(ts) / 1e6 AS t FROM events) GROUP BY ALL),
+q AS (SELECT r.*, a.t AS ta, a.v AS va, a.yaw AS ya FROM r ASOF LEFT JOIN i a ON r.user_id = a.user_id AND r.rel >= a.t),
+z AS (SELECT q.*, b.t AS tb, b.v AS vb, b.yaw AS yb, (rel - ta) / (b.t - ta) AS u FROM q ASOF LEFT JOIN i b ON q.user_id = b.user_id AND q.rel < b.t)
+SELECT user_id, pos, round(rel, 5) + 0.0::DOUBLE AS rel, round(CASE WHEN u IS NULL THEN coalesce(va, vb) ELSE va + (vb - va) * u END, 4) + 0.0::DOUBLE AS v,
+round(CASE WHEN u IS NULL THEN coalesce(ya, yb) ELSE ya + (yb - ya - 2 * pi() * round((yb - ya) / (2 * pi()))) * u END, 4) + 0.0::DOUBLE AS yaw FROM z""")
+def deskew(spark: SparkSession, d: str) -> DataFrame:
+    """Azimuth with half-pass state as time of each point (a scan is a label, its period 400 hours), and the sensor's values at that time between the rows around it"""
+    e = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("user_id"), F.col("vec_id").alias("pos"), *[(F.col("embedding")[i].cast("double") * 10).alias(c) for i, c in enumerate("xy")])
+    p = windows.scan_time(e, ["user_id"], ["pos"], 400.0).select("user_id", "pos", F.col("rel_time").alias("t"))
+    s = sensor(spark, d).select("user_id", (F.col("t") / 3600 - 473352).alias("t"), F.col("value").alias("v"), (F.col("value") / 50).alias("yaw"))
+    r = windows.interpolated(p, s, ["user_id"], ["v", "yaw"], 24.0, ("yaw",))
+    return r.select("user_id", "pos", rounded(F.col("t"), 5).alias("rel"), rounded(F.col("v"), 4).alias("v"), rounded(F.col("yaw"), 4).alias("yaw"))
+
+
+# ---- overlaps ----
+
+
+@query()
+def overlap_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The boxes of every frame of `frames`, merged within their map until no hulls overlap (tests/test_maps.py has a plain version over whole tables)"""
+    f = frames(spark, d).select("map", (F.col("t") * 4).cast("long").alias("first"), F.explode("outlines").alias("o"))
+    items = f.select("map", (F.col("first") + F.col("o.id")).alias("id"), F.arrays_zip(F.col("o.xs").alias("x"), F.col("o.ys").alias("y")).alias("outline"))
+    members, made = cluster.overlap_fixpoint(items, ["map"], 2.0)
+    return members.join(made, ["map", "instance"]).select("map", "id", "instance", "n")

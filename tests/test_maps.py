@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pointlake.functions import descriptor
 from pointlake.operators import instance_map as im
-from pointlake.operators import lateral, posegraph, registration, scan, windows
+from pointlake.operators import cluster, lateral, posegraph, registration, scan, windows
 from pointlake.plans import maps
 
 DATA = "/root/testdata/sf0.001"
@@ -131,6 +131,8 @@ def test_lateral_far_cloud_has_no_score(spark):
 
 def _clip_area(p, q):
     """Common area of two convex outlines, by cutting p at every edge of q."""
+    if any(max(c[k] for c in p) <= min(c[k] for c in q) or max(c[k] for c in q) <= min(c[k] for c in p) for k in (0, 1)):
+        return 0.0
     turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
     for a, b in zip(q, [*q[1:], q[0]]):
         out = []
@@ -165,20 +167,21 @@ def _size(p):
     return _clip_area(p, p)
 
 
+def _join(items, share):
+    went = {}
+    while True:
+        hit = next(((a, b) for a in sorted(items) for b in sorted(items) if a < b and _clip_area(items[a][0], items[b][0]) > share * min(_size(items[a][0]), _size(items[b][0])) + 1e-15), None)
+        if not hit:
+            return went
+        a, b = hit
+        items[a] = (_wrap(items[a][0] + items[b][0]), max(items[a][1], items[b][1]))
+        del items[b]
+        went = {k: a if v == b else v for k, v in went.items()} | {b: a}
+
+
 def _plain_map(frames, match, ttl, tiers):
     known, nxt, low, rows = {}, 0, -1, []
 
-    def join(items, share):
-        went = {}
-        while True:
-            hit = next(((a, b) for a in sorted(items) for b in sorted(items) if a < b and _clip_area(items[a][0], items[b][0]) > share * min(_size(items[a][0]), _size(items[b][0])) + 1e-15), None)
-            if not hit:
-                return went
-            a, b = hit
-            items[a] = (_wrap(items[a][0] + items[b][0]), max(items[a][1], items[b][1]))
-            del items[b]
-            went = {k: a if v == b else v for k, v in went.items()} | {b: a}
-
     def pair(new, old):
         mid = lambda p: (sum(c[0] for c in p) / len(p), sum(c[1] for c in p) / len(p))
         rows_, cols = sorted(new), sorted(old)
@@ -201,7 +204,7 @@ def _plain_map(frames, match, ttl, tiers):
 
     for t, outlines in frames:
         new = {i: (_wrap(p), t) for i, p in outlines}
-        into = join(new, 0.0)
+        into = _join(new, 0.0)
         known = {i: v for i, v in known.items() if i >= 0 or t - v[1] <= ttl}
         first, found = nxt == 0 and not known, {}
         for stage in (1, -1) if tiers == 2 else (-1, 1):
@@ -226,7 +229,7 @@ def _plain_map(frames, match, ttl, tiers):
             rows.append((t, i, kind, at))
         rows += [(t, i, "joined", where[j]) for i, j in into.items()]
         part = {i: known.pop(i) for i in touched}
-        went = join(part, 0.2)
+        went = _join(part, 0.2)
         known |= part
         rows += [(t, i, "merged", j) for i, j in went.items()]
     return rows
@@ -401,3 +404,19 @@ def test_pose_graph_against_dense_steps(spark, small):
     for r in out:
         pose = np.array([r[n] for n in windows.POSE]).reshape(3, 4)
         assert np.allclose(pose, want.get((r["graph"], r["id"]), np.eye(3, 4)), atol=2e-4), r
+
+
+def test_overlaps_to_the_fixpoint(spark):
+    got = {(r["map"], r["id"]): (r["instance"], r["n"]) for r in maps.overlap_merge(spark, DATA).collect()}
+    by = {}
+    for r in maps.frames(spark, DATA).collect():
+        for o in r["outlines"]:
+            by.setdefault(r["map"], {})[int(r["t"]) * 4 + o["id"]] = (_wrap(list(zip(o["xs"], o["ys"]))), 0)
+    for k, items in by.items():
+        ids = set(items)
+        went = _join(items, 0.0)
+        to = {i: went.get(i, i) for i in ids}
+        assert {i: got[k, i] for i in ids} == {i: (to[i], sum(v == to[i] for v in to.values())) for i in ids}
+    odd = spark.createDataFrame([(1, 1, None), (1, 2, []), (1, 3, [(0.0, 0.0), (1.0, 1.0)]), (1, 4, [(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)])], f"map long, id long, outline {cluster.XY}")
+    members, made = cluster.overlap_fixpoint(odd, ["map"], 1.0)
+    assert {(r["id"], r["instance"]) for r in members.collect()} == {(i, i) for i in range(1, 5)} and made.count() == 4
