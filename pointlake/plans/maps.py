@@ -10,6 +10,7 @@ from pointlake.operators import instance_map as instances
 from pointlake.operators import cluster, lateral, posegraph, registration, windows
 from pointlake.plans.catalog import query
 from pointlake.session import read, rounded, sensor
+from pointlake.streaming import streams
 
 # ---- clouds of 21 points for each embedding ----
 
@@ -160,3 +161,25 @@ def overlap_merge(spark: SparkSession, d: str) -> DataFrame:
     items = f.select("map", (F.col("first") + F.col("o.id")).alias("id"), F.arrays_zip(F.col("o.xs").alias("x"), F.col("o.ys").alias("y")).alias("outline"))
     members, made = cluster.overlap_fixpoint(items, ["map"], 2.0)
     return members.join(made, ["map", "instance"]).select("map", "id", "instance", "n")
+
+
+# ---- aligned streams ----
+
+
+@query("""WITH d AS (SELECT user_id, date_trunc('day', ts) AS stamp, event_type, min(event_id) AS e, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, epoch_us(stamp) AS stamp, min(e) FILTER (WHERE event_type = 'view') AS view, min(e) FILTER (WHERE event_type = 'click') AS click, min(e) FILTER (WHERE event_type = 'signup') AS signup, min(e) FILTER (WHERE event_type = 'error') AS error
+FROM d WHERE event_type IN ('view', 'click', 'signup', 'error') GROUP BY user_id, stamp HAVING count(*) = 4""")
+def aligned_four(spark: SparkSession, d: str) -> DataFrame:
+    """Four streams of events by day; a day counts once all have it"""
+    e = read(spark, d, "events").withColumn("stamp", F.date_trunc("day", F.col("ts").cast("timestamp")))
+    kinds = ("view", "click", "signup", "error")
+    out = streams.aligned([e.where(F.col("event_type") == k).select("user_id", "stamp", "event_id") for k in kinds], ["user_id"])
+    return out.select("user_id", F.unix_micros("stamp").alias("stamp"), *[F.col(f"s{i}.event_id").alias(k) for i, k in enumerate(kinds)])
+
+
+@query("""SELECT user_id, epoch_us(ts) AS stamp, min((event_id, value)) [1] AS event_id, min((event_id, value / 2))[2] AS half FROM events GROUP BY user_id, ts""")
+def aligned_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Five streams made of the same rows; a stamp that one lacked would fail the query"""
+    e = read(spark, d, "events").withColumn("stamp", F.col("ts").cast("timestamp"))
+    parts = [e.select("user_id", "stamp", "event_id", (F.col("value") / k).alias("v")) for k in range(1, 6)]
+    return streams.aligned(parts, ["user_id"], strict=True).select("user_id", F.unix_micros("stamp").alias("stamp"), F.col("s0.event_id").alias("event_id"), F.col("s1.v").alias("half"))

@@ -38,6 +38,28 @@ def equi_stream_join(streams: list[DataFrame], stamp: str = "stamp", delay: str
     return out
 
 
+def aligned(streams: list[DataFrame], key: list[str], stamp: str = "stamp", delay: str = "1 second", strict: bool = False) -> DataFrame:
+    """One row (key, stamp, s0, s1, ...) for every stamp of a key that all streams have, s<i> the other columns of stream i; tables or
+    streams. The streams are tagged and united, and a stamp waits as one group until the watermark passes it. Rows later than that
+    are dropped (stale heads). A stamp that a stream lacks gives no row, or, if strict, fails the query and names the stamp. Of
+    repeated rows of a stream, key and stamp the smallest counts. Rows without a stamp match nothing."""
+    parts = []
+    for i, s in enumerate(streams):
+        own = F.struct(*[c for c in s.columns if c not in (*key, stamp)])
+        kinds = [F.lit(None).cast(t.select(F.struct(*[c for c in t.columns if c not in (*key, stamp)])).schema[0].dataType) for t in streams]
+        parts.append(s.where(F.col(stamp).isNotNull()).withWatermark(stamp, delay).select(*key, stamp, *[(own if i == k else none).alias(f"s{k}") for k, none in enumerate(kinds)]))
+    both, names = parts[0], [f"s{k}" for k in range(len(streams))]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    out = both.groupBy(*key, stamp).agg(*[F.min(n).alias(n) for n in names])
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.col(n).isNotNull()
+    if strict:
+        whole = F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("a stream lacks the stamp "), F.col(stamp).cast("string"))).cast("boolean"))
+    return out.where(whole)
+
+
 def latest_only(batch: DataFrame, key: list[str], order: str) -> DataFrame:
     """Of a micro-batch only the latest row of each key, for foreachBatch: what a cleared backlog leaves."""
     others = [c for c in batch.columns if c not in key]

@@ -13,6 +13,7 @@ from pointlake.functions import descriptor
 from pointlake.operators import instance_map as im
 from pointlake.operators import cluster, lateral, posegraph, registration, scan, windows
 from pointlake.plans import maps
+from pointlake.streaming import streams
 
 DATA = "/root/testdata/sf0.001"
 
@@ -420,3 +421,37 @@ def test_overlaps_to_the_fixpoint(spark):
     odd = spark.createDataFrame([(1, 1, None), (1, 2, []), (1, 3, [(0.0, 0.0), (1.0, 1.0)]), (1, 4, [(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)])], f"map long, id long, outline {cluster.XY}")
     members, made = cluster.overlap_fixpoint(odd, ["map"], 1.0)
     assert {(r["id"], r["instance"]) for r in members.collect()} == {(i, i) for i in range(1, 5)} and made.count() == 4
+
+
+# ---- aligned streams ----
+
+
+def _run_stream(spark, tmp_path, batches, n, strict):
+    """Files of each batch become rows of n streams (k, stamp, v); the query starts again for each batch."""
+    schema, sources = "k long, stamp timestamp, v long", [tmp_path / f"in{i}" for i in range(n)]
+    for s in sources:
+        s.mkdir()
+    out = streams.aligned([spark.readStream.schema(schema).parquet(str(s)) for s in sources], ["k"], delay="10 seconds", strict=strict)
+    for batch in batches:
+        for i, rows in enumerate(batch):
+            spark.createDataFrame(rows, "k long, s long, v long").select("k", F.timestamp_seconds("s").alias("stamp"), "v").coalesce(1).write.mode("append").parquet(str(sources[i]))
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(90)
+    return sorted((r["k"], int(r["stamp"].timestamp()), r["s0"]["v"], r["s1"]["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+
+def test_aligned_streams_wait_and_drop_late_rows(spark, tmp_path):
+    first = [[(1, 5, 50), (1, 20, 51), (2, 20, 7)], [(1, 5, 60), (1, 21, 61)]]  # 20 and 21 lack a partner yet
+    later = [[(1, 21, 52), (1, 100, 53)], [(1, 20, 62), (1, 100, 63), (2, 99, 9)]]
+    late = [[(1, 6, 70), (1, 300, 1)], [(1, 6, 71), (1, 300, 2)]]  # 6 is behind the watermark
+    got = _run_stream(spark, tmp_path, [first, later, late, [[(1, 900, 0)], [(1, 900, 0)]]], 2, False)
+    assert got == [(1, 5, 50, 60), (1, 20, 51, 62), (1, 21, 52, 61), (1, 100, 53, 63), (1, 300, 1, 2)]
+
+
+def test_aligned_streams_strict(spark, tmp_path):
+    whole = [[(1, 5, 50), (1, 20, 51)], [(1, 5, 60), (1, 20, 61)]]
+    with pytest.raises(Exception, match="lacks the stamp"):
+        _run_stream(spark, tmp_path, [whole, [[(1, 100, 1)], [(1, 101, 2)]], [[(1, 900, 0)], [(1, 900, 0)]]], 2, True)
+    rows = lambda v: spark.createDataFrame(v, "k long, s long, v long").select("k", F.timestamp_seconds("s").alias("stamp"), "v")
+    assert streams.aligned([rows(whole[0]), rows(whole[1])], ["k"], strict=True).count() == 2
+    with pytest.raises(Exception, match="lacks the stamp"):
+        streams.aligned([rows(whole[0]), rows(whole[1][:1])], ["k"], strict=True).collect()
