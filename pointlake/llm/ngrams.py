@@ -439,7 +439,8 @@ class Trie:
 def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[tuple]:
     """(block, docs, sums) for each block of the shard."""
     got = {k: [] for k in range(4)}
-    for kind, block, docs, data in zip(*(group[c].to_pylist() for c in ("kind", "block", "docs", "data"))):
+    for i in range(group.num_rows):
+        kind, block, docs, data = (group[c][i].as_py() for c in ("kind", "block", "docs", "data"))
         got[kind].append((block, docs, _unpack(data)))
     if not got[_TOKENS]:
         return []
@@ -454,8 +455,10 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
     place = np.cumsum([len(given[0]), *[len(d[0]) for d in local]])
     ids = [of[i:j] for i, j in zip(place[:-1], place[1:])]
     a, b, w = (np.concatenate([x[d[k]] for x, d in zip(ids, local)]) for k in (1, 2, 3))
-    rows_of = [np.cumsum(d[4], dtype=np.int64) for d in local]
+    rows_of = [np.cumsum(d[4], dtype=np.int32) for d in local]
     train = np.concatenate([d[5][np.cumsum(d[4] > 0) - (d[4][0] > 0)] for d in local])
+    heads = [(block, docs) for block, docs, _ in got.pop(_TOKENS)]
+    del of, ids, local
     # every distinct triple once, ascending by b, a, w
     if v < 1 << 21:
         key, at = np.unique((b.astype(np.int64) * v + a) * v + w, return_inverse=True)
@@ -467,7 +470,7 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
         c, tw = np.divmod(key, v)
         tb, ta = np.divmod(context[c], v)
     at = at.astype(np.int32)
-    del a, b, w, c
+    del a, b, c
     n = np.bincount(at, train, len(key)).astype(np.int64)
     del key
     # n-grams that other shards share in are counted elsewhere
@@ -496,9 +499,9 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
     costs = trie.score(ta, tb, tw, p1[tw])
     del ta, tb, tw
     fine, unknown, out, i = np.rint(np.log10(2 * counts + 1) * FINE).astype(np.int64), (counts == 0).astype(np.int64), [], 0
-    for (block, docs, d), x, row in zip(got[_TOKENS], ids, rows_of):
+    for (block, docs), row in zip(heads, rows_of):
         edge = np.flatnonzero(np.diff(row, prepend=-1))
-        own = x[d[3]]
+        own = w[i : i + len(row)]
         each = [np.add.reduceat(y, edge) for y in (costs[at[i : i + len(row)]], fine[own], unknown[own])]
         out.append((block, docs, _pack(np.diff(row[edge], prepend=0), np.diff(edge, append=len(row)), *each)))
         i += len(row)
