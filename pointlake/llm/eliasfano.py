@@ -19,7 +19,7 @@ U = np.uint64
 def packed(values: np.ndarray) -> dict[str, np.ndarray]:
     """The arrays of a sequence of ascending uint64 values (equal ones may follow each other)."""
     n = len(values)
-    v = values.astype(np.uint64)
+    v = values.astype(np.uint64, copy=False)
     top = int(v[-1]) if n else 0
     width = min(max((top // max(n, 1)).bit_length() - 1, 0), 56)
     high = (v >> U(width)).astype(np.int64)

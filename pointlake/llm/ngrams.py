@@ -370,25 +370,32 @@ class Trie:
         start = np.searchsorted(pb, roots)
         kinds = np.diff(start, append=len(pb))
         r = np.repeat(np.arange(len(roots)), kinds)
-        p1 = (counts[pw] + 0.5) / self.mass
         back = discount * kinds / np.maximum(total, 1)
-        p2 = (pn - discount) / total[r] + back[r] * p1
+        p2 = (pn - discount) / total[r] + back[r] * ((counts[pw] + 0.5) / self.mass)
         succ = r * v + pw
+        del r
         tr = np.searchsorted(roots, tb)
-        ctx, ctotal = _sums(tr * v + ta, tn)
-        cstart = np.searchsorted(tr * v + ta, ctx)
-        ckinds = np.diff(cstart, append=len(ta))
+        place = np.searchsorted(succ, tr * v + tw)  # of (b, w) among all successors
+        third = place - start[tr]
+        lower = p2[place]
+        del place
+        key = tr * v + ta
+        ctx, ctotal = _sums(key, tn)
+        ckinds = np.diff(np.searchsorted(key, ctx), append=len(ta))
+        del key
         c = np.repeat(np.arange(len(ctx)), ckinds)
         cback = discount * ckinds / np.maximum(ctotal, 1)
-        place = np.searchsorted(succ, tr * v + tw)  # of (b, w) among all successors
-        p3 = (tn - discount) / ctotal[c] + cback[c] * p2[place]
+        p3 = _levels_of((tn - discount) / ctotal[c] + cback[c] * lower)
+        del lower
         cptr = np.searchsorted(ctx // v, np.arange(len(roots) + 1))
         base = np.concatenate([[0], np.cumsum(np.diff(cptr) * kinds)])
-        third = base[tr] + (c - cptr[tr]) * kinds[tr] + place - start[tr]
+        third += base[tr]
+        third += (c - cptr[tr]) * kinds[tr]
+        del c, tr
         u = lambda x: x.astype(np.uint64)
         self.levels = Levels(
-            {"words": hashes, "counts": u(np.concatenate([[0], np.cumsum(counts)])), "roots": u(roots), "succ": u(succ), "succ_at": u(np.append(start, len(pb))), "ctx": u(ctx), "ctx_at": u(cptr), "base": u(base), "third": u(third)},
-            {"p2": _levels_of(p2), "back": _levels_of(back), "p3": _levels_of(p3), "cback": _levels_of(cback)},
+            {"words": hashes, "counts": u(np.concatenate([[0], np.cumsum(counts)])), "roots": u(roots), "succ": u(succ), "succ_at": u(np.append(start, len(pb))), "ctx": u(ctx), "ctx_at": u(cptr), "base": u(base), "third": third.view(np.uint64)},
+            {"p2": _levels_of(p2), "back": _levels_of(back), "p3": p3, "cback": _levels_of(cback)},
         )
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -462,17 +469,19 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
     # every distinct triple once, ascending by b, a, w
     if v < 1 << 21:
         key, at = np.unique((b.astype(np.int64) * v + a) * v + w, return_inverse=True)
-        c, tw = np.divmod(key, v)
-        tb, ta = np.divmod(c, v)
+        c, tw = _parts(key, v)
+        del key
+        tb, ta = _parts(c, v)
     else:  # three places don't fit a long
         context, c = np.unique(b.astype(np.int64) * v + a, return_inverse=True)
         key, at = np.unique(c * v + w, return_inverse=True)
-        c, tw = np.divmod(key, v)
-        tb, ta = np.divmod(context[c], v)
-    at = at.astype(np.int32)
+        c, tw = _parts(key, v)
+        tb, ta = _parts(context[c], v)
+        del key, context
+    at, tb = at.astype(np.int32), tb.astype(np.int32)
     del a, b, c
-    n = np.bincount(at, train, len(key)).astype(np.int64)
-    del key
+    n = np.bincount(at, train, len(tw)).astype(np.int32)
+    del train
     # n-grams that other shards share in are counted elsewhere
     find = lambda h: np.searchsorted(hashes, h)
     mine = n > 0
@@ -486,7 +495,7 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
         triples = _ascending(triples, (1, 0, 2))
     hot = Layout.rank(layout.words, hashes) >= 0
     own = ~hot[triples[1]]
-    bw, bn = _sums(*_sorted_by(triples[1][own] * v + triples[2][own], triples[3][own]))
+    bw, bn = _sums(*_sorted_by(triples[1][own].astype(np.int64) * v + triples[2][own], triples[3][own]))
     pairs = [bw // v, bw % v, bn]
     for _, _, (j, tail, m) in got[_PAIRS]:
         pairs = [np.append(x, y) for x, y in zip(pairs, (np.full(len(tail), find(layout.words[int(j[0])])), find(tail), m))]
@@ -508,6 +517,12 @@ def _shard(group: pa.Table, layout: Layout, tokens: int, distinct: int) -> list[
     return out
 
 
+def _parts(key: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quotient, and remainder as a 32-bit place."""
+    high = key // v
+    return high, (key - high * v).astype(np.int32)
+
+
 def _sorted_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     return key[order], n[order]
