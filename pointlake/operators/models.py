@@ -138,7 +138,7 @@ def kalman(df: DataFrame, key: list[str], order: list[str], schema: str, noise:
 
 
 def normal_equations(df: DataFrame, jacobian: list[Column], residual: Column, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """J'J, J'b and the squared error as one aggregate of 6*7/2 + 6 + 1 sums."""
+    """J'J, J'b and the squared error as one aggregate of 6*7/2 + 6 + 1 sums."""
     n, w = len(jacobian), weight if weight is not None else F.lit(1.0)
     rows = df.select(*[j.cast("double").alias(f"_j{i}") for i, j in enumerate(jacobian)], residual.alias("_b"), w.alias("_w"))
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
@@ -156,7 +156,7 @@ def damped_step(a: np.ndarray, b: np.ndarray, damping: float = 1e-6, weakest: fl
 
 
 def icp(source: np.ndarray, target: np.ndarray, rounds: int = 100, reach: float = 100.0, eps: float = 1e-9):
-    """Rigid alignment of two point sets: (R, t, mean squared distance), nearest neighbours by blocks."""
+    """Rigid alignment of two point sets: (R, t, mean squared distance), nearest neighbours by blocks."""
     r, t, last = np.eye(3), np.zeros(3), np.inf
     for _ in range(rounds):
         moved = source @ r.T + t
@@ -200,7 +200,7 @@ def icp_pairs(pairs: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def pose_graph(n: int, edges: list[tuple], prior: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Planar poses (n x [x, y, yaw]) from relative edges (i, j, dx, dy, dyaw, weight), the first held at prior;
+    """Planar poses (n x [x, y, yaw]) from relative edges (i, j, dx, dy, dyaw, weight), the first held at prior;
     Gauss-Newton on the driver, for graphs that fit there."""
     x = np.zeros((n, 3))
     x[0] = prior

@@ -1,5 +1,5 @@
-"""Operators over ordered rows (W1-W26). What a window can express is one; what depends on earlier picks runs in one
-Python pass for each key, which is the unit that the operator is sequential in."""
+"""Operators over ordered rows (W1-W26). What a window can express is one, running products are scans over blocks; what depends on earlier
+picks runs in one Python pass for each key, which is the unit that the operator is sequential in."""
 
 from __future__ import annotations
 

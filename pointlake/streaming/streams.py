@@ -1,4 +1,4 @@
-"""Streaming operators (J4-J9, T1-T13, G13, G14, U11) on Structured Streaming.
+"""Streaming operators (J4-J9, T1-T13, U11) on Structured Streaming.
 
 Exact drop-oldest queues have no place in a lossless engine: bounds are watermarks, time-to-live and list state, and
 the functions say where the outcome differs.
@@ -30,8 +30,8 @@ def interval_stream_join(left: DataFrame, right: DataFrame, tolerance: float, de
 
 
 def equi_stream_join(streams: list[DataFrame], stamp: str = "stamp", delay: str = "1 second") -> DataFrame:
-    """Rows of all streams with the same stamp; heads that are later than the watermark are discarded. A stamp
-    that one stream lacks gives no row (the strict variant would stop instead)."""
+    """Rows of all streams with the same stamp, as a chain of joins; heads that are later than the watermark are discarded. A stamp
+    that one stream lacks gives no row (J6, J7 with repeated rows and the strict form: aligned)."""
     out = streams[0].withWatermark(stamp, delay)
     for s in streams[1:]:
         out = out.join(s.withWatermark(stamp, delay), stamp)
@@ -157,7 +157,7 @@ def dead_reckoned(stream: DataFrame, key: str, gap: float = 0.1) -> DataFrame:
 
 
 def merged_instances(stream: DataFrame, key: str, reach: float, ttl: float) -> DataFrame:
-    """Instances (x, y, t) of a map: each joins the nearest known one within reach, else is new; those
+    """Instances (x, y, t) of a map by their centres (instance_map.instance_stream has outlines): each joins the nearest known one within reach, else is new; those
     unseen for ttl seconds of event time are evicted. Emits (key, t, instance, n)."""
 
     def step(s, r):
