@@ -493,23 +493,23 @@ def pr_curve_auc(spark: SparkSession, d: str) -> DataFrame:
 # ---- functions ----
 
 
-@query("""WITH s AS (SELECT unnest(['$GPGGA,092725.00,3937.3032,N,11627.1200,E,1,08,1.03,61.7,M,55.2,M,,*75', '$GPGGA,092725.00,4717.11399,N,00833.91590,E,1,08,1.01,499.6,M,48.0,M,,*5B', '$GPGGA,1,2*00']) AS s),
-b AS (SELECT s, regexp_extract(s, '\\$([^*]*)\\*', 1) AS body, ('0x' || regexp_extract(s, '\\*([0-9A-Fa-f]{2})', 1))::INT AS told FROM s)
-SELECT s AS sentence, list_reduce([ascii(body[i]) FOR i IN range(1, length(body) + 1)], lambda a, c: xor(a, c))::INTEGER AS checksum,
-list_reduce([ascii(body[i]) FOR i IN range(1, length(body) + 1)], lambda a, c: xor(a, c)) = told AS valid FROM b""".replace("\\\\", "\\"))
+@query("""WITH b AS (SELECT c_custkey, 'GPGGA,' || c_custkey::VARCHAR || ',' || c_name || ',' || c_mktsegment AS body, c_custkey % 128 AS told FROM customer)
+SELECT c_custkey, list_reduce([ascii(body[i]) FOR i IN range(1, length(body) + 1)], lambda a, c: xor(a, c))::INTEGER AS checksum,
+list_reduce([ascii(body[i]) FOR i IN range(1, length(body) + 1)], lambda a, c: xor(a, c)) = told AS valid FROM b""")
 def nmea_checksum(spark: SparkSession, d: str) -> DataFrame:
-    """D2, U12"""
-    s = ["$GPGGA,092725.00,3937.3032,N,11627.1200,E,1,08,1.03,61.7,M,55.2,M,,*75", "$GPGGA,092725.00,4717.11399,N,00833.91590,E,1,08,1.01,499.6,M,48.0,M,,*5B", "$GPGGA,1,2*00"]
-    df = spark.createDataFrame([(x,) for x in s], "sentence string")
-    return df.select("sentence", nmea.checksum(F.col("sentence")).alias("checksum"), nmea.valid(F.col("sentence")).alias("valid"))
+    """A sentence of every customer, with a checksum that is right now and then"""
+    body = F.concat(F.lit("$GPGGA,"), F.col("c_custkey").cast("string"), F.lit(","), "c_name", F.lit(","), "c_mktsegment", F.lit("*"), F.lpad(F.hex(F.col("c_custkey") % 128), 2, "0"))
+    return read(spark, d, "customer").withColumn("s", body).select("c_custkey", nmea.checksum(F.col("s")).alias("checksum"), nmea.valid(F.col("s")).alias("valid"))
 
 
-@query("SELECT 39.62172::DOUBLE AS latitude, -116.452::DOUBLE AS longitude, 34045.0::DOUBLE AS time_of_day, 8::INTEGER AS satellites")
+@query("""SELECT s_suppkey, round(39 + (s_suppkey % 60 + 0.25::DOUBLE) / 60, 6) AS latitude, round(-(116 + (s_suppkey % 50 + 0.5::DOUBLE) / 60), 6) AS longitude,
+(s_suppkey % 24 * 3600 + 27 * 60 + 25)::DOUBLE AS time_of_day, (s_suppkey % 20)::INTEGER AS satellites FROM supplier""")
 def nmea_fields(spark: SparkSession, d: str) -> DataFrame:
-    """D1, D3"""
-    df = spark.createDataFrame([("noise$GPGGA,092725.00,3937.3032,N,11627.1200,W,1,08,1.03,61.7,M,55.2,M,,*75\r\n",)], "buffer string")
-    s = df.select(F.explode(nmea.sentences(F.col("buffer"))).alias("s"))
-    return s.select(*nmea.gga(F.col("s"))).select(F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "time_of_day", "satellites")
+    """A buffer of every supplier with noise around its sentence"""
+    k, text = F.col("s_suppkey"), (lambda c: c.cast("string"))
+    parts = ["noise$GPGGA,", F.lpad(text(k % 24), 2, "0"), "2725.00,39", F.lpad(text(k % 60), 2, "0"), ".25,N,116", F.lpad(text(k % 50), 2, "0"), ".5,W,1,", text(k % 20), ",1.03,61.7,M,55.2,M,,*75\r\n$GPGGA,0927"]
+    s = read(spark, d, "supplier").select(k, F.explode(nmea.sentences(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))).alias("s"))
+    return s.select("s_suppkey", *nmea.gga(F.col("s"))).select("s_suppkey", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "time_of_day", "satellites")
 
 
 def _enu_sql() -> str:
@@ -560,13 +560,12 @@ def angles(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select("pos", rounded(geometry.quadrant_angle(x, y)).alias("theta"), rounded(az).alias("azimuth"), rounded(el).alias("elevation"), rounded(rng).alias("rng"))
 
 
-@query("SELECT 0::BIGINT AS id, 0.5::DOUBLE AS inter, 0.5::DOUBLE AS share_a, 0.5::DOUBLE AS share_b, 0.333333::DOUBLE AS iou UNION ALL SELECT 1, 0, 0, 0, 0")
+@query("""WITH i AS (SELECT p_partkey AS id, greatest(1 - p_size / 25.0::DOUBLE, 0) AS inter FROM part)
+SELECT id, round(inter, 6) AS inter, round(inter, 6) AS share_a, round(inter, 6) AS share_b, round(inter / (2 - inter), 6) AS iou FROM i""")
 def polygon_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Unit squares moved by a half and by two"""
-    square = lambda m: [(0.0 + m, 0.0), (1.0 + m, 0.0), (1.0 + m, 1.0), (0.0 + m, 1.0)]
-    kind = "array<struct<x: double, y: double>>"
-    df = spark.createDataFrame([(0, square(0.0), square(0.5)), (1, square(0.0), square(2.0))], f"id long, a {kind}, b {kind}")
-    o = df.select("id", polygon.convex_overlap("a", "b").alias("o"))
+    """A unit square and one moved by a part's size"""
+    square = lambda m: F.array(*[F.struct((m + x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))])
+    o = read(spark, d, "part").select(F.col("p_partkey").alias("id"), polygon.convex_overlap(square(F.lit(0.0)), square(F.col("p_size") / 25.0)).alias("o"))
     return o.select("id", *[rounded(F.col(f"o.{c}")).alias(c) for c in ("inter", "share_a", "share_b", "iou")])
 
 

@@ -341,10 +341,12 @@ def stage_cache(spark: SparkSession, d: str) -> DataFrame:
     return tables.stage_cache(spark, path, None)
 
 
-@query("SELECT * FROM (VALUES (0, 'road', false), (10, 'car', true), (30, 'person', true)) t(label, name, wanted)")
+@query("SELECT n_nationkey AS label, n_name AS name, n_regionkey = 1 AS wanted FROM nation")
 def class_list(spark: SparkSession, d: str) -> DataFrame:
-    """S37"""
-    return tables.class_list(spark, "interest: \"10,30\"\nlabels:\n  0: road\n  10: \"car\"\n  30: person\ncolors:\n  0: none\n")
+    """The nations as a class file (a small text that the driver reads), those of one region of interest"""
+    wanted, label = F.when(F.col("n_regionkey") == 1, F.col("n_nationkey").cast("string")), F.concat(F.lit("  "), F.col("n_nationkey").cast("string"), F.lit(": "), "n_name")
+    parts = read(spark, d, "nation").agg(F.concat_ws(",", F.collect_list(wanted)).alias("interest"), F.concat_ws("\n", F.collect_list(label)).alias("labels")).first()
+    return tables.class_list(spark, f"interest: \"{parts['interest']}\"\nlabels:\n{parts['labels']}\ncolors:\n  0: none\n")
 
 
 @query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, value * 1000 AS t FROM events),
