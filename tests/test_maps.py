@@ -283,7 +283,7 @@ def test_instance_stream_with_disorder_and_late_frames(spark, tmp_path):
         source, schema = str(tmp_path / "in"), frames.select("map", "t", "outlines", "ts").schema
         parts = [frames.where(F.col("t").isin([float(t) for t in g["t"]])) for _, g in swapped.groupby("batch")]
         (tmp_path / "in").mkdir()
-        stream = im.instance_stream(spark.readStream.schema(schema).parquet(source), "map", "60 seconds", im.Rules(match=1.5, ttl=60.0))
+        stream = im.instance_stream(spark.readStream.schema(schema).parquet(source), "map", "150 seconds", im.Rules(match=1.5, ttl=60.0))
 
         def advance():
             stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(120)
