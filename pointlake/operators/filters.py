@@ -72,10 +72,11 @@ def ground_cut_swapped(df: DataFrame, h: float = 0.6) -> DataFrame:
     return df.where(F.col("z") <= h).select(*others, "x", (-F.col("z")).alias("y"), F.col("y").alias("z"))
 
 
-def last_valid(df: DataFrame, value: str, order: list[str], key: list[str]) -> DataFrame:
-    """P12, stateless part: a value of 0 is replaced by the last other one."""
+def last_valid(df: DataFrame, value: str, order: list[str], key: list[str], valid: Column | None = None) -> DataFrame:
+    """P12, stateless part: a value that isn't valid (where no condition is given: 0) is replaced by the last valid one."""
+    valid = F.col(value) != 0 if valid is None else valid
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(value, F.last(F.when(F.col(value) != 0, F.col(value)), ignorenulls=True).over(w))
+    return df.withColumn(value, F.last(F.when(valid, F.col(value)), ignorenulls=True).over(w))
 
 
 def grid_stride(df: DataFrame, rings: int, sectors: int, reach: float, step: int) -> DataFrame:
