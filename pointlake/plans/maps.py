@@ -54,7 +54,7 @@ SELECT n.id, id_r, round(score, 6) AS score, round(shift, 1) + 0.0::DOUBLE AS sh
 def loop_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Loops of nodes (vec_id) by lateral descriptor distance; nodes without one have nulls"""
     nodes = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("t"), *[(F.col("embedding")[i].cast("double") * 10).alias(c) for i, c in enumerate("xyz")])
-    r = lateral.ranked_loops(nodes, clouds(spark, d), descriptor.distance(4, 8), 0.4, 50, rings=4, sectors=8, reach=20.0)
+    r = lateral.ranked_loops(nodes, clouds(spark, d), descriptor.distance(4, 8), 0.4, 50, digits=6, rings=4, sectors=8, reach=20.0)
     return r.select("id", "id_r", rounded(F.col("score")).alias("score"), rounded(F.col("shift"), 1).alias("shift"), "fine", "rank")
 
 
