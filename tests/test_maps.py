@@ -359,6 +359,24 @@ def test_registration_against_plain_rounds(spark):
     assert len(got) == 4
 
 
+def test_small_clouds_need_no_plan_of_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = lambda move: [(p, i % 2, i, *[float(v) for v in at + move]) for p, at0 in clouds.items() for i, at in enumerate(at0)]
+    clouds = {p: np.vstack([a := rng.normal(size=(30, 3)) * [6, 6, 2], a[:2]]) for p in range(3)}  # two points twice: equal distances
+    shape = "pair long, label long, pos long, x double, y double, z double"
+    odd = [(0, 0, 90, None, 0.0, 0.0), (0, None, 91, 0.0, 0.0, 0.0), (None, 0, 92, 0.0, 0.0, 0.0), (7, 0, 0, 0.0, 0.0, 0.0), (1, 1, 93, float("nan"), 0.0, 0.0)]
+    src, dst = spark.createDataFrame(rows(0.0) + odd, shape), spark.createDataFrame(rows(np.array([0.2, -0.1, 0.05])) + odd[:3], shape)
+    solve = lambda small: {r["pair"]: r for r in registration.registered(src, dst, ["pair"], k=8, reach=3.0, around=40.0, rounds=4, settle=0.0, small=small).collect()}
+    rounds, mixed = solve(0), solve(31)
+    monkeypatch.setattr(registration, "knn", None)  # what the rounds in tables are made of
+    whole = solve(64)
+    assert rounds.keys() == mixed.keys() == whole.keys() == {0, 1, 2, 7}
+    for p, r in rounds.items():
+        for other in (mixed[p], whole[p]):
+            assert np.allclose([r[n] for n in windows.POSE], [other[n] for n in windows.POSE], atol=1e-8) and r["n"] == other["n"]
+            assert (r["mse"] is None) == (other["mse"] is None) and (r["mse"] is None or abs(r["mse"] - other["mse"]) < 1e-8)
+
+
 def _plain_graph(poses, factors, rounds=12):
     """Dense Gauss-Newton with numeric derivatives; poses id -> (R, t)."""
     ids = sorted(poses)
